@@ -5,17 +5,66 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrystone.llm.common import table
-from quarrystone.llm.simhash import simhash_groups
+from quarrystone.llm import langid, mixing, quality, simhash, tokens, toxicity
+from quarrystone.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rows that a model may learn from: crc32 of the id's decimal text does not leave 2 modulo 4.
+LEARN = "doc_id IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2"
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2, true)"
+
+
+def vocabulary() -> str:
+    """Path of the public vocabulary that op7's contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 3-word shingles, links at 3 bits or fewer."""
-    return simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factorization-machine toxicity score of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), LEARN)
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by compression."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify_languages(docs, langid.fit_dictionaries(docs, LEARN), HELD_OUT)
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to shards and read back."""
+    return tokens.token_round_trip(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality facts and verdict of all documents; documents labelled of quality 1 are trusted."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of all documents."""
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash}
+QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
+    "op4_toxicity": op4_toxicity,
+    "op5_langid": op5_langid,
+    "op7_tokens": op7_tokens,
+    "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
+}
 SQL: dict[str, str] = {}
