@@ -40,8 +40,10 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     large = rest[over]
     rest[over] = 0
-    bits = (rest[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    packed = np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+    if width in (8, 16):
+        packed = rest.astype(f"<u{width // 8}").tobytes()
+    else:
+        packed = np.packbits((rest[:, None] >> np.arange(width, dtype=np.uint32)).astype(np.uint8) & 1, bitorder="little").tobytes()
     return struct.pack(_HEAD, len(ids), len(over), width, low) + packed + over.astype("<u2").tobytes() + large.astype("<u4").tobytes()
 
 
@@ -50,7 +52,9 @@ def unpack_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     count, over, width, low = struct.unpack_from(_HEAD, raw, at)
     at += _HEAD_SIZE
     size = (count * width + 7) // 8
-    if width:
+    if width in (8, 16):
+        out = np.frombuffer(raw, f"<u{width // 8}", count, at).astype(np.uint32)
+    elif width:
         bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=count * width, bitorder="little").reshape(count, width)
         out = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
     else:

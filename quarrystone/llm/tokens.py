@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,51 +15,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut_lineage, fresh_dir, pieces, raw_texts, reduce_rows
+from quarrystone.llm.common import cut_lineage, fresh_dir, pieces, reduce_rows
 from quarrystone.llm.pfor import BLOCK, PERCENTILE, Shard, write_shard
 
-_CACHE = 300_000
+_CACHE = 150_000
 
 
-def text_encoder(vocabulary: str) -> Callable[[str], bytes]:
-    """A function that gives a text's ids as little-endian u32 bytes, equal to encode(text, add_special_tokens=False).
+#: Letters with a space before them, or an English contraction where the pre-tokenizer would see one.
+_LETTERS = re.compile(r"((?<![^\w\s])(?<![_ ])'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+)")
 
-    A byte-level BPE without normaliser starts a new pre-token at every space
-    that stands before a letter or mark, so the pieces between spaces are
-    encoded once each by the tokenizers library and looked up afterwards.
-    Where a space meets more white space or the end, or a special token
-    occurs, pieces may depend on their neighbours: the library gets the whole
-    text.
+
+def text_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
+    """A function that gives texts' ids as little-endian u32 bytes, equal to encode(text, add_special_tokens=False).
+
+    A byte-level BPE without normaliser cuts a text into runs of letters with
+    the space before them, and what lies between; no merge crosses a cut.  So
+    the tokenizers library encodes each run when it is first met, many at a
+    time, and runs are looked up afterwards.  Only white space before a letter
+    is cut otherwise than at a text's end; such runs are encoded with a letter
+    after them.  Texts with a special token, or with numerals that Python
+    counts as letters, go to the library whole.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task, as Spark counts
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary)
     special = [t.content for t in library.get_added_tokens_decoder().values()]
-    bare: dict[str, bytes] = {}
-    spaced: dict[str, bytes] = {}
-
-    def ids(found: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(found, add_special_tokens=False)]
-
-    def encode(text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if any(x in first for x in special):
-            return ids([text])[0]
-        if first not in bare:
-            if len(bare) > _CACHE:
-                bare.clear()
-            bare[first] = ids([first])[0]
-        try:
-            return bare[first] + b"".join(map(spaced.__getitem__, rest))
-        except KeyError:
-            new = list({p for p in rest if p not in spaced})
-            if any(not p or p[0].isspace() for p in new) or any(x in text for x in special):
-                return ids([text])[0]
-            if len(spaced) > _CACHE:
-                spaced.clear()
-                new = list(set(rest))
-            spaced.update(zip(new, ids([" " + p for p in new])))
-            return bare[first] + b"".join(map(spaced.__getitem__, rest))
+    spaces = np.zeros(library.get_vocab_size(), bool)
+    spaces[[i for token, i in library.get_vocab().items() if token.startswith("\u0120")]] = True
+    known: dict[str, bytes] = {}
+    recent: dict[str, bytes] = {}
+
+    def ids(text: str) -> bytes:
+        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(new: list[str]) -> None:
+        worded = [p for p in new if p[:1] == " " and p[1:].isalpha()]
+        recent.update((p, ids(p)) for p in new if not (p[:1] == " " and p[1:].isalpha()))
+        for at in range(0, len(worded), 256):
+            part = worded[at : at + 256]
+            raw = ids("".join(part))
+            starts = (4 * np.flatnonzero(spaces[np.frombuffer(raw, "<u4")])).tolist()
+            recent.update((p, raw[a:b]) for p, a, b in zip(part, starts, [*starts[1:], len(raw)]))
+
+    def stepwise(parts: list[str]) -> bytes:
+        out = []
+        for i, p in enumerate(parts):
+            ahead = parts[i + 1] if i + 1 < len(parts) else ""
+            if i % 2 == 0 and p[-2:].isspace() and len(p) > 1 and ahead and ahead[0] != " ":
+                out.append(ids(p + "x")[:-4])
+            else:
+                out.append(recent[p])
+        return b"".join(out)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        nonlocal known, recent
+        split = [_LETTERS.split(t) for t in texts]
+        met = set(itertools.chain.from_iterable(split))
+        if len(recent) > _CACHE:  # what was not met since the last time is forgotten
+            known, recent = recent, {}
+        recent.update((p, known[p]) for p in met if p not in recent and p in known)
+        new = [p for p in met if p not in recent]
+        learn(new)
+        runs = {p for p in met if len(p) > 1 and p[-2:].isspace()}
+        odd = {p for p in met if not p.isascii() and p.strip(" ").isalnum() and not p.strip(" ").isalpha()}
+        out = []
+        for text, parts in zip(texts, split):
+            if any(x in text for x in special) or (odd and not odd.isdisjoint(parts)):
+                out.append(ids(text))
+            elif runs and not runs.isdisjoint(parts):
+                out.append(stepwise(parts))
+            else:
+                out.append(b"".join(map(recent.__getitem__, parts)))
+        return out
 
     return encode
 
@@ -80,9 +111,10 @@ def write_token_shards(
         encode = text_encoder(vocabulary)
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
-            for piece in pieces(batches, "text"):
-                for name, raw in zip(piece.column("id").to_pylist(), raw_texts(piece.column("text"))):
-                    yield name, encode(raw.decode("utf-8")) + tail
+            for piece in pieces(batches, "text", most_bytes=2 << 20):
+                texts = [x or "" for x in piece.column("text").to_pylist()]
+                for name, raw in zip(piece.column("id").to_pylist(), encode(texts)):
+                    yield name, raw + tail
 
         own = rows()
         first = next(own, None)

@@ -29,7 +29,7 @@ MOST_TOXIC, MOST_CLEAN = 5000, 10000
 MOST_TERMS = 2048
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
-_CACHE = 200_000
+_CACHE = 60_000
 
 
 @dataclass
