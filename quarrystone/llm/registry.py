@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import langid, mixing, quality, simhash, tokens, toxicity
+from quarrystone.llm import decontaminate, langid, mixing, quality, simhash, substrings, tokens, toxicity
 from quarrystone.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers, units or names."""
+    return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factorization-machine toxicity score of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +48,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, langid.fit_dictionaries(docs, LEARN), HELD_OUT)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without passages that a document of smaller id has."""
+    return substrings.remove_repeated_passages(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to shards and read back."""
     return tokens.token_round_trip(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
@@ -61,8 +71,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_decontaminate": op2_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_langid": op5_langid,
+    "op6_substrings": op6_substrings,
     "op7_tokens": op7_tokens,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
