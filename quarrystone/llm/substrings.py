@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,9 @@ from quarrystone.llm.common import pieces, raw_texts, reduce_rows
 
 WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (1, 2, 4)
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_SINGLE, _SHARED, _SETTLED = 0, 1, 2
 _LAST = (1 << 63) - 1
+#: Blobs that one batch's rows are dealt into, for each reducing task.
+_SPREAD = 4
 
 
 def word_hashes(parts: list[bytes]) -> np.ndarray:
@@ -76,18 +78,35 @@ def merge_ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[new], stop[np.r_[np.flatnonzero(new)[1:] - 1, len(stop) - 1]]
 
 
-def _rows(hashed, doc, order, start, stop, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(hashed).view(np.int64)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(order, np.int64)), pa.array(np.asarray(start, np.int64) | np.asarray(stop, np.int64) << 31), pa.array(np.asarray(kind, np.int8))],
-        ["k", "doc", "ord", "span", "kind"],
-    )
+def pack_rows(key: np.ndarray, columns: list[np.ndarray], width: int) -> bytes:
+    """Keys (their low ``width`` bytes) and integer columns (as differences), compressed."""
+    kept = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    steps = b"".join(np.diff(c, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return len(key).to_bytes(4, "little") + kept + zstandard.ZstdCompressor(level=1).compress(steps)
 
 
-_ROWS = "k long, doc long, ord long, span long, kind byte"
+def unpack_rows(raw: bytes, columns: int, width: int) -> list[np.ndarray]:
+    n = int.from_bytes(raw[:4], "little")
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :width] = np.frombuffer(raw, np.uint8, n * width, 4).reshape(n, width)
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + n * width :], max_output_size=8 * n * columns), np.uint8).reshape(columns, 8, n)
+    return [key.view(np.uint64).ravel(), *(np.cumsum(np.ascontiguousarray(c.T).view("<i8").ravel()) for c in steps)]
 
 
-def _settled(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of what is known to hold already, one for each range of a document."""
+def _blobs(key: np.ndarray, columns: list[np.ndarray], parts: int, width: int) -> Iterator[pa.RecordBatch]:
+    """One row for each part that the keys fall into."""
+    part = ((key * np.uint64(_MULTIPLIER)) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    names = np.flatnonzero(np.diff(ends))
+    for at in range(0, len(names), 256):
+        own = names[at : at + 256]
+        raw = [pack_rows(key[x], [c[x] for c in columns], width) for x in (order[ends[i] : ends[i + 1]] for i in own)]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), bool)), pa.array(raw, pa.binary())], ["part", "settled", "blob"])
+
+
+def _settled(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """What is known to hold already, as ranges of each document."""
     if not len(doc):
         return
     order = np.argsort(doc, kind="stable")
@@ -95,39 +114,51 @@ def _settled(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[p
     for part in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
         low, high = merge_ranges(start[part], stop[part])
         names.append(np.full(len(low), doc[part[0]])), lows.append(low), highs.append(high)
-    name = np.concatenate(names)
-    key = name.view(np.uint64) * np.uint64(_MULTIPLIER)  # spreads these rows evenly
-    yield _rows(key, name, np.zeros(len(name)), np.concatenate(lows), np.concatenate(highs), np.full(len(name), _SETTLED))
+    columns = [np.concatenate(names), np.concatenate(lows), np.concatenate(highs)]
+    raw = pack_rows(np.zeros(len(columns[0]), np.uint64), columns, 0)
+    yield pa.RecordBatch.from_arrays([pa.array([int(doc[0]) % parts]), pa.array([True]), pa.array([raw], pa.binary())], ["part", "settled", "blob"])
 
 
-def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text; a range is that of the candidate window starts."""
-    for piece in pieces(batches, "text", 8192):
-        docs, hashes, spots, lengths = piece.column("doc").to_numpy(), [], [], []
-        for raw in raw_texts(piece.column("text")):
-            parts = raw.split()
-            at = cover_positions(len(parts)) if len(parts) >= WINDOW else np.zeros(0, np.int64)
-            hashes.append(run_hashes(word_hashes(parts), ANCHOR)[at] if len(at) else np.zeros(0, np.uint64))
-            spots.append(at)
-            lengths.append(len(parts))
-        counts = [len(x) for x in spots]
-        key, at, doc, n = np.concatenate(hashes), np.concatenate(spots), np.repeat(docs, counts), np.repeat(lengths, counts)
-        start, stop = np.maximum(0, at - (WINDOW - ANCHOR)), np.minimum(at, n - WINDOW) + 1
-        order = np.lexsort((doc, key))
-        key, doc, start, stop = key[order], doc[order], start[order], stop[order]
-        group = _runs(key)
-        first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-        many = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-        many[group[1:][(group[1:] == group[:-1]) & (doc[1:] != doc[:-1])] if len(group) else group] = True
-        shared = many[group]
-        send = ~shared | first
-        yield _rows(key[send], doc[send], np.zeros(send.sum()), start[send], stop[send], np.where(shared[send], _SHARED, _SINGLE))
-        yield from _settled(doc[shared], start[shared], stop[shared])
+_BLOBS = "part long, settled boolean, blob binary"
+_ANCHOR_BYTES, _WINDOW_BYTES = 6, 8  # a chance match of anchors only gives a candidate more; windows decide
+
+
+def _orders(piece: pa.RecordBatch) -> np.ndarray:
+    return np.array([_LAST if x is None else x for x in piece.column("id").to_pylist()], np.int64)
 
 
-def _spans(batch: pa.RecordBatch) -> list[np.ndarray]:
-    span = batch.column("span").to_numpy()
-    return [batch.column("k").to_numpy(), batch.column("doc").to_numpy(), batch.column("ord").to_numpy(), span & ((1 << 31) - 1), span >> 31, batch.column("kind").to_numpy()]
+def _anchor_rows(parts: int):
+    """Anchors of each text; a range is that of the candidate window starts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", 8192, 12 << 20):
+            docs, hashes, spots, lengths = piece.column("doc").to_numpy(), [], [], []
+            for raw in raw_texts(piece.column("text")):
+                words = raw.split()
+                at = cover_positions(len(words)) if len(words) >= WINDOW else np.zeros(0, np.int64)
+                hashes.append(run_hashes(word_hashes(words), ANCHOR)[at] if len(at) else np.zeros(0, np.uint64))
+                spots.append(at)
+                lengths.append(len(words))
+            counts = [len(x) for x in spots]
+            key, at, doc, n = np.concatenate(hashes), np.concatenate(spots), np.repeat(docs, counts), np.repeat(lengths, counts)
+            start, stop = np.maximum(0, at - (WINDOW - ANCHOR)), np.minimum(at, n - WINDOW) + 1
+            order = np.lexsort((doc, key))
+            sorted_key, sorted_doc = key[order], doc[order]
+            group = _runs(sorted_key)
+            first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+            many = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+            if len(group):
+                many[group[1:][~first[1:] & (sorted_doc[1:] != sorted_doc[:-1])]] = True
+            shared = np.zeros(len(key), bool)
+            shared[order] = many[group]
+            send = ~shared
+            send[order[first]] = True
+            # of an anchor that two documents of the piece share, one row goes on, so that others learn of it
+            send = np.flatnonzero(send)
+            yield from _blobs(key[send], [doc[send], start[send], stop[send], shared[send].astype(np.int64)], parts, _ANCHOR_BYTES)
+            yield from _settled(doc[shared], start[shared], stop[shared], parts)
+
+    return run
 
 
 def _out(doc, start, stop) -> pa.RecordBatch:
@@ -137,79 +168,80 @@ def _out(doc, start, stop) -> pa.RecordBatch:
 _OUT = "doc long, start long, stop long"
 
 
-def _shared_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchor rows in order of (k, doc): ranges around those that two documents have."""
-    held = None
+def _by_part(batches: Iterable[pa.RecordBatch], columns: int, width: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """(settled, columns) of each part's rows, from blobs in order of part."""
+    name, held = None, []
+    for batch in batches:
+        for part, settled, raw in zip(batch.column("part").to_pylist(), batch.column("settled").to_pylist(), batch.column("blob").to_pylist()):
+            if settled:
+                yield True, unpack_rows(raw, 3, 0)
+                continue
+            if part != name and held:
+                yield False, [np.concatenate(x) for x in zip(*held)]
+                held = []
+            name = part
+            held.append(unpack_rows(raw, columns, width))
+    if held:
+        yield False, [np.concatenate(x) for x in zip(*held)]
 
-    def judge(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, doc, _, start, stop, kind = rows
-        group = _runs(key)
-        hit = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-        if len(group):
-            hit[group[1:][(group[1:] == group[:-1]) & (doc[1:] != doc[:-1])]] = True
-            hit[group[kind == _SHARED]] = True
-        keep = hit[group] & (kind != _SHARED)
-        return _out(doc[keep], start[keep], stop[keep])
 
-    for batch in batches:
-        rows = _spans(batch)
-        done = rows[5] == _SETTLED
-        if done.any():
-            yield _out(rows[1][done], rows[3][done], rows[4][done])
-        rows = [x[~done] for x in rows]
-        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-        if len(held[0]):
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            yield judge([x[:cut] for x in held])
-            held = [x[cut:] for x in held]
-    if held is not None:
-        yield judge(held)
+def _shared_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges around the anchors that two documents have."""
+    for settled, rows in _by_part(batches, 4, _ANCHOR_BYTES):
+        if settled:
+            yield _out(*rows[1:])
+            continue
+        order = np.lexsort((rows[1], rows[0]))
+        key, doc, start, stop, shared = (x[order] for x in rows)
+        group = _runs(key)
+        hit = np.zeros(group[-1] + 1, bool)
+        hit[group[1:][(group[1:] == group[:-1]) & (doc[1:] != doc[:-1])]] = True
+        hit[group[shared > 0]] = True
+        keep = hit[group] & (shared == 0)
+        yield _out(doc[keep], start[keep], stop[keep])
 
 
-def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_rows(parts: int):
     """Hashes of the candidate windows of each text; a range is that of a window's words."""
-    for piece in pieces(batches, "text", 8192):
-        docs, orders = piece.column("doc").to_numpy(), piece.column("ord").to_numpy()
-        rows, keys, spots = [], [], []
-        lows, highs = piece.column("lows").to_pylist(), piece.column("highs").to_pylist()
-        for row, raw in enumerate(raw_texts(piece.column("text"))):
-            if not lows[row]:
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", 8192, 12 << 20):
+            docs, orders = piece.column("doc").to_numpy(), _orders(piece)
+            rows, keys, spots = [], [], []
+            lows, highs = piece.column("lows").to_pylist(), piece.column("highs").to_pylist()
+            for row, raw in enumerate(raw_texts(piece.column("text"))):
+                if not lows[row]:
+                    continue
+                hashes = run_hashes(word_hashes(raw.split()), WINDOW)
+                at = np.concatenate([np.arange(a, b) for a, b in zip(lows[row], highs[row])])
+                rows.append(np.full(len(at), row)), keys.append(hashes[at]), spots.append(at)
+            if not rows:
                 continue
-            hashes = run_hashes(word_hashes(raw.split()), WINDOW)
-            at = np.concatenate([np.arange(a, b) for a, b in zip(lows[row], highs[row])])
-            rows.append(np.full(len(at), row)), keys.append(hashes[at]), spots.append(at)
-        if not rows:
-            continue
-        row, key, at = np.concatenate(rows), np.concatenate(keys), np.concatenate(spots)
-        doc, order = docs[row], orders[row]
-        sort = np.lexsort((order, key))
-        key, at, doc, order = key[sort], at[sort], doc[sort], order[sort]
-        group = _runs(key)
-        least = order[np.r_[True, group[1:] != group[:-1]]][group]
-        later = order > least
-        send = ~later
-        yield _rows(key[send], doc[send], order[send], at[send], at[send] + WINDOW, np.full(send.sum(), _SINGLE))
-        yield from _settled(doc[later], at[later], at[later] + WINDOW)
+            row, key, at = np.concatenate(rows), np.concatenate(keys), np.concatenate(spots)
+            doc, order = docs[row], orders[row]
+            sort = np.lexsort((order, key))
+            group = _runs(key[sort])
+            least = np.zeros(len(key), np.int64)
+            least[sort] = order[sort][np.r_[True, group[1:] != group[:-1]]][group] if len(key) else 0
+            later = order > least
+            send = ~later
+            yield from _blobs(key[send], [doc[send], order[send], at[send]], parts, _WINDOW_BYTES)
+            yield from _settled(doc[later], at[later], at[later] + WINDOW, parts)
+
+    return run
 
 
 def _repeated_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From window rows in order of (k, ord): those that a document of smaller id has too."""
-    last_key, least = None, 0
-    for batch in batches:
-        rows = _spans(batch)
-        done = rows[5] == _SETTLED
-        if done.any():
-            yield _out(rows[1][done], rows[3][done], rows[4][done])
-        key, doc, order, start, stop, _ = [x[~done] for x in rows]
-        if not len(key):
+    """The windows that a document of smaller id has too."""
+    for settled, rows in _by_part(batches, 3, _WINDOW_BYTES):
+        if settled:
+            yield _out(*rows[1:])
             continue
+        sort = np.lexsort((rows[2], rows[0]))
+        key, doc, order, at = (x[sort] for x in rows)
         group = _runs(key)
-        first = order[np.r_[True, group[1:] != group[:-1]]]
-        if last_key is not None and key[0] == last_key:
-            first[0] = least
-        later = order > first[group]
-        last_key, least = key[-1], first[group[-1]]
-        yield _out(doc[later], start[later], stop[later])
+        later = order > order[np.r_[True, group[1:] != group[:-1]]][group]
+        yield _out(doc[later], at[later], at[later] + WINDOW)
 
 
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,16 +297,15 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     plain = able.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty()
     # rows are known by their id where that tells them apart; equal rows may share a name, as all that holds of one holds of the other
     name = F.col("id") if plain else F.xxhash64("id", "text")
-    rows = able.select("id", name.alias("doc"), F.coalesce("id", F.lit(_LAST)).alias("ord"), "text").repartition(n, "doc")
+    # one exchange of the texts serves all three readings, as all read the same columns
+    rows = able.select("id", name.alias("doc"), "text").repartition(n, "doc")
 
-    def ranged(found: DataFrame, order: str, judge) -> DataFrame:
-        dealt = found.repartition(n, "k").sortWithinPartitions("k", order).mapInArrow(judge, _OUT)
+    def ranged(found: DataFrame, judge) -> DataFrame:
+        dealt = found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(judge, _OUT)
         return dealt.repartition(n, "doc").sortWithinPartitions("doc").mapInArrow(_merged, "doc long, lows array<long>, highs array<long>")
 
-    anchors = rows.select("doc", "text").mapInArrow(_anchor_rows, _ROWS)
-    candidates = ranged(anchors, "doc", _shared_anchors)
-    near = rows.join(candidates.hint("shuffle_hash"), "doc", "inner")
-    windows = near.select("doc", "ord", "text", "lows", "highs").mapInArrow(_window_rows, _ROWS)
-    covered = ranged(windows, "ord", _repeated_windows)
-    out = rows.join(covered.hint("shuffle_hash"), "doc", "left").select("id", "text", "lows", "highs")
+    candidates = ranged(rows.mapInArrow(_anchor_rows(_SPREAD * n), _BLOBS), _shared_anchors)
+    near = rows.join(candidates.hint("shuffle_hash"), "doc", "left")
+    covered = ranged(near.mapInArrow(_window_rows(_SPREAD * n), _BLOBS), _repeated_windows)
+    out = rows.join(covered.hint("shuffle_hash"), "doc", "left")
     return out.mapInArrow(_kept, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", doc_id)

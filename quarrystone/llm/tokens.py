@@ -18,23 +18,40 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import cut_lineage, fresh_dir, pieces, reduce_rows
 from quarrystone.llm.pfor import BLOCK, PERCENTILE, Shard, write_shard
 
-_CACHE = 150_000
+_CACHE = 100_000
 
 
 #: Letters with a space before them, or an English contraction where the pre-tokenizer would see one.
 _LETTERS = re.compile(r"((?<![^\w\s])(?<![_ ])'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+)")
 
 
+class _Recent:
+    """A bounded table: what was not met since it was last half full is forgotten."""
+
+    def __init__(self, most: int):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most
+
+    def missing(self, met: set[str]) -> list[str]:
+        """Bring all of ``met`` that is known into ``new``; the rest is returned."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        absent = [p for p in met if p not in self.new]
+        self.new.update((p, self.old[p]) for p in absent if p in self.old)
+        return [p for p in absent if p not in self.new]
+
+
 def text_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """A function that gives texts' ids as little-endian u32 bytes, equal to encode(text, add_special_tokens=False).
 
     A byte-level BPE without normaliser cuts a text into runs of letters with
     the space before them, and what lies between; no merge crosses a cut.  So
     the tokenizers library encodes each run when it is first met, many at a
-    time, and runs are looked up afterwards.  Only white space before a letter
-    is cut otherwise than at a text's end; such runs are encoded with a letter
-    after them.  Texts with a special token, or with numerals that Python
-    counts as letters, go to the library whole.
+    time, and runs are looked up afterwards, as are whole words with their
+    marks.  Only white space before a letter is cut otherwise than at a text's
+    end; such runs are encoded with a letter after them.  Texts with a special
+    token go to the library whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task, as Spark counts
     from tokenizers import Tokenizer
@@ -43,50 +60,52 @@ def text_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     special = [t.content for t in library.get_added_tokens_decoder().values()]
     spaces = np.zeros(library.get_vocab_size(), bool)
     spaces[[i for token, i in library.get_vocab().items() if token.startswith("\u0120")]] = True
-    known: dict[str, bytes] = {}
-    recent: dict[str, bytes] = {}
+    words, runs = _Recent(_CACHE), _Recent(_CACHE)
 
     def ids(text: str) -> bytes:
         return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(new: list[str]) -> None:
-        worded = [p for p in new if p[:1] == " " and p[1:].isalpha()]
-        recent.update((p, ids(p)) for p in new if not (p[:1] == " " and p[1:].isalpha()))
-        for at in range(0, len(worded), 256):
-            part = worded[at : at + 256]
+    def learn_runs(met: set[str]) -> None:
+        new = runs.missing(met)
+        plain = [p for p in new if p[:1] == " " and p[1:].isalpha()]
+        runs.new.update((p, ids(p)) for p in new if not (p[:1] == " " and p[1:].isalpha()))
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
             raw = ids("".join(part))
             starts = (4 * np.flatnonzero(spaces[np.frombuffer(raw, "<u4")])).tolist()
-            recent.update((p, raw[a:b]) for p, a, b in zip(part, starts, [*starts[1:], len(raw)]))
-
-    def stepwise(parts: list[str]) -> bytes:
+            runs.new.update((p, raw[a:b]) for p, a, b in zip(part, starts, [*starts[1:], len(raw)]))
+
+    def assemble(text: str, parts: list[str]) -> bytes:
+        """The ids of a text from its runs."""
+        if not text.isascii() and any(p.strip(" ").isalnum() and not p.strip(" ").isalpha() for p in parts[1::2]):
+            return ids(text)  # a numeral that Python takes for a letter
+        if not any(len(p) > 1 and p[-2:].isspace() for p in parts[:-1:2]):
+            return b"".join(map(runs.new.__getitem__, parts))
         out = []
         for i, p in enumerate(parts):
-            ahead = parts[i + 1] if i + 1 < len(parts) else ""
-            if i % 2 == 0 and p[-2:].isspace() and len(p) > 1 and ahead and ahead[0] != " ":
-                out.append(ids(p + "x")[:-4])
-            else:
-                out.append(recent[p])
+            closed = i % 2 or len(p) < 2 or not p[-2:].isspace() or i + 1 == len(parts) or parts[i + 1][0] == " "
+            out.append(runs.new[p] if closed else ids(p + "x")[:-4])
         return b"".join(out)
 
     def encode(texts: list[str]) -> list[bytes]:
-        nonlocal known, recent
-        split = [_LETTERS.split(t) for t in texts]
-        met = set(itertools.chain.from_iterable(split))
-        if len(recent) > _CACHE:  # what was not met since the last time is forgotten
-            known, recent = recent, {}
-        recent.update((p, known[p]) for p in met if p not in recent and p in known)
-        new = [p for p in met if p not in recent]
-        learn(new)
-        runs = {p for p in met if len(p) > 1 and p[-2:].isspace()}
-        odd = {p for p in met if not p.isascii() and p.strip(" ").isalnum() and not p.strip(" ").isalpha()}
+        split = [t.split(" ") for t in texts]
+        met = set(itertools.chain.from_iterable(p[1:] for p in split))
+        new = words.missing(met)
+        odd = {p for p in new if not p or p[0].isspace()}  # white space beside a space: the text's own runs decide
+        fresh = [p for p in new if p not in odd]
+        cut = [_LETTERS.split(" " + p) for p in fresh]
+        whole = {i: _LETTERS.split(t) for i, (t, p) in enumerate(zip(texts, split)) if odd and not odd.isdisjoint(p[1:])}
+        first = [_LETTERS.split(p[0]) for p in split]
+        learn_runs(set(itertools.chain.from_iterable(itertools.chain(cut, whole.values(), first))))
+        words.new.update((p, assemble(" " + p, parts)) for p, parts in zip(fresh, cut))
         out = []
-        for text, parts in zip(texts, split):
-            if any(x in text for x in special) or (odd and not odd.isdisjoint(parts)):
+        for i, (text, parts) in enumerate(zip(texts, split)):
+            if any(x in text for x in special):
                 out.append(ids(text))
-            elif runs and not runs.isdisjoint(parts):
-                out.append(stepwise(parts))
+            elif i in whole:
+                out.append(assemble(text, whole[i]))
             else:
-                out.append(b"".join(map(recent.__getitem__, parts)))
+                out.append(assemble(parts[0], first[i]) + b"".join(map(words.new.__getitem__, parts[1:])))
         return out
 
     return encode
