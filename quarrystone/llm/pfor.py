@@ -66,8 +66,8 @@ def unpack_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return out + np.uint32(low), at + 6 * over
 
 
-def write_shard(uri: str, docs: Iterable[tuple[int | None, bytes]], block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[int, int]:
-    """Write (doc_id, ids as little-endian u32 bytes) in the given order; returns documents and ids.
+def write_shard(uri: str, docs: Iterable[tuple[int | None, np.ndarray]], block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[int, int]:
+    """Write (doc_id, ids as u32) in the given order; returns documents and ids.
 
     Only one block's ids and the document index are held.
     """
@@ -87,8 +87,7 @@ def write_shard(uri: str, docs: Iterable[tuple[int | None, bytes]], block: int =
                 at += out.write(raw)
             waiting, held = [ids[stop:]], len(ids) - stop
 
-        for name, raw in docs:
-            ids = np.frombuffer(raw, "<u4")
+        for name, ids in docs:
             total += len(ids)
             names.append(name or 0), nulls.append(name is None), ends.append(total)
             waiting.append(ids)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -18,40 +17,19 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import cut_lineage, fresh_dir, pieces, reduce_rows
 from quarrystone.llm.pfor import BLOCK, PERCENTILE, Shard, write_shard
 
-_CACHE = 100_000
 
 
-#: Letters with a space before them, or an English contraction where the pre-tokenizer would see one.
-_LETTERS = re.compile(r"((?<![^\w\s])(?<![_ ])'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+)")
+def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
+    """A function that gives each text's ids (u32), equal to encode(text, add_special_tokens=False).
 
-
-class _Recent:
-    """A bounded table: what was not met since it was last half full is forgotten."""
-
-    def __init__(self, most: int):
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.most = most
-
-    def missing(self, met: set[str]) -> list[str]:
-        """Bring all of ``met`` that is known into ``new``; the rest is returned."""
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        absent = [p for p in met if p not in self.new]
-        self.new.update((p, self.old[p]) for p in absent if p in self.old)
-        return [p for p in absent if p not in self.new]
-
-
-def text_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
-    """A function that gives texts' ids as little-endian u32 bytes, equal to encode(text, add_special_tokens=False).
-
-    A byte-level BPE without normaliser cuts a text into runs of letters with
-    the space before them, and what lies between; no merge crosses a cut.  So
-    the tokenizers library encodes each run when it is first met, many at a
-    time, and runs are looked up afterwards, as are whole words with their
-    marks.  Only white space before a letter is cut otherwise than at a text's
-    end; such runs are encoded with a letter after them.  Texts with a special
-    token go to the library whole.
+    A byte-level BPE without normaliser starts a new pre-token at every space
+    that stands before a letter or mark, so what lies between spaces can be
+    encoded on its own.  The distinct words of many texts are found by Arrow's
+    dictionary encoding and go to the tokenizers library once, joined by
+    spaces, and told apart by the ids whose token begins with a space.  Where
+    a space meets more white space or the end, or a special token occurs,
+    words may depend on their neighbours: the library gets the whole text.
+    Nulls are empty.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task, as Spark counts
     from tokenizers import Tokenizer
@@ -60,52 +38,50 @@ def text_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     special = [t.content for t in library.get_added_tokens_decoder().values()]
     spaces = np.zeros(library.get_vocab_size(), bool)
     spaces[[i for token, i in library.get_vocab().items() if token.startswith("\u0120")]] = True
-    words, runs = _Recent(_CACHE), _Recent(_CACHE)
-
-    def ids(text: str) -> bytes:
-        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn_runs(met: set[str]) -> None:
-        new = runs.missing(met)
-        plain = [p for p in new if p[:1] == " " and p[1:].isalpha()]
-        runs.new.update((p, ids(p)) for p in new if not (p[:1] == " " and p[1:].isalpha()))
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
-            raw = ids("".join(part))
-            starts = (4 * np.flatnonzero(spaces[np.frombuffer(raw, "<u4")])).tolist()
-            runs.new.update((p, raw[a:b]) for p, a, b in zip(part, starts, [*starts[1:], len(raw)]))
-
-    def assemble(text: str, parts: list[str]) -> bytes:
-        """The ids of a text from its runs."""
-        if not text.isascii() and any(p.strip(" ").isalnum() and not p.strip(" ").isalpha() for p in parts[1::2]):
-            return ids(text)  # a numeral that Python takes for a letter
-        if not any(len(p) > 1 and p[-2:].isspace() for p in parts[:-1:2]):
-            return b"".join(map(runs.new.__getitem__, parts))
-        out = []
-        for i, p in enumerate(parts):
-            closed = i % 2 or len(p) < 2 or not p[-2:].isspace() or i + 1 == len(parts) or parts[i + 1][0] == " "
-            out.append(runs.new[p] if closed else ids(p + "x")[:-4])
-        return b"".join(out)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        met = set(itertools.chain.from_iterable(p[1:] for p in split))
-        new = words.missing(met)
-        odd = {p for p in new if not p or p[0].isspace()}  # white space beside a space: the text's own runs decide
-        fresh = [p for p in new if p not in odd]
-        cut = [_LETTERS.split(" " + p) for p in fresh]
-        whole = {i: _LETTERS.split(t) for i, (t, p) in enumerate(zip(texts, split)) if odd and not odd.isdisjoint(p[1:])}
-        first = [_LETTERS.split(p[0]) for p in split]
-        learn_runs(set(itertools.chain.from_iterable(itertools.chain(cut, whole.values(), first))))
-        words.new.update((p, assemble(" " + p, parts)) for p, parts in zip(fresh, cut))
-        out = []
-        for i, (text, parts) in enumerate(zip(texts, split)):
-            if any(x in text for x in special):
-                out.append(ids(text))
-            elif i in whole:
-                out.append(assemble(text, whole[i]))
-            else:
-                out.append(assemble(parts[0], first[i]) + b"".join(map(words.new.__getitem__, parts[1:])))
+
+    def batch(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words with a space before each, and how many each has."""
+        found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = batch([" " + " ".join(part)])[0]
+            starts = np.flatnonzero(spaces[ids])
+            if len(starts) == len(part):
+                counts.append(np.diff(starts, append=len(ids)))
+            else:  # some word is white space or special, and its text is encoded whole below
+                each = batch([" " + w for w in part])
+                ids = np.concatenate(each)
+                counts.append(np.array([len(x) for x in each]))
+            found.append(ids)
+        return np.concatenate(found), np.concatenate(counts)
+
+    def encode(texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        starts = np.r_[0, ends[:-1]]
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        firsts = batch([words[i] for i in place[starts]])
+        ids, counts = spaced(words)
+        odd = np.array([not w or w[0].isspace() or any(x in w for x in special) for w in words], bool)
+        whole = np.add.reduceat(odd[place], starts) - odd[place[starts]] > 0
+        whole |= np.array([any(x in words[i] for x in special) for i in place[starts]], bool)
+        # a text's first word has no space before it, so it has an entry of its own
+        place[starts] = len(words) + np.arange(len(firsts))
+        ids = np.concatenate([ids, *firsts])
+        counts = np.r_[counts, [len(x) for x in firsts]].astype(np.int64)
+        begins = np.cumsum(counts) - counts
+        length = counts[place]
+        stop = np.cumsum(length)
+        flat = ids[np.repeat(begins[place] - (stop - length), length) + np.arange(stop[-1])]
+        edges = np.r_[0, stop[ends - 1]]
+        out = [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        for i in np.flatnonzero(whole):
+            out[i] = batch([texts[int(i)].as_py()])[0]
         return out
 
     return encode
@@ -124,23 +100,22 @@ def write_token_shards(
     empty table writes no file.
     """
     n = shards or reduce_rows(docs.sparkSession)
-    tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_encoder(vocabulary)
 
-        def rows() -> Iterator[tuple[int | None, bytes]]:
-            for piece in pieces(batches, "text", most_bytes=2 << 20):
-                texts = [x or "" for x in piece.column("text").to_pylist()]
-                for name, raw in zip(piece.column("id").to_pylist(), encode(texts)):
-                    yield name, raw + tail
+        def rows() -> Iterator[tuple[int | None, np.ndarray]]:
+            for piece in pieces(batches, "text", 8192, 8 << 20):
+                for name, ids in zip(piece.column("id").to_pylist(), encode(piece.column("text"))):
+                    yield name, np.r_[ids, tail]
 
         own = rows()
         first = next(own, None)
         if first is None:
             return
 
-        def again() -> Iterator[tuple[int | None, bytes]]:
+        def again() -> Iterator[tuple[int | None, np.ndarray]]:
             yield first
             yield from own
 
