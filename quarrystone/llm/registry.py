@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, langid, mixing, quality, simhash, substrings, tokens, toxicity
+from quarrystone.llm import decontaminate, langid, lines, mixing, quality, secret_scan, simhash, substrings, tokens, toxicity
 from quarrystone.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,24 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def dictionary() -> frozenset[str]:
+    """Whole words of four letters or more of a public vocabulary, about 30,000."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        known = json.load(file)["model"]["vocab"]
+    return frozenset(w[:-4] for w in known if w.endswith("</w>") and len(w) >= 8 and w[:-4].isalpha())
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in all documents, each with the forest's score and verdict."""
+    words = dictionary()
+    forest = secret_scan.fit_findings(secret_scan.labelled_findings(), words)
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest, words)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factorization-machine toxicity score of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +76,11 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_round_trip(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that are equal to an earlier line, or one word from it."""
+    return lines.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality facts and verdict of all documents; documents labelled of quality 1 are trusted."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -72,10 +95,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_langid": op5_langid,
     "op6_substrings": op6_substrings,
     "op7_tokens": op7_tokens,
+    "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
