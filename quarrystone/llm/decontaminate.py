@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, raw_texts
+from quarrystone.llm.common import cut_lineage, pieces, raw_texts
 from quarrystone.llm.substrings import run_hashes
 
 #: Template tokens in a window, the least of them that are plain words, and the least share of an item's windows on one diagonal.
@@ -146,7 +146,8 @@ def benchmark_leaks(
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
-    items = items.mapInArrow(_item_rows(window, least_plain), "k long, length int, item long, ipos int, windows int, islots array<string>").cache()
+    items = items.mapInArrow(_item_rows(window, least_plain), "k long, length int, item long, ipos int, windows int, islots array<string>")
+    items = cut_lineage(items)
     lengths = sorted(r.length for r in items.select("length").distinct().collect())  # at most ``window`` numbers
     shared = None
     distinct = items.select("k").distinct()
@@ -169,6 +170,6 @@ def benchmark_leaks(
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = leaks.select(F.col("row").alias("__row")).distinct()
+    bad = cut_lineage(leaks.select(F.col("row").alias("__row")).distinct())
     small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(bad) if small else bad, F.xxhash64(docs[doc_id], docs[text]) == F.col("__row"), "left_anti")

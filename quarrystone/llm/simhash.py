@@ -226,3 +226,26 @@ def simhash_groups(
     named = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     out = rows.join(named, "fp")
     return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Most ids to drop that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs``, one of each SimHash group, with the columns they came with.
+
+    The row of least id stays.  Where ids repeat or are null, rows are told
+    apart by a hash of id and text instead, the least of which stays, and of
+    equal rows one.
+    """
+    ids = docs.groupBy(F.col(doc_id).alias("i")).count().where("count > 1 OR i IS NULL")
+    if ids.isEmpty():
+        name, rows = F.col(f"`{doc_id}`"), docs
+    else:
+        name = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+        rows = docs.withColumn("__row", name).dropDuplicates(["__row"]).drop("__row")
+    groups = simhash_groups(rows.select(name.alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", shingle_words, max_bits)
+    gone = cut_lineage(groups.where("id <> component_id").select(F.col("id").alias("__gone")))
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if small else gone, name == F.col("__gone"), "left_anti")
