@@ -19,6 +19,10 @@ from quarrystone.llm.pfor import BLOCK, PERCENTILE, Shard, write_shard
 
 
 
+#: A word that begins with white space or is empty.
+_OPEN = r"^($|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
+
+
 def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
     """A function that gives each text's ids (u32), equal to encode(text, add_special_tokens=False).
 
@@ -58,18 +62,44 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
             found.append(ids)
         return np.concatenate(found), np.concatenate(counts)
 
+    marks = ".,"
+    mark_ids = np.array([0, *(batch([m])[0][0] for m in marks)], np.uint32)
+
+    def distinct(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words with a space before each, and how many each has; a word and the word with a mark share theirs."""
+        stem = pc.utf8_rtrim(words, marks)
+        one = pc.and_(pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(stem)), 1), pc.utf8_is_alpha(stem)).to_numpy(zero_copy_only=False)
+        mark = np.zeros(len(words), np.int64)
+        for i, m in enumerate(marks):
+            mark[one & pc.ends_with(words, m).to_numpy(zero_copy_only=False)] = i + 1
+        coded = pc.if_else(pa.array(one), stem, words).dictionary_encode()
+        ids, counts = spaced(coded.dictionary.to_pylist())
+        place = coded.indices.to_numpy()
+        plain = counts[place]
+        length = plain + (mark > 0)
+        stop = np.cumsum(length)
+        out = np.zeros(stop[-1] if len(stop) else 0, np.uint32)
+        begins = (np.cumsum(counts) - counts)[place]
+        within = np.arange(plain.sum()) - np.repeat(np.cumsum(plain) - plain, plain)
+        out[np.repeat(stop - length, plain) + within] = ids[np.repeat(begins, plain) + within]
+        out[stop[mark > 0] - 1] = mark_ids[mark[mark > 0]]
+        return out, length
+
     def encode(texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
         split = pc.split_pattern(texts, " ")
         ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         starts = np.r_[0, ends[:-1]]
         coded = split.flatten().dictionary_encode()
-        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        firsts = batch([words[i] for i in place[starts]])
-        ids, counts = spaced(words)
-        odd = np.array([not w or w[0].isspace() or any(x in w for x in special) for w in words], bool)
-        whole = np.add.reduceat(odd[place], starts) - odd[place[starts]] > 0
-        whole |= np.array([any(x in words[i] for x in special) for i in place[starts]], bool)
+        words, place = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        firsts = batch(words.take(pa.array(place[starts])).to_pylist())
+        ids, counts = distinct(words)
+        held = np.zeros(len(words), bool)
+        for x in special:
+            held |= pc.match_substring(words, x).to_numpy(zero_copy_only=False)
+        odd = held | pc.match_substring_regex(words, _OPEN).to_numpy(zero_copy_only=False)
+        whole = np.add.reduceat(odd[place], starts, dtype=np.int64) - odd[place[starts]] > 0
+        whole |= held[place[starts]]
         # a text's first word has no space before it, so it has an entry of its own
         place[starts] = len(words) + np.arange(len(firsts))
         ids = np.concatenate([ids, *firsts])
@@ -106,7 +136,7 @@ def write_token_shards(
         encode = text_encoder(vocabulary)
 
         def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            for piece in pieces(batches, "text", 8192, 8 << 20):
+            for piece in pieces(batches, "text", 16384, 14 << 20):
                 for name, ids in zip(piece.column("id").to_pylist(), encode(piece.column("text"))):
                     yield name, np.r_[ids, tail]
 
