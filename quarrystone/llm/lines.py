@@ -27,25 +27,25 @@ from quarrystone.llm.common import cut_lineage, words
 LEAST_WORDS = 5
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "line"))
-    rows = rows.select("doc", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-    return rows.where(F.length(F.translate("line", " \t\x0b\f\r", "")) > 0)
+#: Most candidate lines whose hashes are broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 
 
-def _hash(a: Column) -> Column:
-    """Hash of an array of word hashes, in order."""
-    return F.xxhash64(a)
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Lines that have a word, by place and hash."""
+    rows = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "line"))
+    rows = rows.where(F.length(F.translate("line", " \t\x0b\f\r", "")) > 0)
+    return rows.select("doc", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _keys(n: Column, w: str) -> Column:
-    """Half keys of a line of n word hashes, for partners of n and of n - 1 or n + 1 words."""
+def _keys(n: Column, w: str) -> list[Column]:
+    """Half keys of a line of n words, for partners of n and of n - 1 or n + 1 words."""
 
     def halves(m: Column) -> list[Column]:
         p = F.floor(m / 2).cast("int")
-        return [F.xxhash64(m, F.lit("a"), F.slice(w, 1, p)), F.xxhash64(m, F.lit("z"), F.slice(w, F.size(w) - (m - p) + 1, m - p))]
+        return [F.xxhash64(m, F.lit("a"), F.slice(w, 1, p)), F.xxhash64(m, F.lit("z"), F.slice(w, n - (m - p) + 1, m - p))]
 
-    return F.array_distinct(F.array(*halves(n), *halves(n - 1)))
+    return [*halves(n), *halves(n - 1)]
 
 
 def _place(doc: str = "doc", no: str = "no") -> Column:
@@ -64,13 +64,19 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     read.
     """
     lines = _lines(docs, doc_id, text)
-    known = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("at"), F.any_value("line").alias("line"))
-    hashed = known.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w"))
-    long = cut_lineage(hashed.where(F.size("w") >= least_words).withColumn("n", F.size("w")))
-    halves = long.select("h1", "h2", F.explode(_keys(F.col("n"), "w")).alias("k"))
+    # numbers alone are grouped: a line's text is looked at again only if it is a candidate
+    hashed = lines.withColumn("w", words(F.col("line"))).withColumn("n", F.size("w")).drop("line")
+    long_enough = F.col("n") >= least_words
+    hashed = hashed.select("doc", "no", "h1", "h2", *[F.when(long_enough, k).alias(f"k{i}") for i, k in enumerate(_keys(F.col("n"), "w"))])
+    known = hashed.groupBy("h1", "h2").agg(F.min(_place()).alias("at"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    known = cut_lineage(known)
+    halves = known.where("k0 IS NOT NULL").select("h1", "h2", "at", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
     shared = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    able = halves.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    near = long.join(able, ["h1", "h2"], "left_semi")
+    able = cut_lineage(halves.join(shared, "k", "left_semi").select("h1", "h2", "at").distinct())
+    small = able.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    texts = lines.join(F.broadcast(able) if small else able, ["h1", "h2"]).where(_place() == F.col("at"))
+    near = texts.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["h1", "h2"])
+    long = near = cut_lineage(near.withColumn("n", F.size("w")))
     # a variant's hash comes from neighbouring words, so leaving out each word in turn costs one step a word:
     # the parity sum of all neighbour pairs, without the pairs on both sides of the gap, with the pair across it
     n = F.col("n")
