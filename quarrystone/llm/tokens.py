@@ -36,8 +36,13 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
     Nulls are empty.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task, as Spark counts
+    import tokenizers
     from tokenizers import Tokenizer
 
+    # a worker process runs many tasks: the vocabulary is read once for all of them
+    held = tokenizers.__dict__.setdefault("_quarrystone_encoders", {})
+    if vocabulary in held:
+        return held[vocabulary]
     library = Tokenizer.from_file(vocabulary)
     special = [t.content for t in library.get_added_tokens_decoder().values()]
     spaces = np.zeros(library.get_vocab_size(), bool)
@@ -114,6 +119,7 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
             out[i] = batch([texts[int(i)].as_py()])[0]
         return out
 
+    held[vocabulary] = encode
     return encode
 
 
@@ -136,7 +142,7 @@ def write_token_shards(
         encode = text_encoder(vocabulary)
 
         def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            for piece in pieces(batches, "text", 16384, 14 << 20):
+            for piece in pieces(batches, "text", 8192, 8 << 20):
                 for name, ids in zip(piece.column("id").to_pylist(), encode(piece.column("text"))):
                     yield name, np.r_[ids, tail]
 
