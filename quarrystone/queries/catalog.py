@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quarrystone.queries import dialect, filters_joins
+
+_SHARED = {**filters_joins.QUERIES}
+
+QUERIES = {name: dialect.query(text) for name, text in _SHARED.items()}
+SQL = {name: dialect.duckdb_sql(text) for name, text in _SHARED.items()}
