@@ -61,12 +61,19 @@ def _expand(text: str, engine: int) -> str:
     return text
 
 
+def _doubles(text: str) -> str:
+    """Write decimal literals outside of strings as doubles, which both engines know as 0.5e0."""
+    parts = text.split("'")
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", x) for x in parts[::2]]
+    return "'".join(parts)
+
+
 def spark_sql(text: str) -> str:
-    return _expand(text, 0)
+    return _expand(_doubles(text), 0)
 
 
 def duckdb_sql(text: str) -> str:
-    out = _expand(text, 1)
+    out = _expand(_doubles(text), 1)
     for t in TABLES:
         out = out.replace("{" + t + "}", t)
     return re.sub(r"\bstring\b(?=\))", "varchar", out)

@@ -91,7 +91,7 @@ QUERIES = {
         FROM (SELECT doc_id, md5(text) AS h FROM {documents} WHERE doc_id < 300) o FULL OUTER JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(lang) ELSE md5(text) END AS h FROM {documents} WHERE doc_id BETWEEN 200 AND 400) n ON o.doc_id = n.doc_id
         WHERE o.h IS NULL OR n.h IS NULL OR o.h <> n.h""",  # P
     "sink_kb_upsert": """SELECT doc_id, lang FROM (SELECT doc_id, lang, 0 AS v FROM {documents} WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, 'xx' AS lang, 1 AS v FROM {documents} WHERE doc_id % 10 = 3) q""",  # L
-    "read_lines_slice": """SELECT doc_id, line_no, @item(ls|n - 1) AS line FROM (SELECT doc_id, n AS line_no, @split(text|\\n) AS ls, n FROM (SELECT doc_id, text, @series(2|4) AS n FROM {documents}) s) q
+    "read_lines_slice": """SELECT doc_id, line_no, @item(ls|n - 1) AS line FROM (SELECT doc_id, n AS line_no, @split(text|\\n) AS ls, n FROM (SELECT doc_id, text, cast(@series(2|4) AS bigint) AS n FROM {documents}) s) q
         JOIN (SELECT 1 AS one) z ON n <= @size(ls)""",  # L
     "grep_code": "SELECT doc_id, substring(text, 1, 3000) AS head FROM {documents} WHERE @matches(text|token = )",  # L
     "text_concat_prefix": "SELECT doc_id, concat('Q: ', source, ' A: ', substring(text, 1, 500)) AS body FROM {documents}",  # L
