@@ -28,7 +28,7 @@ _FORMS = {
     "words": ("filter(split({0}, r'\\s+'), x -> x <> '')", "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"),
     "each": ("explode({0})", "unnest({0})"),
     "strings": ("array({0})", "[{0}]"),
-    "series": ("explode(sequence({0}, {1}))", "unnest(generate_series({0}, {1}))"),
+    "series": ("explode(sequence(cast({0} as bigint), cast({1} as bigint)))", "unnest(generate_series(cast({0} as bigint), cast({1} as bigint)))"),
     "rank": ("cast(row_number() over ({0}) as bigint)", "row_number() over ({0})"),
     "joined": ("array_join(array_sort(collect_list({0})), ',')", "array_to_string(list_sort(list({0})), ',')"),
     "day": ("cast(to_date({0}) as string)", "cast(cast({0} as date) as varchar)"),
