@@ -74,7 +74,13 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     able = cut_lineage(halves.join(shared, "k", "left_semi").select("h1", "h2", "at").distinct())
     small = able.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = lines.join(F.broadcast(able) if small else able, ["h1", "h2"]).where(_place() == F.col("at"))
+    if small:  # only the documents of candidates are cut into lines again
+        at = able.select(F.col("at.doc").alias("__doc")).distinct()
+        some = docs.join(F.broadcast(at), F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")), "left_semi")
+        texts = _lines(some, doc_id, text).join(F.broadcast(able), ["h1", "h2"])
+    else:
+        texts = lines.join(able, ["h1", "h2"])
+    texts = texts.where(_place() == F.col("at"))
     near = texts.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["h1", "h2"])
     long = near = cut_lineage(near.withColumn("n", F.size("w")))
     # a variant's hash comes from neighbouring words, so leaving out each word in turn costs one step a word:
