@@ -34,7 +34,7 @@ BROADCAST_LINES = 1_000_000
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Lines that have a word, by place and hash."""
     rows = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "line"))
-    rows = rows.where(F.length(F.translate("line", " \t\x0b\f\r", "")) > 0)
+    rows = rows.where(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "")
     return rows.select("doc", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -74,12 +74,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     able = cut_lineage(halves.join(shared, "k", "left_semi").select("h1", "h2", "at").distinct())
     small = able.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    if small:  # only the documents of candidates are cut into lines again
-        at = able.select(F.col("at.doc").alias("__doc")).distinct()
-        some = docs.join(F.broadcast(at), F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")), "left_semi")
-        texts = _lines(some, doc_id, text).join(F.broadcast(able), ["h1", "h2"])
-    else:
-        texts = lines.join(able, ["h1", "h2"])
+    texts = lines.join(F.broadcast(able) if small else able, ["h1", "h2"])
     texts = texts.where(_place() == F.col("at"))
     near = texts.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["h1", "h2"])
     long = near = cut_lineage(near.withColumn("n", F.size("w")))
