@@ -88,7 +88,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
 
     A null text has no word and fails the base rules.  Rows of null or equal
     id are each judged.  Without trusted documents every ratio is 0 and all
-    that pass the base rules stay.  No other column is read.
+    that pass the base rules stay.  No other column is read.  Write or cache
+    the result before filtering it: a filter that Catalyst pushes into the
+    chain of array expressions evaluates them anew for each element.
     """
     table = ratio_table(docs, trusted, doc_id, text, buckets)
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
