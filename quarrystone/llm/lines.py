@@ -8,7 +8,8 @@ and line number, is alike; the earliest stays.
 Deletion neighbourhood (FastSS): a line emits its variants with one word left
 out, as hashed keys.  Lines that differ in the word at place i share the
 variant without that word, keyed with i and the number of words; a line and
-one with a word more share the shorter line itself.  Every key is exact, so a
+one with a word more share the shorter line itself.  A key holds each word with
+its place, so lines of one key are alike (but for 64-bit collisions) and a
 group needs no pairs: the earliest line of a key is the partner of all others,
 found by a partially aggregated minimum, and a line that thousands share costs
 one row a task.
@@ -78,19 +79,19 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = texts.where(_place() == F.col("at"))
     near = texts.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["h1", "h2"])
     long = near = cut_lineage(near.withColumn("n", F.size("w")))
-    # a variant's hash comes from neighbouring words, so leaving out each word in turn costs one step a word:
-    # the parity sum of all neighbour pairs, without the pairs on both sides of the gap, with the pair across it
+    # the parity sum of all words hashed with their places stands for a line, so that equal sums mean equal words in equal order;
+    # words after the gap move up one place, and what that changes up to each gap is a running parity sum
     n = F.col("n")
-    pair = lambda a, b: F.xxhash64(a, b)
     xor = lambda a, b: a.bitwiseXOR(b)
-    edged = near.withColumn("v", F.concat(F.array(F.lit(0).cast("long")), F.col("w"), F.array(F.lit(1).cast("long"))))
-    edged = edged.withColumn("pairs", F.zip_with(F.slice("v", 1, n + 1), F.slice("v", 2, n + 1), pair))
-    across = F.zip_with(F.slice("v", 1, n), F.slice("v", 3, n), pair)
-    swap = F.zip_with(F.zip_with(F.slice("pairs", 1, n), F.slice("pairs", 2, n), xor), across, xor)
-    edged = edged.select("h1", "h2", "at", "n", F.aggregate("pairs", F.lit(0).cast("long"), xor).alias("all"), swap.alias("swap"))
-    gaps = edged.select("h1", "h2", "at", "n", "all", F.posexplode("swap").alias("i", "x")).withColumn("g", F.col("all").bitwiseXOR(F.col("x")))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), xor)
+    edged = near.withColumn("here", F.transform("w", lambda x, i: F.xxhash64(x, i))).withColumn("up", F.transform("w", lambda x, i: F.xxhash64(x, i - 1)))
+    edged = edged.withColumn("run", _running(F.zip_with("here", "up", xor), n, xor))
+    spots = F.zip_with("here", F.zip_with("here", "run", xor), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    edged = edged.select("h1", "h2", "at", "n", total("here").alias("all"), total("up").alias("moved"), spots.alias("spots"))
+    gaps = edged.select("h1", "h2", "at", "n", "all", "moved", F.posexplode("spots").alias("i", "s"))
+    gaps = gaps.withColumn("g", xor(F.col("all"), F.col("s.x"))).withColumn("d", xor(F.col("moved"), F.col("s.y")))
     # "same": the word at one place differs; "less": the key is a whole line, and lines of one word more hold it
-    roles = F.array(F.struct(F.xxhash64(F.lit("same"), "i", "n", "g").alias("k"), F.lit(0).alias("role")), F.struct(F.xxhash64(F.lit("less"), F.col("n") - 1, "g").alias("k"), F.lit(1).alias("role")))
+    roles = F.array(F.struct(F.xxhash64(F.lit("same"), "i", "n", "g").alias("k"), F.lit(0).alias("role")), F.struct(F.xxhash64(F.lit("less"), F.col("n") - 1, "d").alias("k"), F.lit(1).alias("role")))
     gone = gaps.select("h1", "h2", "at", F.inline(roles))
     less = edged.select("h1", "h2", "at", F.xxhash64(F.lit("less"), "n", "all").alias("k"), F.lit(2).alias("role"))
     keyed = gone.unionAll(less)
@@ -117,6 +118,17 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+def _running(values: Column, n: Column, add) -> Column:
+    """Sums of the first 1, 2, ... of n values, in log2(n) steps that each double the reach."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)
+
+    def step(sums: Column, k: Column) -> Column:
+        before = F.array_repeat(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("int"))
+        return F.zip_with(sums, F.slice(F.concat(before, sums), 1, n), add)
+
+    return F.when(n > 1, F.aggregate(steps, values, step)).otherwise(values)
+
+
 def _verified(links: DataFrame, long: DataFrame) -> DataFrame:
     """The links whose lines' word edit distance is 1: what the common start and end leave is at most one word each."""
     left = links.join(long.select("h1", "h2", F.col("w").alias("a")), ["h1", "h2"])

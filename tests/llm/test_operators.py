@@ -189,6 +189,15 @@ def test_lines(spark, docs, texts, awkward, empty):
     assert {r.doc_id: r.text for r in kept.collect()}[4] == ""
 
 
+def test_lines_of_repeated_words(spark):
+    """Lines whose neighbouring word pairs are the same in another order are not taken for alike."""
+    rows = [(1, "| red | blue | 10 |"), (2, "| red | pink | 9 |"), (3, "| blue | red | 11 |"), (4, "| blue | red | 12 |"), (5, "| blue | red | x 12 |")]
+    rng = np.random.default_rng(3)
+    rows += [(10 + i, "\n".join(" ".join(rng.choice(["|", "a", "b"], rng.integers(4, 10))) for _ in range(6))) for i in range(40)]
+    rows += [(60, "a " * 3000 + "b " + "a " * 3000), (61, "a " * 3000 + "b b " + "a " * 3000), (62, "a " * 2999 + "b a b " + "a " * 2999)]
+    assert order(lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == order(plain_lines(rows))
+
+
 def plain_facts(text):
     w = words(text)
     counts = collections.Counter(zip(w, w[1:], w[2:]))
