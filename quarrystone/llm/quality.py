@@ -1,9 +1,8 @@
 """Quality rules: counted facts and a hashed n-gram log-likelihood ratio, all in SQL expressions.
 
-The ratio compares two multinomials over ``buckets`` hash slots of word-ending
-n-grams (n = 2; a word counts by its last three characters, so that case
-and trailing marks stay): the trusted documents' and the whole corpus's, both
-counted over every document and smoothed by one.  A document's score is the
+The ratio compares two multinomials over ``buckets`` hash slots of word
+n-grams (n = 1, 2; whole words, so that case and trailing marks stay): the
+trusted documents' and the whole corpus's, both counted over every document and smoothed by one.  A document's score is the
 mean of log2(p_trusted / p_raw) over its n-grams, summed in fixed-point
 integers, so that the order of addition cannot change a verdict.
 """
@@ -56,11 +55,16 @@ def _facts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def ngram_buckets(w: str, buckets: int = BUCKETS) -> Column:
-    """Slots of the two-word n-grams of the word array's endings."""
-    ends = F.transform(w, lambda x: F.xxhash64(F.substring(x, -3, 3)))
+def ngram_hashes(w: str) -> Column:
+    """Hashes of the one- and two-word n-grams of the word array."""
+    ones = F.transform(w, lambda x: F.xxhash64(x))
     pairs = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.zip_with(F.slice(ends, 1, pairs), F.slice(ends, 2, pairs), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
+    twos = F.zip_with(F.slice(ones, 1, pairs), F.slice(ones, 2, pairs), lambda a, b: F.xxhash64(a, b))
+    return F.concat(ones, twos)
+
+
+def _slot(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[int]:
@@ -72,7 +76,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     ids = trusted.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(1))
     small = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col(doc_id).alias("id"), words(F.col(text)).alias("w")).join(F.broadcast(ids) if small else ids, "id", "left")
-    slots = rows.select("good", F.explode(ngram_buckets("w", buckets)).alias("b"))
+    slots = rows.select("good", F.explode(ngram_hashes("w")).alias("h")).select("good", _slot(F.col("h"), buckets).alias("b"))
     raw, good = [1] * buckets, [1] * buckets
     for r in slots.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect():
         raw[r.b] += r.raw
@@ -94,8 +98,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     """
     table = ratio_table(docs, trusted, doc_id, text, buckets)
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    out = _facts(docs, doc_id, text).withColumn("slots", ngram_buckets("w", buckets)).drop("w")
-    out = out.withColumn("sum", F.aggregate("slots", F.lit(0).cast("long"), lambda a, b: a + F.get(known, b))).withColumn("n", F.size("slots"))
+    out = _facts(docs, doc_id, text).withColumn("grams", ngram_hashes("w")).drop("w")
+    total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, h: a + F.get(known, _slot(h, buckets)))
+    out = out.withColumn("sum", total).withColumn("n", F.size("grams"))
     fair = F.col("sum") >= F.floor(F.lit(least_ratio * SCALE)).cast("long") * F.col("n")
     ratio = F.when(F.col("n") > 0, F.col("sum") / F.col("n") / SCALE).otherwise(F.lit(0.0))
     return out.select(

@@ -225,6 +225,26 @@ def test_quality_separates(spark):
     assert rates[1] > 0.99 and rates[0] < 0.2
 
 
+def test_quality_counts_whole_words_and_pairs(spark):
+    """A ratio by hand: single words of one ending are told apart, and one-word texts are judged."""
+    rows = [(1, "nation station"), (2, "ration"), (3, "nation")]
+    mask = (1 << 64) - 1
+    def h(*x):
+        seed = 42
+        for v in x:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed)
+        return seed & mask
+    slot = lambda v: (v - (1 << 64) * (v >> 63)) % quality.BUCKETS
+    grams = {n: [slot(h(x)) for x in t.split()] + [slot(h(h(a), h(b))) for a, b in itertools.pairwise(t.split())] for n, t in rows}
+    raw, good = collections.Counter(itertools.chain(*grams.values())), collections.Counter(grams[1])
+    size = quality.BUCKETS
+    ratio = lambda b: np.log2((good[b] + 1) * (raw.total() + size) / ((raw[b] + 1) * (good.total() + size)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.mean_ratio for r in quality.quality_rules(table, table.where("doc_id = 1")).collect()}
+    assert got == pytest.approx({n: np.mean([ratio(b) for b in g]) for n, g in grams.items()}, abs=1e-4)
+    assert got[2] < got[3] < got[1]
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
