@@ -28,6 +28,8 @@ MOST_TOXIC, MOST_CLEAN = 5000, 10000
 #: Slots of one sampled document that are learned from; those of least hash stay.
 MOST_TERMS = 2048
 THRESHOLD = 0.3
+#: Of a pair's terms; above that of single terms, as there are many more pairs than terms to meet it by chance.
+LEAST_PAIR_CHI2 = 32.0
 _WORD = re.compile(r"\w+")
 _CACHE = 60_000
 
@@ -79,12 +81,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: str, doc_id:
     return [(label, np.frombuffer(slots, "<i4").astype(np.int64)) for label, slots in found]
 
 
-def fit(rows: list, bits: int = BITS, factors: int = 6, rounds: int = 60, rate: float = 0.2, decay: float = 1e-6, least_docs: int = 4, least_chi2: float = 16.0, prior: float = 0.2, seed: int = 11) -> Machine:
+def pair_terms(docs: list[np.ndarray], y: np.ndarray, terms: int, least_chi2: float) -> np.ndarray:
+    """Terms of pairs that count together: among the documents of either term, the other's presence goes with the label by ``least_chi2``.
+
+    ``docs`` has the distinct terms of each document, from 0 to ``terms`` - 1.
+    A term of fewer documents than ``least_chi2`` cannot reach it.  Costs the
+    squares of the documents' numbers of terms, one term's neighbours at a time.
+    """
+    lengths = np.array([len(d) for d in docs], np.int64)
+    if not lengths.sum():
+        return np.zeros(0, np.int64)
+    flat, home = np.concatenate(docs), np.repeat(np.arange(len(docs)), lengths)
+    by_term = home[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(np.bincount(flat, minlength=terms))
+    found = []
+    for a in range(terms):
+        own = by_term[(ends[a - 1] if a else 0) : ends[a]]
+        n, n_1 = len(own), y[own].sum()
+        if n < least_chi2 or not 0 < n_1 < n:
+            continue
+        both = np.bincount(np.concatenate([docs[i] for i in own]), minlength=terms).astype(np.float64)
+        ones = np.bincount(np.concatenate([docs[i] for i in own if y[i]]), minlength=terms)
+        spread = both * (n - both) * n_1 * (n - n_1)
+        near = np.flatnonzero(n * (ones * n - both * n_1) ** 2 >= least_chi2 * np.where(spread > 0, spread, np.inf))
+        found.append(a * terms + near)
+    pairs = np.concatenate([np.zeros(0, np.int64), *found])
+    mutual = np.intersect1d(pairs, pairs % terms * terms + pairs // terms)
+    return np.unique(mutual // terms)
+
+
+def fit(rows: list, bits: int = BITS, factors: int = 6, rounds: int = 60, rate: float = 0.2, decay: float = 1e-6, least_docs: int = 4, least_chi2: float = 16.0, least_pair_chi2: float = LEAST_PAIR_CHI2, prior: float = 0.2, seed: int = 11) -> Machine:
     """Train on (label, slots) rows by AdaGrad on the logistic loss; label 1 weighs ``prior`` of the whole.
 
     Slots in fewer than ``least_docs`` rows, or whose presence goes with the
     label by less than ``least_chi2``, are left out, so that rare words of
-    single documents are not learned by heart.  Without rows of both labels
+    single documents are not learned by heart; but terms of pairs that go with
+    the label together (``pair_terms``) stay.  Without rows of both labels
     the machine answers that label (0 if no rows).
     """
     size = 1 << bits
@@ -95,8 +127,13 @@ def fit(rows: list, bits: int = BITS, factors: int = 6, rounds: int = 60, rate:
     n, n_1 = max(1, len(rows)), y.sum()
     spread = counts * (n - counts) * n_1 * (n - n_1)
     chi2 = np.where(spread > 0, n * (ones * n - counts * n_1) ** 2 / np.maximum(spread, 1), 0)
-    kept = np.flatnonzero((counts >= least_docs) & (chi2 >= least_chi2))
+    alone, able = (counts >= least_docs) & (chi2 >= least_chi2), np.flatnonzero(counts >= max(least_docs, least_pair_chi2))
     place = np.zeros(size, np.int32)
+    if not alone[able].all():
+        place[able] = np.arange(1, len(able) + 1)
+        alone[able[pair_terms([(p := place[r[1]])[p > 0] - 1 for r in rows], y, len(able), least_pair_chi2)]] = True
+        place[:] = 0
+    kept = np.flatnonzero(alone)
     place[kept] = np.arange(1, len(kept) + 1)
     idf = np.r_[0.0, np.log((len(rows) + 1) / (counts[kept] + 1)) / np.log(len(rows) + 2)]
     linear, pair = np.zeros(len(kept) + 1), np.random.default_rng(seed).normal(0, 0.05, (len(kept) + 1, factors))

@@ -334,6 +334,16 @@ def test_toxicity(spark, awkward, empty):
     assert all(r.predicted == 0 for r in toxicity.score_texts(awkward, bare).collect())
 
 
+def test_toxicity_learns_pairs_by_default():
+    """Terms 1 and 2 say nothing alone (100 of 1,000 toxic, 200 of 2,000 clean rows); together they are always toxic."""
+    rng = np.random.default_rng(1)
+    fill = lambda own: np.unique([*own, *rng.integers(100, 1100, 20)]).astype(np.int64)
+    own = [[1, 2]] * 100 + [[3]] * 900 + [[1]] * 200 + [[2]] * 200 + [[]] * 1600
+    model = toxicity.fit([(int(i < 1000), fill(x)) for i, x in enumerate(own)], bits=12)
+    both, one, two, none = (toxicity.score_slots(model, [fill(x) for _ in range(50)]) for x in ([1, 2], [1], [2], []))
+    assert both.min() > toxicity.THRESHOLD > max(one.max(), two.max(), none.max())
+
+
 def test_toxicity_learns_pairs():
     rng = np.random.default_rng(0)
     rows = []
