@@ -76,5 +76,65 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, most_rows: int = 1024,
             start = stop
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have, in the manner of the given ones."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Most bytes of a table that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: A key is hot if it has over one row in so many; so fewer keys than this are hot, whatever the data.
+HOT = 2000
+
+
+def table_bytes(small: DataFrame) -> int:
+    """About the bytes of the rows: 16 a value, and those of strings and arrays."""
+    sizes = F.lit(0).cast("long")
+    for field in small.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        more = F.octet_length(column) if kind in ("string", "binary") else F.size(column) * 16 if kind == "array" else F.lit(16 * 3 if kind == "struct" else 0)
+        sizes = sizes + 16 + F.coalesce(more, F.lit(0))
+    return small.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
+
+
+def near(small: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` with a broadcast hint if its rows are counted to be small enough, else as it is."""
+    return F.broadcast(small) if table_bytes(small) <= most else small
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join on non-null keys that ``right`` has once each, with ``count`` rows of ``left``'s ``total`` each.
+
+    Rows of hot keys, of which there are fewer than HOT, meet ``right`` by
+    broadcast; the others are shuffled, so no key fills a task.
+    """
+    hot = F.col(count) * HOT > total
+    few = right.where(hot).drop(count)
+    (mark,) = free_names(left, "is_hot")
+    marked = left.join(F.broadcast(few.withColumn(mark, F.lit(True))), on, "left")
+    met = marked.where(F.col(mark)).drop(mark)
+    rest = marked.where(F.col(mark).isNull()).select(*left.columns).join(right.where(~hot).drop(count), on)
+    return met.unionByName(rest)
+
+
+def leave_out(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], count: str, total: int) -> DataFrame:
+    """``docs`` without the rows whose keys stand in ``gone``, which has each key once, with ``count`` rows each; nulls are equal."""
+    names = dict(zip(keys, free_names(docs, *keys)))
+    gone = gone.select(*[F.col(k).alias(v) for k, v in names.items()], F.col(count).alias("n"))
+    same = F.lit(True)
+    for k, v in names.items():
+        same = same & keys[k].eqNullSafe(F.col(v))
+    if table_bytes(gone) <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(gone.drop("n")), same, "left_anti")
+    hot = F.col("n") * HOT > total
+    return docs.join(F.broadcast(gone.where(hot).drop("n")), same, "left_anti").join(gone.where(~hot).drop("n"), same, "left_anti")
+
+
 def reduce_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

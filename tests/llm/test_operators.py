@@ -260,13 +260,61 @@ def plain_targets(sizes):
     return out
 
 
-def test_mixing(spark, docs, texts, awkward, empty):
-    got = mixing.mix_counts(docs.withColumn("source", F.when(F.col("doc_id") % 5 > 0, F.lit("hot")).otherwise(F.when(F.col("doc_id") % 3 > 0, F.col("source"))))).collect()
-    sizes, source = collections.Counter(), {}
-    for r in docs.collect():
-        source[r.doc_id] = "hot" if r.doc_id % 5 else r.source if r.doc_id % 3 else None
-        sizes[source[r.doc_id]] += len(words(r.text))
-    want, taken = plain_targets(sizes), collections.Counter()
+def plain_taken(rows, seed=17):
+    """(id, taken) of rows (id, text, source): whole copies, certain rows, then the Pareto ranking cut at the words left."""
+    size, out = collections.Counter(), []
+    for _, t, s in rows:
+        size[s] += len(words(t))
+    target = plain_targets(size)
+    for s in size:
+        own = [(n, t, len(words(t))) for n, t, x in rows if x == s]
+        whole = int(target[s] // size[s]) if size[s] else 0
+        left = target[s] - whole * size[s]
+        group = lambda n: n.bit_length()
+        words_of = collections.Counter()
+        for _, _, n in own:
+            words_of[group(n)] += n
+        # the level at which sum(min(1, level / (1 + g)) * words) is what is left
+        low, high = 0.0, 100.0
+        for _ in range(200):
+            level = (low + high) / 2
+            if sum(min(1, level / (1 + g)) * w for g, w in words_of.items()) < left:
+                low = level
+            else:
+                high = level
+        ranked, copies = [], {}
+        for n, t, k in own:
+            p = min(1.0, high / (1 + group(k))) if k else 0.0
+            sure = p > 1 - 1e-9
+            tag = f"{'null' if n is None else n}:{hashlib.md5((t or '').encode()).hexdigest()}"
+            copies[tag] = whole + sure if k else 0
+            left -= k * sure
+            if 1e-9 < p < 1 - 1e-9:
+                u = (int(hashlib.md5(f"{seed}:{tag}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                ranked.append((u / (1 - u) / (p / (1 - p)), tag, k))
+        equal = collections.Counter((q, tag) for q, tag, _ in ranked)
+        run = 0
+        for q, tag, k in sorted(set(ranked)):
+            run += k * equal[q, tag]
+            if run - k * equal[q, tag] / 2 > left:
+                break
+            copies[tag] += 1
+        out += [(n, copies[f"{'null' if n is None else n}:{hashlib.md5((t or '').encode()).hexdigest()}"] * k) for n, t, k in own]
+    return out
+
+
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 2])
+def test_mixing(spark, docs, texts, awkward, empty, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    dealt = docs.withColumn("source", F.when(F.col("doc_id") % 5 > 0, F.lit("hot")).otherwise(F.when(F.col("doc_id") % 3 > 0, F.col("source"))))
+    rows = [(r.doc_id, r.text, r.source) for r in dealt.collect()]
+    source = {n: s for n, _, s in rows}
+    sizes = collections.Counter()
+    for n, t, s in rows:
+        sizes[s] += len(words(t))
+    got, want = mixing.mix_counts(dealt).collect(), plain_targets(sizes)
+    assert order((r.doc_id, r.taken) for r in got) == order(plain_taken(rows))
+    taken = collections.Counter()
     for r in got:
         assert r["size"] == len(words(texts[r.doc_id])) and r.target == pytest.approx(want[source[r.doc_id]]) and 0 <= r.taken <= 2 * r["size"]
         taken[source[r.doc_id]] += r.taken
@@ -274,8 +322,19 @@ def test_mixing(spark, docs, texts, awkward, empty):
     assert all(abs(taken[s] - want[s]) <= longest / 2 + 1 for s in want)
     again = mixing.mix_documents(docs)
     assert again.columns == docs.columns and again.count() == mixing.mix_counts(docs).agg(F.sum("copies")).first()[0]
-    assert order(mixing.mix_counts(awkward).collect()) == order(mixing.mix_counts(awkward.repartition(7)).collect())
-    assert mixing.mix_counts(awkward).count() == len(AWKWARD) and mixing.mix_counts(empty).count() == 0
+    got = mixing.mix_counts(awkward)
+    assert order((r.doc_id, r.taken) for r in got.collect()) == order(plain_taken([(r[0], r[1], r[3]) for r in AWKWARD]))
+    assert order(got.collect()) == order(mixing.mix_counts(awkward.repartition(7)).collect())
+    mixed = mixing.mix_documents(awkward).collect()
+    assert len(mixed) == got.agg(F.sum("copies")).first()[0] and all(words(r.text) for r in mixed)
+    assert got.count() == len(AWKWARD) and mixing.mix_counts(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_mixing_odds_sum_to_what_is_left(spark, docs):
+    rows = docs.select(*mixing._rows("doc_id", "text", "source"))
+    stats = mixing.source_targets(rows).withColumn("left", F.col("source_size") * 0.3)
+    for r in mixing.inclusion(rows, stats).groupBy("key").agg(F.sum(F.col("p") * F.col("words")).alias("w")).join(stats, "key").collect():
+        assert r.w == pytest.approx(r.left)
 
 
 def library():
