@@ -123,17 +123,25 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total
     return met.unionByName(rest)
 
 
-def leave_out(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], count: str, total: int) -> DataFrame:
-    """``docs`` without the rows whose keys stand in ``gone``, which has each key once, with ``count`` rows each; nulls are equal."""
+def by_keys(docs: DataFrame, listed: DataFrame, keys: dict[str, Column], count: str, total: int, kept: bool) -> DataFrame:
+    """The rows of ``docs`` whose keys are ``listed`` (if ``kept``; else the others), with their columns; nulls are equal.
+
+    ``listed`` has each key once, with ``count`` rows of ``docs``'s ``total``.
+    A list over BROADCAST_BYTES is joined by a shuffle, but for hot keys.
+    """
     names = dict(zip(keys, free_names(docs, *keys)))
-    gone = gone.select(*[F.col(k).alias(v) for k, v in names.items()], F.col(count).alias("n"))
+    own = listed.select(*[F.col(k).alias(v) for k, v in names.items()], F.col(count).alias("rows"))
     same = F.lit(True)
     for k, v in names.items():
         same = same & keys[k].eqNullSafe(F.col(v))
-    if table_bytes(gone) <= BROADCAST_BYTES:
-        return docs.join(F.broadcast(gone.drop("n")), same, "left_anti")
-    hot = F.col("n") * HOT > total
-    return docs.join(F.broadcast(gone.where(hot).drop("n")), same, "left_anti").join(gone.where(~hot).drop("n"), same, "left_anti")
+    how = "left_semi" if kept else "left_anti"
+    if table_bytes(own) <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(own.drop("rows")), same, how)
+    hot = F.col("rows") * HOT > total
+    few, many = F.broadcast(own.where(hot).drop("rows")), own.where(~hot).drop("rows")
+    if not kept:
+        return docs.join(few, same, how).join(many, same, how)
+    return docs.join(few, same, how).unionByName(docs.join(few, same, "left_anti").join(many, same, how))
 
 
 def reduce_rows(spark: SparkSession) -> int:

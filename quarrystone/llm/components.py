@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut_lineage
+from quarrystone.llm.common import cut_lineage, join_hot
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
 
     Alternates the large-star and small-star contractions of Kiveris et al.
     ("Connected Components in MapReduce and Beyond", 2014) until the edge set
-    is a forest of stars.  Each step is a partially aggregated minimum and an
-    equi-join, so a hub never has its neighbours gathered in one task.
+    is a forest of stars.  Each step is a partially aggregated minimum and a
+    join in which the edges of hubs meet their minimum by broadcast, so a hub
+    never has its neighbours gathered in one task.
     Nulls and self-loops are ignored; an empty table gives an empty table.
     """
     a, b = F.col(left), F.col(right)
@@ -29,14 +30,11 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     if before[0] == 0:
         return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     for _ in range(max_rounds):
-        lowest = (
-            stars.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-            .unionAll(stars.select(F.col("lo").alias("u"), F.col("lo").alias("v")))
-            .groupBy("u").agg(F.min("v").alias("m"))
-        )
-        large = stars.join(lowest, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct()
-        least = large.groupBy(F.col("hi").alias("h")).agg(F.min("lo").alias("m"))
-        joined = large.join(least, F.col("hi") == F.col("h"))
+        both = stars.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("lo").alias("v")))).alias("e"))
+        lowest = both.groupBy(F.col("e.u").alias("lo")).agg(F.min("e.v").alias("m"), F.count("*").alias("c"))
+        large = join_hot(stars, lowest, ["lo"], "c", before[0]).select("hi", F.col("m").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("c"))
+        joined = join_hot(large, least, ["hi"], "c", before[0])
         small = joined.select(
             F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")
         ).select("e.hi", "e.lo").where("hi != lo").distinct()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut_lineage, pieces, raw_texts, reduce_rows
+from quarrystone.llm.common import by_keys, cut_lineage, free_names, join_hot, pieces, raw_texts, reduce_rows
 from quarrystone.llm.components import connected_components
 
 #: Rows at one anchor that one task compares at once.
@@ -203,6 +203,16 @@ def near_links(prints: DataFrame, max_bits: int = 3, group_rows: int = GROUP_ROW
     return dealt.select("anchor", "part", "fp", "home").mapInArrow(_compare(max_bits), "a long, b long")
 
 
+def _joined(nodes: DataFrame, max_bits: int, group_rows: int) -> DataFrame:
+    """``nodes`` (fp, rep, c), and the least ``rep`` of each fingerprint's component as ``least``."""
+    stars = connected_components(near_links(nodes.select("fp"), max_bits, group_rows), "a", "b")
+    members = stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
+    known = members.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "rep")
+    least = known.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("size"))
+    grouped = join_hot(known.select("fp", "root"), least, ["root"], "size", known.count()).select("fp", "least")
+    return cut_lineage(nodes.join(grouped, "fp", "left").withColumn("least", F.coalesce("least", "rep")))
+
+
 def simhash_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3, max_bits: int = 3, seed: int = 42, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -217,35 +227,34 @@ def simhash_groups(
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprint_rows(shingle_words, seed), "id long, fp long")
     rows = cut_lineage(rows)
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    stars = connected_components(near_links(nodes.select("fp"), max_bits, group_rows), "a", "b")
-    members = stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
-    known = members.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "rep")
-    least = known.groupBy("root").agg(F.min("rep").alias("least"))
-    grouped = known.join(least, "root").select("fp", "least")
-    named = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    out = rows.join(named, "fp")
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("c")))
+    named = _joined(nodes, max_bits, group_rows).select("fp", F.col("least").alias("component_id"), "c")
+    out = join_hot(rows, named, ["fp"], "c", rows.count())
     return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Most ids to drop that are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3, max_bits: int = 3, seed: int = 42, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The rows of ``docs``, one of each SimHash group, with the columns they came with.
 
-    The row of least id stays.  Where ids repeat or are null, rows are told
-    apart by a hash of id and text instead, the least of which stays, and of
-    equal rows one.
+    The row of least id stays, null ids last; of rows of that id the one
+    whose text has the least hash, and of rows of equal id and text any one.
+    Null and wordless texts are one group like any other.
     """
-    ids = docs.groupBy(F.col(doc_id).alias("i")).count().where("count > 1 OR i IS NULL")
-    if ids.isEmpty():
-        name, rows = F.col(f"`{doc_id}`"), docs
-    else:
-        name = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-        rows = docs.withColumn("__row", name).dropDuplicates(["__row"]).drop("__row")
-    groups = simhash_groups(rows.select(name.alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", shingle_words, max_bits)
-    gone = cut_lineage(groups.where("id <> component_id").select(F.col("id").alias("__gone")))
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if small else gone, name == F.col("__gone"), "left_anti")
+    name, mark = F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    prints = docs.select(F.struct(name.alias("id"), mark.alias("mark")).alias("id"), F.col(f"`{text}`").alias("text"))
+    prints = prints.mapInArrow(_fingerprint_rows(shingle_words, seed), "id struct<id long, mark long>, fp long")
+    rows = cut_lineage(prints.groupBy("id.id", "id.mark").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min(order).alias("rep"), F.count("*").alias("c")))
+    named = _joined(nodes, max_bits, group_rows).select("fp", "least", "c")
+    found = join_hot(rows, named, ["fp"], "c", rows.count())
+    gone = cut_lineage(found.where(order != F.col("least")).select("id", "mark", "copies"))
+    total = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.max("copies").alias("most")).first()
+    out = by_keys(docs, gone, {"id": name, "mark": mark}, "copies", total.n, kept=False)
+    if (total.most or 0) < 2:
+        return out
+    # of equal rows one stays: rows that have an equal are taken apart, so that other texts are not moved
+    twins = cut_lineage(rows.where("copies > 1").select("mark", "copies"))
+    (twin,) = free_names(docs, "twin")
+    single, double = (by_keys(out, twins, {"mark": mark}, "copies", total.n, kept) for kept in (False, True))
+    return single.unionByName(double.withColumn(twin, mark).dropDuplicates([twin]).drop(twin))

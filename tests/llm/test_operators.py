@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrystone.llm import components, decontaminate, langid, lines, mixing, pfor, quality, registry, secret_scan, simhash, substrings, tokens, toxicity
+from quarrystone.llm import common, components, decontaminate, langid, lines, mixing, pfor, quality, registry, secret_scan, simhash, substrings, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, count long, key string"
 AWKWARD = [
@@ -101,18 +101,27 @@ def test_simhash_anchors_cover():
         assert len(at[0][1]) <= 34
 
 
-def test_drop_near_copies(docs, texts, awkward, empty):
+@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+def test_drop_near_copies(spark, docs, texts, awkward, empty, most, monkeypatch):
+    """Of each group the row of least id stays, whether ids repeat elsewhere or not, joined by broadcast or shuffle."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     kept = {r[0] for r in plain_groups(sorted(texts.items())) if r[0] == r[2]}
     got = simhash.drop_near_copies(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(kept)
-    assert sorted(r.doc_id for r in simhash.drop_near_copies(awkward).where("doc_id in (4, 5)").collect()) in ([4], [5])
+    clash = awkward.withColumn("__gone", F.lit(1)).withColumn("twin", F.lit(2)).withColumn("mark", F.lit(3)).withColumn("id", F.lit("x"))
+    rows = simhash.drop_near_copies(clash)
+    assert rows.columns == clash.columns
+    want = [name for name, _, least in plain_groups([r[:2] for r in AWKWARD]) if name == least or least is None]
+    assert sorted((r.doc_id for r in rows.collect()), key=repr) == sorted(set(want), key=repr)
+    both = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:]).limit(5))
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(both).collect()) == sorted(kept)
     assert simhash.drop_near_copies(empty).count() == 0
 
 
 def test_components_of_a_path_and_a_star(spark):
-    path = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (None, 3)]
+    path = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (None, 3)] + [(x, 9000) for x in range(1000, 5000)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(path, "a long, b long"), "a", "b").collect()}
-    assert got == {i: 1 for i in range(2, 41)} | {i: 100 for i in range(101, 140)}
+    assert got == {i: 1 for i in range(2, 41)} | {i: 100 for i in range(101, 140)} | {i: 1000 for i in [*range(1001, 5000), 9000]}
 
 
 def plain_removed(rows):
