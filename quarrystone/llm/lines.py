@@ -2,7 +2,8 @@
 
 Two lines are alike if they are equal, or if both have at least ``LEAST_WORDS``
 words and one turns into the other by changing, adding or removing one word
-(word edit distance 1).  A line goes if a line before it, in order of document
+(word edit distance 1): one word in five, as a similarity of 0.8 allows, so a
+shorter line has an edit bound of 0.  A line goes if a line before it, in order of document
 and line number, is alike; the earliest stays.
 
 Deletion neighbourhood (FastSS): a line emits its variants with one word left
@@ -23,20 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut_lineage, words
+from quarrystone.llm import common
+from quarrystone.llm.common import cut_lineage, free_names, join_hot, table_bytes, words
 
 LEAST_WORDS = 5
 
 
-#: Most candidate lines whose hashes are broadcast; more are joined by a shuffle.
-BROADCAST_LINES = 1_000_000
-
-
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Lines that have a word, by place and hash."""
-    rows = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "line"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("row"), F.posexplode(F.split(body, "\n")).alias("no", "line"))
     rows = rows.where(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "")
-    return rows.select("doc", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return rows.select("doc", "row", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _keys(n: Column, w: str) -> list[Column]:
@@ -49,42 +48,45 @@ def _keys(n: Column, w: str) -> list[Column]:
     return [*halves(n), *halves(n - 1)]
 
 
-def _place(doc: str = "doc", no: str = "no") -> Column:
-    """Order of lines: null documents last."""
-    return F.struct(F.col(doc).isNull().alias("last"), F.col(doc).alias("doc"), F.col(no).alias("no"))
+def _place() -> Column:
+    """Order of lines: by document, null ids last, rows of equal id by a hash of their text, then line number."""
+    return F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "no")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, line_no, kept_id, kept_line_no, distance) of every line that goes.
+    """(id, line_no, kept_id, kept_line_no, distance, row) of every line that goes.
 
     Line numbers begin at 0.  ``kept`` is the first line alike of distance 0,
     or of distance 1 if there is no equal line before.  Lines without a word
     always stay.  Null texts have none.  A null id comes last; rows of equal
-    id are told apart by line number only, so the same line of both counts
-    once.  Very long lines cost their number of words.  No other column is
-    read.
+    id are ordered by ``row``, a hash of the text, and rows of equal id and
+    text are one document, whose lines go or stay in each.  Very long lines
+    cost their number of words.  An empty table gives an empty result.  No
+    other column is read.
     """
     lines = _lines(docs, doc_id, text)
     # numbers alone are grouped: a line's text is looked at again only if it is a candidate
     hashed = lines.withColumn("w", words(F.col("line"))).withColumn("n", F.size("w")).drop("line")
     long_enough = F.col("n") >= least_words
-    hashed = hashed.select("doc", "no", "h1", "h2", *[F.when(long_enough, k).alias(f"k{i}") for i, k in enumerate(_keys(F.col("n"), "w"))])
-    known = hashed.groupBy("h1", "h2").agg(F.min(_place()).alias("at"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    hashed = hashed.select("doc", "row", "no", "h1", "h2", *[F.when(long_enough, k).alias(f"k{i}") for i, k in enumerate(_keys(F.col("n"), "w"))])
+    known = hashed.groupBy("h1", "h2").agg(F.min(_place()).alias("at"), F.count("*").alias("times"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     known = cut_lineage(known)
-    halves = known.where("k0 IS NOT NULL").select("h1", "h2", "at", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
+    halves = known.where("k0 IS NOT NULL").select("h1", "h2", "at", "times", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
     shared = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    able = cut_lineage(halves.join(shared, "k", "left_semi").select("h1", "h2", "at").distinct())
-    small = able.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = lines.join(F.broadcast(able) if small else able, ["h1", "h2"])
+    able = cut_lineage(halves.join(shared, "k", "left_semi").select("h1", "h2", "at", "times").distinct())
+    n_lines = known.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    # one line of each kind is read again, so the others are left out before the words are looked at
+    small = table_bytes(able) <= common.BROADCAST_BYTES
+    texts = lines.join(F.broadcast(able), ["h1", "h2"]) if small else join_hot(lines, able, ["h1", "h2"], "times", n_lines)
     texts = texts.where(_place() == F.col("at"))
-    near = texts.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["h1", "h2"])
-    long = near = cut_lineage(near.withColumn("n", F.size("w")))
+    long = texts.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["h1", "h2"])
+    long = cut_lineage(long.withColumn("n", F.size("w")))
     # the parity sum of all words hashed with their places stands for a line, so that equal sums mean equal words in equal order;
     # words after the gap move up one place, and what that changes up to each gap is a running parity sum
     n = F.col("n")
     xor = lambda a, b: a.bitwiseXOR(b)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), xor)
-    edged = near.withColumn("here", F.transform("w", lambda x, i: F.xxhash64(x, i))).withColumn("up", F.transform("w", lambda x, i: F.xxhash64(x, i - 1)))
+    edged = long.withColumn("here", F.transform("w", lambda x, i: F.xxhash64(x, i))).withColumn("up", F.transform("w", lambda x, i: F.xxhash64(x, i - 1)))
     edged = edged.withColumn("run", _running(F.zip_with("here", "up", xor), n, xor))
     spots = F.zip_with("here", F.zip_with("here", "run", xor), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     edged = edged.select("h1", "h2", "at", "n", total("here").alias("all"), total("up").alias("moved"), spots.alias("spots"))
@@ -106,15 +108,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     partner = F.when(F.col("role") == 0, F.col("s0")).when(F.col("role") == 1, F.col("s2")).otherwise(F.col("s1"))
     links = met.select("h1", "h2", "at", partner.alias("p")).where("p < at").groupBy("h1", "h2").agg(F.min("p").alias("near"))
     links = _verified(links, long)
-    state = known.select("h1", "h2", "at").join(links, ["h1", "h2"], "left")
-    out = lines.select("doc", "no", "h1", "h2").join(state, ["h1", "h2"])
+    state = cut_lineage(known.select("h1", "h2", "at", "times").join(links, ["h1", "h2"], "left").where("times > 1 OR near IS NOT NULL"))
+    out = join_hot(lines.select("doc", "row", "no", "h1", "h2"), state, ["h1", "h2"], "times", n_lines)
     mine = _place()
     exact = F.col("at") < mine
     kept = F.when(exact, F.col("at")).otherwise(F.col("near"))
     out = out.where(exact | F.col("near").isNotNull()).withColumn("kept", kept)
     return out.select(
         F.col("doc").alias(doc_id), F.col("no").cast("long").alias("line_no"), F.col("kept.doc").alias("kept_id"),
-        F.col("kept.no").cast("long").alias("kept_line_no"), F.when(exact, 0).otherwise(1).alias("distance"),
+        F.col("kept.no").cast("long").alias("kept_line_no"), F.when(exact, 0).otherwise(1).alias("distance"), "row",
     )
 
 
@@ -145,8 +147,15 @@ def _verified(links: DataFrame, long: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, repeats: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the listed lines left out of their texts; ids are taken to be unique and known."""
-    gone = repeats.groupBy(F.col(doc_id).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs[doc_id] == F.col("__id"), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce(F.col("__gone"), F.array().cast("array<bigint>")), i.cast("long")))
-    return joined.withColumn(text, F.array_join(kept, "\n")).drop("__id", "__gone")
+    """``docs`` with the lines that ``repeated_lines`` gave left out of their texts; rows are known by id and ``row``, and null ids are equal.
+
+    A row's line numbers are brought together, which is no more than the row
+    itself holds.
+    """
+    name, row, gone = free_names(docs, "line_doc", "line_row", "lines_gone")
+    listed = repeats.groupBy(F.col(doc_id).alias(name), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone))
+    body = F.col(f"`{text}`")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(name)) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col(row))
+    joined = docs.join(listed, same, "left")
+    kept = F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long")))
+    return joined.withColumn(text, F.when(F.col(gone).isNull(), body).otherwise(F.array_join(kept, "\n"))).drop(name, row, gone)

@@ -156,10 +156,16 @@ def test_difference_cover():
         assert any((i + d) % 7 in substrings.COVER and (j + d) % 7 in substrings.COVER for d in range(7))
 
 
+def row_hash(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) * (h >> 63)
+
+
 def plain_lines(rows):
-    flat = [(n, k, line, [w for w in re.split("[ \t\x0b\f\r]+", line) if w]) for n, t in rows for k, line in enumerate((t or "").split("\n"))]
+    """Every line that goes; rows of equal id and text are one document."""
+    flat = [(n, k, line, [w for w in re.split("[ \t\x0b\f\r]+", line) if w], row_hash(t)) for n, t in set(rows) for k, line in enumerate((t or "").split("\n"))]
     flat = [x for x in flat if x[3]]
-    place = lambda x: (x[0] is None, x[0] or 0, x[1])
+    place = lambda x: (x[0] is None, x[0] or 0, x[4], x[1])
 
     def distance(a, b):
         if a == b:
@@ -170,32 +176,46 @@ def plain_lines(rows):
         q = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
         return 1 if p + q >= max(len(a), len(b)) - 1 else 2
 
-    first, out = {}, []
+    first, out, times = {}, [], collections.Counter((n, row_hash(t)) for n, t in rows)
     for x in sorted(flat, key=place):
         first.setdefault(x[2], x)
-    near = {}
-    for x in first.values():
-        alike = [y for y in first.values() if place(y) < place(x) and distance(x[3], y[3]) == 1]
+    near, seen = {}, collections.defaultdict(list)
+    for x in sorted(first.values(), key=place):  # alike lines share their first or their last half
+        n = len(x[3])
+        halves = {(m, side, *(x[3][: m // 2] if side == "a" else x[3][len(x[3]) - (m - m // 2) :])) for m in (n, n - 1) for side in "az"}
+        alike = [y for h in halves for y in seen[h] if distance(x[3], y[3]) == 1]
         near[x[2]] = min(alike, key=place, default=None)
+        for h in halves:
+            seen[h].append(x)
     for x in flat:
         y = first[x[2]] if place(first[x[2]]) < place(x) else near[x[2]]
         if y:
-            out.append((x[0], x[1], y[0], y[1], 0 if y[2] == x[2] else 1))
+            out += [(x[0], x[1], y[0], y[1], 0 if y[2] == x[2] else 1, x[4])] * times[x[0], x[4]]
     return out
 
 
-def test_lines(spark, docs, texts, awkward, empty):
+@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+def test_lines(spark, docs, texts, awkward, empty, most, monkeypatch):
+    """The whole table, small cases, and awkward rows with repeats."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     rows = [(1, "a b c d e\nq"), (2, "a b x d e\nq\na b c d e f"), (3, "b c d e\nz a b c d e"), (4, "a b c d e"), (5, "a b c e d\na b x d e")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert order(lines.repeated_lines(table).collect()) == order(plain_lines(rows))
-    some = dict(sorted(texts.items())[:60])
-    assert order(lines.repeated_lines(docs.where(F.col("doc_id").isin(list(some)))).collect()) == order(plain_lines(sorted(some.items())))
-    unique = [r[:2] for r in AWKWARD[:5] + AWKWARD[6:]]
-    assert order(lines.repeated_lines(spark.createDataFrame(unique, "doc_id long, text string")).collect()) == order(plain_lines(unique))
+    assert order(lines.repeated_lines(docs).collect()) == order(plain_lines(sorted(texts.items())))
+    assert order(lines.repeated_lines(awkward).collect()) == order(plain_lines([r[:2] for r in AWKWARD]))
+    again = [(4, "x y\nsame line of five words"), (4, "other\nsame line of five words"), (None, "x y\nz"), (None, "x y\nw")] + rows[:2] * 2
+    assert order(lines.repeated_lines(spark.createDataFrame(again, "doc_id long, text string")).collect()) == order(plain_lines(again))
     assert lines.repeated_lines(empty).count() == 0
-    assert lines.repeated_lines(awkward).count() > 0
+
+
+def test_drop_repeated_lines(spark, awkward, empty):
+    rows = [(1, "a b c d e\nq"), (4, "a b c d e"), (4, "q\nr"), (None, "q"), (7, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(1)).withColumn("lines_gone", F.lit(2)).withColumn("line_row", F.lit(3))
     kept = lines.drop_repeated_lines(table, lines.repeated_lines(table))
-    assert {r.doc_id: r.text for r in kept.collect()}[4] == ""
+    assert kept.columns == table.columns
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order([(1, "a b c d e\nq"), (4, ""), (4, "r"), (None, ""), (7, None)])
+    assert lines.drop_repeated_lines(awkward, lines.repeated_lines(awkward)).count() == len(AWKWARD)
+    assert lines.drop_repeated_lines(empty, lines.repeated_lines(empty)).count() == 0
 
 
 def test_lines_of_repeated_words(spark):
