@@ -16,10 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, raw_texts
+from quarrystone.llm.common import cut_lineage, near, pieces, raw_texts
 
-#: Bounds of what a model is fitted on: documents and dictionary bytes a language, and languages.
-DOCS_PER_LANG, DICT_BYTES, MAX_LANGS = 150, 96_000, 256
+#: Bounds of what a model is fitted on: documents and dictionary bytes a language, and dictionary bytes of all languages.
+DOCS_PER_LANG, DICT_BYTES, ALL_DICT_BYTES = 150, 96_000, 64 << 20
+#: Stretches of a sampled text that is longer than its share, spread evenly over the whole of it.
+STRETCHES = 4
 #: Bytes that are compressed at once: short against the dictionary, so that it stays decisive in long texts.
 PIECE = 2048
 LEVEL = 6
@@ -30,28 +32,34 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def fit_dictionaries(
     docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS, seed: int = 7,
+    docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES, all_dict_bytes: int = ALL_DICT_BYTES, seed: int = 7,
 ) -> dict[str, bytes]:
     """Raw-content dictionaries from a bounded sample of the rows where ``learn_from`` holds.
 
-    For each language the ``docs_per_lang`` documents of least seeded hash are
-    taken, evenly cut to ``dict_bytes`` in all; the languages are the
-    ``max_langs`` with most documents.
+    For each language the ``docs_per_lang`` distinct (id, text) of least
+    seeded hash are taken, each cut to an equal share of ``dict_bytes``;
+    every language has a dictionary.  Where they would pass
+    ``all_dict_bytes`` together, each gets an equal part of that, so it is
+    the dictionaries that get smaller and no language that is left out.  Rows
+    of null id, text or language teach nothing.
     """
     able = docs.where(F.expr(learn_from) & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    rows = able.select(F.col(lang).alias("l"), F.col(doc_id).alias("i"), F.xxhash64(F.col(doc_id), F.lit(seed)).alias("h"))
-    known = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()]
-    if not known:
+    able = able.select(F.col(lang).alias("l"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)).alias("h"), F.col(text).alias("t"))
+    kinds = cut_lineage(able.select("l", "h").distinct())
+    n_langs = kinds.select("l").distinct().count()
+    if not n_langs:
         return {}
-    order = Window.partitionBy("l").orderBy("h", "i")
-    chosen = rows.where(F.col("l").isin(known)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang)
-    # docs_per_lang * max_langs ids at most, so the broadcast is bounded
-    picked = able.select(F.col(lang).alias("l"), F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen.select("i", "r").dropDuplicates(["i"])), "i")
-    share = max(64, dict_bytes // docs_per_lang)
-    # each chosen document gives one stretch from its middle, so no text is too long for the driver
-    middle = F.substring("t", F.greatest(F.lit(1), F.floor((F.length("t") - share) / 2).cast("int") + 1), F.lit(share))
+    dict_bytes = min(dict_bytes, max(1, all_dict_bytes // n_langs))
+    docs_per_lang = min(docs_per_lang, max(1, dict_bytes // 64))
+    chosen = kinds.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
+    share = max(1, dict_bytes // docs_per_lang)
+    part = max(1, share // STRETCHES)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring("t", F.floor(i * (F.length("t") - part) / (STRETCHES - 1)).cast("int") + 1, F.lit(part)))
+    cut = F.when(F.length("t") <= share, F.col("t")).otherwise(F.array_join(spread, "\n"))
+    # equal rows have equal stretches, so any of them serves; at most docs_per_lang stretches a language come to the driver
+    picked = able.join(near(cut_lineage(chosen)), ["l", "h"]).groupBy("l", "r").agg(F.min(cut).alias("t"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for row in picked.select("l", "r", middle.alias("t")).collect():
+    for row in picked.collect():
         texts.setdefault(row.l, []).append((row.r, row.t))
     return {k: "\n".join(t for _, t in sorted(v)).lower().encode()[:dict_bytes] for k, v in sorted(texts.items())}
 

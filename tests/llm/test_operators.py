@@ -458,6 +458,39 @@ def test_langid(spark, awkward, empty):
     assert langid.identify_languages(empty, {}, registry.HELD_OUT).count() == 0 and langid.fit_dictionaries(empty, registry.LEARN) == {}
 
 
+def test_langid_fits_every_language_and_each_row_once(spark):
+    """300 languages have a dictionary each, and rows of one id, equal or not, count as what they are."""
+    rows = [(i, f"word{i} other{i} " * 50, f"lang{i:03d}") for i in range(300)] + [(999, "one and the same row", "hot")] * 2000 + [(998, f"text {i} of one id", "many") for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_dictionaries(table, "true")
+    assert len(model) == 302 and model["hot"] == b"one and the same row"
+    assert all(f"text {i} of one id".encode() in model["many"] for i in range(50))
+    assert langid.fit_dictionaries(table.repartition(5), "true") == model
+    small = langid.fit_dictionaries(table, "true", all_dict_bytes=302 * 100)
+    assert len(small) == 302 and all(0 < len(x) <= 100 for x in small.values())
+    long = spark.createDataFrame([(1, "a" * 900 + " middle " + "z" * 900 + " the end", "x")], table.schema)
+    assert b"the end" in langid.fit_dictionaries(long, "true")["x"]
+
+
+def test_toxicity_sample(spark):
+    """Every term of a sampled document counts; repeated ids and labels both ways give one row, the same in reruns."""
+    long = " ".join(f"w{i}" for i in range(6000))
+    rows = [(1, long), (2, "b"), (2, "a"), (2, "b"), (3, None), (4, ""), (None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit(1)).withColumn("i", F.lit(1))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (4, 0), (None, 1), (5, 1), (6, None)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(table, labels, "true", "doc_id", "text", "toxic", 20, 5)
+    assert sorted((y, len(x)) for y, x in sample) == [(0, 0), (0, 0), (1, 1), (1, len(toxicity.term_slots(long.encode(), {})))]
+    again = toxicity.labelled_sample(table.repartition(7), labels.repartition(3), "true", "doc_id", "text", "toxic", 20, 5)
+    assert [(y, x.tolist()) for y, x in again] == [(y, x.tolist()) for y, x in sample]
+
+
+def test_drop_toxic(spark, awkward, empty):
+    machine = toxicity.fit([(1, np.array([zlib.crc32(b"insult") & ((1 << toxicity.BITS) - 1)]))] * 50 + [(0, np.array([7]))] * 200)
+    table = awkward.unionByName(awkward.limit(1).withColumn("text", F.lit("an insult")).withColumn("doc_id", F.lit(70).cast("long")))
+    assert order(toxicity.drop_toxic(table, machine).collect()) == order(awkward.collect())
+    assert toxicity.drop_toxic(empty, machine).columns == empty.columns and toxicity.drop_toxic(empty, machine).count() == 0
+
+
 def test_decontamination(spark, awkward, empty):
     q = "Tom has 12 apples and gives 5 kg to Ann Lee before noon, then Tom buys 3 more; how many apples has Tom now?"
     same = "Well, so Bill has 40 apples and gives 7 lb to Sue before noon, then Bill buys 9 more; how many apples has Bill now?"
