@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import pieces, raw_texts
 
 BITS = 20
-#: Bounds of the labelled sample: documents of either label that the driver ever holds (as term slots).
+#: Bounds of the labelled sample: documents of either label that the driver ever holds (as term slots, all of each).
 MOST_TOXIC, MOST_CLEAN = 5000, 10000
-#: Slots of one sampled document that are learned from; those of least hash stay.
-MOST_TERMS = 2048
 THRESHOLD = 0.3
 #: Of a pair's terms; above that of single terms, as there are many more pairs than terms to meet it by chance.
 LEAST_PAIR_CHI2 = 32.0
@@ -59,24 +57,26 @@ def _slot_rows(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for piece in pieces(batches, "text"):
-            slots = []
-            for raw in raw_texts(piece.column("text")):
-                own = term_slots(raw, cache, bits)
-                slots.append(own[np.argsort((own * 0x9E3779B1) & 0xFFFFFFFF)[:MOST_TERMS]].astype("<i4").tobytes())
+            slots = [term_slots(raw, cache, bits).astype("<i4").tobytes() for raw in raw_texts(piece.column("text"))]
             yield pa.RecordBatch.from_arrays([piece.column("label"), pa.array(slots, pa.binary())], ["label", "slots"])
 
     return run
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: str, doc_id: str, text: str, label: str, bits: int, seed: int) -> list:
-    """Rows (label, slots) of at most MOST_TOXIC and MOST_CLEAN documents, of least seeded hash."""
+    """Rows (label, slots) of at most MOST_TOXIC and MOST_CLEAN documents, of least seeded hash.
+
+    A label holds for an id; an id labelled both ways counts as 1.  Of several
+    texts of an id the one of least hash is learned from, so reruns learn the
+    same.  Null ids and labels other than 0 and 1 teach nothing.
+    """
     able = labels.where(F.expr(learn_from) & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
     able = able.groupBy(F.col(doc_id).alias("i")).agg(F.max(F.col(label).cast("int")).alias("label"))
     able = able.join(docs.select(F.col(doc_id).alias("i")).distinct(), "i", "left_semi").withColumn("h", F.xxhash64("i", F.lit(seed)))
     chosen = able.where("label = 1").orderBy("h", "i").limit(MOST_TOXIC).unionAll(able.where("label = 0").orderBy("h", "i").limit(MOST_CLEAN))
     # at most MOST_TOXIC + MOST_CLEAN ids, so the broadcast is bounded
-    picked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(chosen.select("i", "label", "h")), "i")
-    rows = picked.select("label", "text", "i").dropDuplicates(["i"]).select("label", "text").mapInArrow(_slot_rows(bits), "label int, slots binary")
+    picked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(chosen.select("i", "label")), "i")
+    rows = picked.groupBy("i", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text").mapInArrow(_slot_rows(bits), "label int, slots binary")
     found = sorted((r.label, bytes(r.slots)) for r in rows.collect())
     return [(label, np.frombuffer(slots, "<i4").astype(np.int64)) for label, slots in found]
 
@@ -177,13 +177,17 @@ def fit(rows: list, bits: int = BITS, factors: int = 6, rounds: int = 60, rate:
 def score_slots(model: Machine, docs: list[np.ndarray]) -> np.ndarray:
     """Probability of label 1 for each document's slots."""
     raw = np.full(len(docs), model.bias)
-    for row, slots in enumerate(docs):
-        index = model.place[slots]
-        index = index[index > 0]
-        if len(index):
-            x = model.idf[index]
-            vx = model.factors[index] * x[:, None]
-            raw[row] += model.linear[index] @ x + 0.5 * ((vx.sum(0) ** 2).sum() - (vx**2).sum())
+    lengths = np.array([len(d) for d in docs], np.int64)
+    index = model.place[np.concatenate(docs)] if lengths.sum() else np.zeros(0, np.int64)
+    known = np.flatnonzero(index)
+    if len(known):
+        row = np.repeat(np.arange(len(docs)), lengths)[known]
+        index = index[known]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        x = model.idf[index]
+        vx = model.factors[index] * x[:, None]
+        pairs = np.add.reduceat(vx, start, axis=0) ** 2 - np.add.reduceat(vx**2, start, axis=0)
+        raw[row[start]] += np.add.reduceat(model.linear[index] * x, start) + 0.5 * pairs.sum(1)
     return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
@@ -215,7 +219,12 @@ def score_texts(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, model: Machine, text: str = "text", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns; the text is scored where it lies, without a join."""
+    """The rows that score below ``threshold``, with all their columns; the text is scored where it lies, without a join.
+
+    A null or empty text scores the machine's bias; repeated rows and null
+    ids are judged like any other, so equal texts go or stay together.  An
+    empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
