@@ -48,7 +48,7 @@ def dictionary() -> frozenset[str]:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for secrets in all documents, each with the forest's score and verdict."""
     words = dictionary()
-    forest = secret_scan.fit_findings(secret_scan.labelled_findings(), words)
+    forest = secret_scan.fit_findings(secret_scan.findings_table(spark), words)
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest, words)
 
 

@@ -2,9 +2,8 @@
 
 The forest sees a candidate's length, transitions between character classes,
 coverage by dictionary words, likeness to a path, and the words beside it.  It
-is trained from labelled findings; ``labelled_findings`` makes such a set by
-rule, since the tables hold none, and any table of (text, start, stop, label)
-serves in its place.
+is trained from a table of labelled findings (text, start, stop, label);
+``findings_table`` makes one by rule, since the corpus has none.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import pieces, raw_texts
@@ -37,6 +36,10 @@ FORMS = {
     "github_token": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b"),
     "slack_token": (("xox",), r"\b(xox[abprs]-[A-Za-z0-9-]{10,})"),
     "api_key": (("sk-",), r"\b(sk-[A-Za-z0-9_-]{20,})"),
+    "google_key": (("AIza",), r"\b(AIza[A-Za-z0-9_-]{35})"),
+    "stripe_key": (("sk_live_", "rk_live_"), r"\b([sr]k_live_[A-Za-z0-9]{16,})"),
+    "gitlab_token": (("glpat-",), r"\b(glpat-[A-Za-z0-9_-]{20,})"),
+    "url_password": (("://",), r"://[^\s:/@\"']{1,64}:([^\s@/\"']{6,})@"),
     "jwt": (("eyJ",), r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     "private_key": (("PRIVATE KEY",), r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)"),
     "bearer": (("earer",), r"\b[Bb]earer\s+([A-Za-z0-9._~+/-]{12,}=*)"),
@@ -49,6 +52,8 @@ _NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?k
 FOR = frozenset("key keys secret secrets token tokens password passwd pwd passphrase auth authorization bearer credential credentials aws api private access login".split())
 AGAINST = frozenset("example examples sample dummy test placeholder fake your changeme redacted commit sha sha1 sha256 sha512 md5 checksum digest hash uuid guid revision integrity version path file http https import package class function".split())
 FEATURES = ("length", "distinct", "entropy", "transitions", "digits", "upper", "dictionary", "path", "hex", "prefixed", "for", "against", "runs")
+#: An address among the neighbouring words; a name such as example.com in it says nothing against a secret.
+_ADDRESS = re.compile(r"\S*\w[.@/]\w\S*")
 _WORD = re.compile(r"[A-Za-z][a-z]+|[A-Za-z]+[0-9]*|[0-9]+")
 _PATTERNS = {form: re.compile(pattern) for form, (_, pattern) in FORMS.items()}
 
@@ -82,18 +87,19 @@ def coverage(value: str, dictionary: frozenset[str]) -> float:
 
 
 def features(text: str, form: str, start: int, stop: int, dictionary: frozenset[str]) -> list[float]:
-    value = text[start:stop][:4096]
+    """The FEATURES of a candidate, from its whole value."""
+    value = text[start:stop]
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     counts = Counter(value)
-    before = {w.lower() for w in _WORD.findall(text[max(0, start - BESIDE) : start])}
-    after = {w.lower() for w in _WORD.findall(text[stop : stop + BESIDE // 2])}
-    own = {w.lower() for w in _WORD.findall(value)}
+    left, right = text[max(0, start - BESIDE) : start], text[stop : stop + BESIDE // 2]
+    before = {w.lower() for w in _WORD.findall(left)}
+    beside = {w.lower() for w in _WORD.findall(f"{_ADDRESS.sub(' ', left)} {_ADDRESS.sub(' ', right)} {value}")}
     return [
         math.log2(n), len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts.values()),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, kinds.count("d") / n, kinds.count("u") / n, coverage(value, dictionary),
         (value.count("/") + value.count(".") + value.count("\\")) / n + bool(re.search(r"\.[a-z]{1,4}$", value)), float(bool(re.fullmatch("[0-9a-fA-F-]+", value))),
-        float(form not in ("assignment", "bearer", "blob")), float(len(before & FOR)), float(len((before | after | own) & AGAINST)),
+        float(form not in ("assignment", "bearer", "blob", "url_password")), float(len(before & FOR)), float(len(beside & AGAINST)),
         sum(a == b or ord(b) - ord(a) == 1 for a, b in zip(value, value[1:])) / n,
     ]
 
@@ -186,6 +192,8 @@ def labelled_findings(n: int = 1500, seed: int = 23) -> list[tuple[str, int, int
         for i in range(n):
             lead, value = makers[i % len(makers)]()
             head = " ".join(word() for _ in range(rnd.randint(0, 8)))
+            if rnd.random() < 0.2:  # an address near by says nothing
+                head = f"{head} {word()}@example.{rnd.choice(['com', 'org'])} {word() if rnd.random() < 0.5 else ''}".strip()
             if not label and rnd.random() < 0.4:  # a secret's name stands near, but not for this value
                 head = f"{head} {rnd.choice(['password', 'token', 'secret', 'api key', 'login'])}{rnd.choice(['', '=changeme'])} {word()}"
             head = f"{head} {lead}" if head else lead
@@ -193,10 +201,21 @@ def labelled_findings(n: int = 1500, seed: int = 23) -> list[tuple[str, int, int
     return out
 
 
-def fit_findings(findings: list[tuple[str, int, int, int]], dictionary: frozenset[str], **settings) -> Forest:
-    """A forest from at most MOST_FINDINGS labelled findings; each gets the form of the candidate that covers it."""
+def findings_table(spark: SparkSession, n: int = 1500, seed: int = 23) -> DataFrame:
+    """``labelled_findings`` as a table (text, start, stop, label)."""
+    return spark.createDataFrame(labelled_findings(n, seed), "text string, start long, stop long, label int")
+
+
+def fit_findings(findings: DataFrame, dictionary: frozenset[str], most: int = MOST_FINDINGS, **settings) -> Forest:
+    """A forest from the ``most`` labelled findings of least hash; each gets the form of the candidate that covers it.
+
+    Findings of null text, place or label teach nothing; equal findings count
+    as one.  An empty table gives a forest that answers 1.
+    """
+    able = findings.select("text", "start", "stop", "label").dropna().distinct()
+    picked = able.orderBy(F.xxhash64("text", "start", "stop", "label"), "text", "start", "stop", "label").limit(most)
     rows, labels = [], []
-    for text, start, stop, label in findings[:MOST_FINDINGS]:
+    for text, start, stop, label in picked.collect():
         form = next((f for f, a, b in candidates(text) if a < stop and start < b), "blob")
         rows.append(features(text, form, start, stop, dictionary))
         labels.append(label)
@@ -207,8 +226,11 @@ def scan_secrets(docs: DataFrame, forest: Forest, dictionary: frozenset[str], do
     """(id, start, length, form, value_sha256, score, is_secret) of each candidate.
 
     ``start`` and ``length`` count code points.  The value itself is not
-    given, only its hash.  Null and empty texts have no candidate; rows of
-    null or equal id are each scanned.  No other column is read.
+    given, only its hash.  A value is judged by all its characters, however
+    long.  Null and empty texts have no candidate; rows of null or equal id
+    are each scanned, so equal rows give equal findings.  Of two candidates
+    that overlap the form named first in FORMS stays.  An empty table gives
+    an empty result.  No other column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((forest, dictionary))
 

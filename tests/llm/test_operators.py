@@ -513,9 +513,64 @@ def test_decontamination_finds_what_is_there(spark):
     assert want <= got and len(got - want) <= 0.01 * d.count()
 
 
-def test_secrets(spark, awkward, empty):
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.fit_findings(secret_scan.findings_table(spark), registry.dictionary())
+
+
+def other_findings(n=40):
+    """(text, value, label) in forms that the training findings do not have."""
+    import random
+
+    rnd = random.Random(5)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda k, c=chars: "".join(rnd.choice(c) for _ in range(k))
+    secret = [
+        lambda: ('{"client_secret": "%s", "scope": "read"}', pick(32)), lambda: ("export API_TOKEN=%s\nexport HOME=/root", pick(40)),
+        lambda: ("db_password: '%s'\nport: 5432", pick(16, chars + "!#%^")), lambda: ("curl -H \"Authorization: Bearer %s\" host", pick(44)),
+        lambda: ("google maps: %s", "AIza" + pick(35)), lambda: ("stripe %s live", "sk_live_" + pick(24)), lambda: ("deploy with %s now", "glpat-" + pick(20)),
+        lambda: ("dsn postgres://admin:%s@db.internal/app", pick(18)), lambda: ("aws %s in eu-west", "AKIA" + pick(16, chars[26:])), lambda: ("mail a@example.org token=%s", pick(40, "0123456789abcdef")),
+    ]
+    plain = [
+        lambda: ('{"commit": "%s", "author": "x"}', pick(40, "0123456789abcdef")), lambda: ("password: %s", "${DB_PASSWORD}"), lambda: ("trace id %s in the log", "-".join(pick(k, "0123456789abcdef") for k in (8, 4, 4, 4, 12))),
+        lambda: ("import com.%s;", "example.service.module.Handler" + str(rnd.randint(10, 99))), lambda: ("token: %s", "your_token_here"), lambda: ("see /%s for it", "usr/local/lib/python3.11/site-packages/module" + str(rnd.randint(1, 9))),
+        lambda: ("checksum sha256 %s of the file", pick(64, "0123456789abcdef")), lambda: ("secret = %s", "placeholder"), lambda: ("class %s(Base):", "UserServiceManagerFactoryDefault" + str(rnd.randint(1, 9))), lambda: ("api_key=%s", "xxxxxxxxxxxxxxxx"),
+    ]
+    return [((form := make())[0] % form[1], form[1], label) for label, makers in ((1, secret), (0, plain)) for make in makers for _ in range(n)]
+
+
+def test_secrets_of_other_forms(spark, forest):
+    """Recall and precision of the whole scan on findings of another generator."""
+    made = other_findings()
+    table = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(made)], "doc_id long, text string")
+    found = {(r.doc_id, r.value_sha256) for r in secret_scan.scan_secrets(table, forest, registry.dictionary()).where("is_secret").collect()}
+    hit = [(i, hashlib.sha256(v.encode()).hexdigest()) in found for i, (_, v, _) in enumerate(made)]
+    recall = sum(h for h, (*_, y) in zip(hit, made) if y) / sum(y for *_, y in made)
+    precision = sum(h for h, (*_, y) in zip(hit, made) if y) / max(1, sum(hit))
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
+def test_secrets_in_documents(spark, forest):
+    """The tokens that the documents hold are found, and little else."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    want = {(r.doc_id, hashlib.sha256(v.encode()).hexdigest()) for r in d.where("text like '%token = %'").collect() for v in re.findall(r'token = "([0-9a-f]{40})"', r.text)}
+    got = {(r.doc_id, r.value_sha256) for r in secret_scan.scan_secrets(d, forest, registry.dictionary()).where("is_secret").collect()}
+    assert len(want & got) >= 0.98 * len(want) and len(got - want) <= 0.1 * len(want), (len(want), len(want & got), len(got - want))
+
+
+def test_secrets_are_judged_whole(spark, forest, awkward, empty):
+    known, head = registry.dictionary(), "aB3" * 2000
+    a, b = (secret_scan.features(f"token={head}{tail}", "assignment", 6, 6 + len(head) + 6000, known) for tail in ("zQ9" * 2000, "the " * 1500))
+    assert a != b
+    rows = [(1, f"token={head}"), (1, f"token={head}"), (None, "password=13c62e6ad807057713"), (3, "")]
+    got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), forest, known).collect()
+    assert sorted((r.doc_id or 0, r.start, r.length) for r in got) == [(0, 9, 18), (1, 6, 6000), (1, 6, 6000)]
+    bare = secret_scan.fit_findings(secret_scan.findings_table(spark).limit(0), known)
+    assert bare.score(np.zeros((2, len(secret_scan.FEATURES)))).tolist() == [1, 1]
+
+
+def test_secrets(spark, forest, awkward, empty):
     known = registry.dictionary()
-    forest = secret_scan.fit_findings(secret_scan.labelled_findings(), known)
     held = secret_scan.labelled_findings(200, seed=77)
     x = [secret_scan.features(t, next((f for f, s, e in secret_scan.candidates(t) if s < b and a < e), "blob"), a, b, known) for t, a, b, _ in held]
     assert ((forest.score(np.array(x)) >= 0.5) == np.array([y for *_, y in held])).mean() > 0.95
