@@ -14,15 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import SPACES, words
+from quarrystone.llm import common
+from quarrystone.llm.common import SPACES, cut_lineage, table_bytes, words
 
 BUCKETS, SCALE = 1 << 14, 1 << 16
 #: Least mean log2 ratio of a document that is kept.
 LEAST_RATIO = -0.25
 #: Least words, and most percent of words in repeated windows, of the base rules.
 LEAST_WORDS, MOST_REPEAT = 50, 50
-#: Most trusted ids that are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -73,9 +72,13 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     ``trusted`` has the ids of the target documents.  The driver gets
     ``buckets`` pairs of counts, whatever the size of the corpus.
     """
-    ids = trusted.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(1))
-    small = ids.count() <= BROADCAST_IDS
-    rows = docs.select(F.col(doc_id).alias("id"), words(F.col(text)).alias("w")).join(F.broadcast(ids) if small else ids, "id", "left")
+    ids = cut_lineage(trusted.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(1)))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    if table_bytes(ids) <= common.BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(ids), "id", "left")
+    else:  # null ids, which may be many, are not shuffled to one task
+        rows = rows.where("id IS NOT NULL").join(ids, "id", "left").unionByName(rows.where("id IS NULL").withColumn("good", F.lit(None).cast("int")))
+    rows = rows.select("good", words(F.col("t")).alias("w"))
     slots = rows.select("good", F.explode(ngram_hashes("w")).alias("h")).select("good", _slot(F.col("h"), buckets).alias("b"))
     raw, good = [1] * buckets, [1] * buckets
     for r in slots.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect():
@@ -92,9 +95,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
 
     A null text has no word and fails the base rules.  Rows of null or equal
     id are each judged.  Without trusted documents every ratio is 0 and all
-    that pass the base rules stay.  No other column is read.  Write or cache
-    the result before filtering it: a filter that Catalyst pushes into the
-    chain of array expressions evaluates them anew for each element.
+    that pass the base rules stay; a ratio equal to the threshold stays.
+    Very long texts cost their number of words.  An empty table gives an empty
+    result.  No other column is read.  The few numbers of each row are written to the
+    shared folder, so that no later filter reaches into their expressions.
     """
     table = ratio_table(docs, trusted, doc_id, text, buckets)
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
@@ -103,7 +107,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     out = out.withColumn("sum", total).withColumn("n", F.size("grams"))
     fair = F.col("sum") >= F.floor(F.lit(least_ratio * SCALE)).cast("long") * F.col("n")
     ratio = F.when(F.col("n") > 0, F.col("sum") / F.col("n") / SCALE).otherwise(F.lit(0.0))
-    return out.select(
+    out = out.select(
         F.col("id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & fair).alias("kept"), ratio.alias("mean_ratio"),
     )
+    return cut_lineage(out)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -247,30 +248,63 @@ def test_quality(spark, docs, texts, awkward, empty):
     assert all(r.kept != r.base_failed for r in none)
 
 
+def gram_slots(text):
+    """The slot of each one- and two-word n-gram, by Spark's xxhash64: seed 42, or the hash so far."""
+    def h(*x):
+        seed = 42
+        for v in x:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed)
+        return seed
+
+    slot = lambda v: (v - (1 << 64) * (v >> 63)) % quality.BUCKETS
+    w = words(text)
+    ones = [h(x) for x in w]
+    return [slot(x) for x in ones] + [slot(h(a, b)) for a, b in itertools.pairwise(ones)]
+
+
+def plain_verdicts(rows, trusted):
+    """(mean ratio, kept) of each row, from whole-corpus counts."""
+    grams = [gram_slots(t) for _, t in rows]
+    raw, good = collections.Counter(), collections.Counter()
+    for (name, _), g in zip(rows, grams):
+        raw.update(g)
+        good.update(g if name in trusted else [])
+    size, n_raw, n_good = quality.BUCKETS, raw.total() + quality.BUCKETS, good.total() + quality.BUCKETS
+    table = [round(quality.SCALE * math.log2((good[b] + 1) * n_raw / ((raw[b] + 1) * n_good))) if good else 0 for b in range(size)]
+    out = []
+    for (_, text), g in zip(rows, grams):
+        total = sum(table[b] for b in g)
+        out.append((total / len(g) / quality.SCALE if g else 0.0, not plain_facts(text)[-1] and total >= math.floor(quality.LEAST_RATIO * quality.SCALE) * len(g)))
+    return out
+
+
+@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+def test_quality_verdicts(spark, docs, texts, awkward, most, monkeypatch):
+    """Every ratio and verdict of the whole smallest table, and of awkward rows, recomputed by hand."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    trusted = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
+    known = {r.doc_id for r in trusted.collect()}
+    rows = sorted(texts.items())
+    for table, plain in ((docs, rows), (awkward, [r[:2] for r in AWKWARD])):
+        got = quality.quality_rules(table, trusted).collect()
+        want = [(n, round(ratio, 9), kept) for (n, _), (ratio, kept) in zip(plain, plain_verdicts(plain, known))]
+        assert order((r.doc_id, round(r.mean_ratio, 9), r.kept) for r in got) == order(want)
+    assert quality.quality_rules(docs, trusted).where("kept").count() == sum(k for _, k in plain_verdicts(rows, known))
+
+
 def test_quality_separates(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.quality_rules(d, lab.where("quality = 1")).cache().join(lab, "doc_id").where("not base_failed")
+    got = quality.quality_rules(d, lab.where("quality = 1")).join(lab, "doc_id").where("not base_failed")
     rates = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
     assert rates[1] > 0.99 and rates[0] < 0.2
 
 
 def test_quality_counts_whole_words_and_pairs(spark):
-    """A ratio by hand: single words of one ending are told apart, and one-word texts are judged."""
+    """Single words of one ending are told apart, and one-word texts are judged."""
     rows = [(1, "nation station"), (2, "ration"), (3, "nation")]
-    mask = (1 << 64) - 1
-    def h(*x):
-        seed = 42
-        for v in x:
-            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed)
-        return seed & mask
-    slot = lambda v: (v - (1 << 64) * (v >> 63)) % quality.BUCKETS
-    grams = {n: [slot(h(x)) for x in t.split()] + [slot(h(h(a), h(b))) for a, b in itertools.pairwise(t.split())] for n, t in rows}
-    raw, good = collections.Counter(itertools.chain(*grams.values())), collections.Counter(grams[1])
-    size = quality.BUCKETS
-    ratio = lambda b: np.log2((good[b] + 1) * (raw.total() + size) / ((raw[b] + 1) * (good.total() + size)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.mean_ratio for r in quality.quality_rules(table, table.where("doc_id = 1")).collect()}
-    assert got == pytest.approx({n: np.mean([ratio(b) for b in g]) for n, g in grams.items()}, abs=1e-4)
+    assert got == pytest.approx(dict(zip((1, 2, 3), (r for r, _ in plain_verdicts(rows, {1})))))
     assert got[2] < got[3] < got[1]
 
 
