@@ -433,6 +433,18 @@ def test_encoder_equals_library():
         assert ids.tolist() == encode.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_of_another_kind_equals_library():
+    """A tokenizer with a normaliser is not cut at spaces."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made, plain = ["Some TEXT  with\nspaces, and more.", "", None, "  x "], Tokenizer.from_file(path)
+    got = tokens.text_encoder(path)(pa.array(made))
+    assert [x.tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in made]
+
+
 @pytest.mark.parametrize("ids", [[0], [7] * 5000, [2**32 - 1, 0], list(range(5000)), [1] * 1000 + [10**9] * 3])
 def test_blocks_round_trip(tmp_path, ids):
     ids = np.array(ids, np.uint32)
@@ -525,26 +537,131 @@ def test_drop_toxic(spark, awkward, empty):
     assert toxicity.drop_toxic(empty, machine).columns == empty.columns and toxicity.drop_toxic(empty, machine).count() == 0
 
 
-def test_decontamination(spark, awkward, empty):
-    q = "Tom has 12 apples and gives 5 kg to Ann Lee before noon, then Tom buys 3 more; how many apples has Tom now?"
+QUESTION = "Tom has 12 apples and gives 5 kg to Ann Lee before noon, then Tom buys 3 more; how many apples has Tom now?"
+
+
+def leaks_of(spark, texts, items, **more):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.benchmark_leaks(table, bench, **more).collect()}
+
+
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination(spark, awkward, empty, most):
     same = "Well, so Bill has 40 apples and gives 7 lb to Sue before noon, then Bill buys 9 more; how many apples has Bill now?"
-    mixed = "Well, so Bill has 40 apples and gives 7 lb to Sue before noon, then Sue buys 9 more; how many apples has Bill now?"
-    rows = [(1, f"Some text. {q} More."), (2, f"Text before {same}"), (3, mixed), (4, "Nothing of the kind is asked for in these words at all."), (5, None)]
-    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, q), (8, None), (7, "too short")], "item_id long, text string")
-    for most in (decontaminate.BROADCAST_WINDOWS, 0):
-        got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.benchmark_leaks(table, bench, broadcast_windows=most).collect()}
-        assert got == {(1, 9): True, (2, 9): False}
-    assert sorted(r.doc_id for r in decontaminate.drop_leaks(table, decontaminate.benchmark_leaks(table, bench)).collect()) == [3, 4, 5]
+    mixed = "Well, so Bill has 40 apples and gives 7 lb to Sue before noon, then Sue buys 9 more; how many apples has Sue now?"
+    texts = [f"Some text. {QUESTION} More.", f"Text before {same}", mixed, "Nothing of the kind is asked for in these words at all.", None, "", "only 5 words: too short an item here"]
+    short = "too short an item here"
+    assert leaks_of(spark, texts, [QUESTION, None, short, "tiny"], broadcast_windows=most) == {(0, 0): True, (1, 0): False, (6, 2): True}
+    bench = spark.createDataFrame([(9, QUESTION), (8, None)], "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("__row", F.lit(2))
+    left = decontaminate.drop_leaks(table, decontaminate.benchmark_leaks(table, bench, broadcast_windows=most))
+    assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 6]
+    assert [r.item_id for r in decontaminate.unsearched_items(bench).collect()] == [8]
+    twice = awkward.unionByName(awkward.limit(2).withColumn("text", F.lit(QUESTION)).withColumn("doc_id", F.lit(None).cast("long")))
+    assert [(r.doc_id, r.verbatim) for r in decontaminate.benchmark_leaks(twice, bench, broadcast_windows=most).collect()] == [(None, True)]
+    assert decontaminate.drop_leaks(twice, decontaminate.benchmark_leaks(twice, bench)).count() == len(AWKWARD)
     assert decontaminate.benchmark_leaks(awkward, bench).count() == 0 and decontaminate.benchmark_leaks(empty, bench).count() == 0
     assert decontaminate.benchmark_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_slots(spark):
+    """Equal numbers by chance, names that begin sentences, number words, and words put in or left out."""
+    item = "Anna has 12 red apples. Ben takes 5 of them away. Carl adds 7 more to it. How many are left?"
+    found = [
+        "Paul has 30 red apples. Rita takes 4 of them away. Sam adds 9 more to it. How many are left?",
+        "Anna has 12 red apples. Ben takes 7 of them away. Carl adds 7 more to it. How many are left?",
+        "Anna has twelve red apples. Ben takes five of them away. Carl adds twenty one more to it. How many are left?",
+        "Anna has 12 big red apples. Ben takes 5 of them away. Carl adds 7 more to it. How many are left?",
+        "Anna has 12 red apples. Ben takes 5 of them. Carl adds 7 more to it. How many are left?",
+    ]
+    other = ["Anna has a red apple and 12 pears. Ben is away. How is Carl?", "How many are left? Nobody knows, said Carl."]
+    assert set(leaks_of(spark, found + other, [item])) == {(i, 0) for i in range(len(found))}
+    assert decontaminate.slots_agree([(0, "d12", "d8"), (1, "d5", "d8"), (2, "nann", "nsue")])
+    assert not decontaminate.slots_agree([(0, "nann", "nsue"), (1, "ntom", "nsue")])
+
+
+def test_decontamination_recall(spark):
+    """Re-parameterised items in prose, half of them with a word put in or left out: 0.9 are found, and no other text."""
+    import random
+
+    rnd = random.Random(8)
+    people, things, units = "Ann Bob Cara Dan Eve Finn Gus Hana Ivo Jana Kurt Lea".split(), "apples pears coins stamps books bottles tiles ropes".split(), "kg km hours dollars liters".split()
+    verbs = "buys sells gives finds loses counts packs paints moves sorts".split()
+    fill = ["".join(rnd.choice("bdfgklmnprstv") + rnd.choice("aeiou") for _ in range(3)) for _ in range(400)]
+
+    def frame():
+        v = [rnd.choice(verbs) for _ in range(3)]
+        x, y = rnd.sample(things, 2)
+        odd = rnd.sample(fill, 3)
+        return f"{{a}} {v[0]} {{n}} {x} in the {odd[0]} shop near the {odd[1]} river. Later {{b}} {v[1]} {{m}} {{u}} of {y} and {{a}} {v[2]} {{k}} more {odd[2]} {x}. How many {x} does {{a}} have at the end?"
+
+    def made(form):
+        a, b = rnd.sample(people, 2)
+        n, m, k = (str(rnd.randint(2, 99)) for _ in range(3))
+        return form.format(a=a, b=b, n=n, m=m, k=k, u=rnd.choice(units))
+
+    def changed(text):
+        w = text.split()
+        i = rnd.randrange(3, len(w) - 3)
+        return " ".join(w[:i] + ([rnd.choice(fill)] if rnd.random() < 0.5 else []) + w[i + (rnd.random() < 0.5) :])
+
+    prose = lambda n: " ".join(rnd.choice(fill).title() if rnd.random() < 0.1 else rnd.choice(fill) for _ in range(n))
+    forms = [frame() for _ in range(60)]
+    items = [made(f) for f in forms]
+    texts = [f"{prose(30)}. {changed(made(f)) if i % 2 else made(f)} {prose(30)}" for i, f in enumerate(forms)]
+    got = set(leaks_of(spark, texts + [prose(90) for _ in range(60)], items))
+    hit = sum((i, i) in got for i in range(60))
+    assert hit >= 54 and {d for d, _ in got} <= set(range(60)), (hit, got)
+
+
+def test_decontamination_of_common_templates(spark):
+    """Items of one template are one class, and a phrase that all items share makes no pairs."""
+    items = [f"Ann has {i} pears and Bob has {i + 1} plums, so how many do they have in all?" for i in range(50)]
+    items += [f"Please read this text with care and then say: how did the {a} find its {b} near the old {a} house?" for a in ("cat", "dog", "cow") for b in ("ball", "bone")]
+    texts = ["Eve has 900 pears and Gus has 20 plums, so how many do they have in all?", items[7], "Please read this text with care and then say: nothing"]
+    bench, table = (spark.createDataFrame(list(enumerate(x)), f"{n} long, text string") for x, n in ((items, "item_id"), (texts, "doc_id")))
+    got = {(r.doc_id, r.item_id): (r.n_items, r.verbatim) for r in decontaminate.benchmark_leaks(table, bench).collect()}
+    assert got == {(0, 0): (50, False), (1, 0): (50, True)}
+
+
+def plain_leaks(rows, items):
+    """(row, item) by looking at every window of every text, for items that are told by their template."""
+    def cut(text):
+        own = decontaminate.Templates([(text or "").replace("\n", " . ")], decontaminate._Codes())
+        n, at = len(own.hashes), []
+        for i in range(n - decontaminate.WINDOW + 1):
+            at.append((tuple(own.hashes[i : i + decontaminate.WINDOW].tolist()), own.slots(i, i + decontaminate.WINDOW), (own.marks[i : i + decontaminate.WINDOW] == 0).sum()))
+        return at
+
+    wanted = {}
+    for name, text in items:
+        wanted[name] = [(i, k, s) for i, (k, s, plain) in enumerate(cut(text)) if plain >= decontaminate.LEAST_PLAIN]
+    out = set()
+    for row, (_, text) in enumerate(rows):
+        here = collections.defaultdict(list)
+        for j, (k, s, _) in enumerate(cut(text)):
+            here[k].append((j, s))
+        for name, own in wanted.items():
+            chains, band = collections.defaultdict(list), max(8, len(own) // 4)
+            for i, k, s in own:
+                for j, d in here.get(k, ()):
+                    for chain in ((0, j - i), (1, (j - i) // band), (2, math.floor((j - i + band / 2) / band))):
+                        chains[chain].append((i, [(i + p, v, w) for (p, v), (_, w) in zip(s, d)]))
+            need = max(math.ceil(decontaminate.LEAST_SHARE * len(own)), decontaminate.LEAST_WINDOWS)
+            if any(len({i for i, _ in c}) >= need and decontaminate.slots_agree([p for _, x in c for p in x]) for c in chains.values()):
+                out.add((row, name))
+    return out
+
+
 def test_decontamination_finds_what_is_there(spark):
+    """All leaks of a table by brute force, and no verbatim item missed."""
     d, b = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
-    items = [" ".join(r.text.split()) for r in b.collect()]
-    want = {r.doc_id for r in d.collect() if any(i in " ".join(r.text.split()) for i in items)}
-    got = {r.doc_id for r in decontaminate.benchmark_leaks(d, b).collect()}
-    assert want <= got and len(got - want) <= 0.01 * d.count()
+    rows, items = sorted((r.doc_id, r.text) for r in d.collect()), [(r.item_id, r.text) for r in b.collect()]
+    got = decontaminate.benchmark_leaks(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(rows[i][0], name) for i, name in plain_leaks(rows, items)}
+    want = {n for n, t in rows if any(" ".join(i.split()) in " ".join(t.split()) for _, i in items)}
+    assert want <= {r.doc_id for r in got}
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,8 @@
 """The pipeline, stage by stage, against plain versions."""
 
 import corpus_pipeline
-from tests.llm.test_operators import order, plain_groups, plain_tokens
+from pyspark.sql import functions as F
+from tests.llm.test_operators import AWKWARD, SCHEMA, order, plain_groups, plain_tokens, words
 
 from quarrystone.llm import decontaminate, mixing, registry, toxicity
 from quarrystone.llm.common import fresh_dir
@@ -36,3 +37,20 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null, empty, long and repeated rows pass every stage; of a group of copies one stays, and texts without words end at the mix."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame(AWKWARD, SCHEMA).withColumn("row", F.lit("r")).withColumn("mark", F.lit("m")).withColumn("times", F.lit(0))
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = fresh_dir(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        after = spark.read.parquet(path)
+        assert name == "token output" or after.columns == docs.columns
+        docs, counts[name] = after, sorted((r.doc_id for r in after.collect()), key=repr)
+    copies = [r for r, _, least in plain_groups([r[:2] for r in AWKWARD]) if r == least or least is None]
+    assert counts["toxicity"] == sorted((r[0] for r in AWKWARD), key=repr)
+    assert counts["simhash near-dedup"] == counts["decontamination"] == sorted(set(copies), key=repr)
+    assert set(counts["mixing"]) <= {r[0] for r in AWKWARD if words(r[1])} and counts["token output"] == counts["mixing"]
