@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, near-copies, benchmark leaks, mix and token shards, in this order.
 
 ``run`` applies the stages to ``documents``; each stage's rows are written as
-Parquet to the shared folder and read again before the next.
+Parquet to the shared folder and read again before the next.  Null and empty
+texts pass the filters as the operators say, and the mix takes no copy of a
+text without words.  Rows of null or repeated id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm import decontaminate, mixing, simhash, tokens, toxicity
-from quarrystone.llm.common import fresh_dir, table
+from quarrystone.llm.common import delete_dir, fresh_dir, table
 from quarrystone.llm.registry import LEARN, vocabulary
 
 
@@ -57,4 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if number:
+            delete_dir(spark, f"{folder}/{number - 1}")
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its shards are written, and only they are read later
+    delete_dir(spark, folder)
+    return out

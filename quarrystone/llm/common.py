@@ -48,6 +48,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_dir(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``fresh_dir`` named, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; null text has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

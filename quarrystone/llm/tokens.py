@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,12 +18,19 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import cut_lineage, fresh_dir, pieces, reduce_rows
 from quarrystone.llm.pfor import BLOCK, PERCENTILE, Shard, write_shard
 
-
-
 #: A word that begins with white space or is empty.
 _OPEN = r"^($|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
 
 
+def _splits_at_spaces(spec: dict) -> bool:
+    """Whether the tokenizer is a byte-level BPE without normaliser or other steps that look over a space."""
+    before, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    bpe = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
+    odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    return bool(plain and bpe and not odd and spec["normalizer"] is None and not spec["truncation"] and not spec["padding"])
+
+
 def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
     """A function that gives each text's ids (u32), equal to encode(text, add_special_tokens=False).
 
@@ -33,7 +41,7 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
     spaces, and told apart by the ids whose token begins with a space.  Where
     a space meets more white space or the end, or a special token occurs,
     words may depend on their neighbours: the library gets the whole text.
-    Nulls are empty.
+    Any other kind of tokenizer gets all texts whole.  Nulls are empty.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task, as Spark counts
     import tokenizers
@@ -67,6 +75,10 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
             found.append(ids)
         return np.concatenate(found), np.concatenate(counts)
 
+    if not _splits_at_spaces(json.loads(library.to_str())):
+        held[vocabulary] = lambda texts: batch(pc.fill_null(texts, "").to_pylist())
+        return held[vocabulary]
+
     marks = ".,"
     mark_ids = np.array([0, *(batch([m])[0][0] for m in marks)], np.uint32)
 
