@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import ast
+import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？\n]*\s*|[.!?。！？\n]+\s*")
+
 
 def pack_recursive(text: str, size: int = 512, marks: tuple[str, ...] = ("\n\n", "\n", "。", " ")) -> list[str]:
     """Pieces of at most ``size`` characters that concatenate to the text: split at the first mark that helps, then packed greedily."""
@@ -100,3 +105,61 @@ def title_paths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     h2 = F.when(F.col("p2") > F.coalesce("p1", F.lit(-1)), F.col("h2"))
     h3 = F.when(F.col("p3") > F.greatest(F.coalesce("p1", F.lit(-1)), F.coalesce("p2", F.lit(-1))), F.col("h3"))
     return lines.select("doc_id", "line_no", "line", F.concat_ws(" > ", "h1", h2, h3).alias("path"))
+
+
+# Labels of the two sides of an interview.
+_ASKS, _ANSWERS = "面试官|Q|Interviewer", "候选人|A|Candidate"
+
+
+def labelled_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pair, question, answer) of texts whose parts begin with a role label, numbered from 1.
+
+    An answer belongs to the question before it, which it closes; a question
+    that another follows is lost, and so is an answer without one.
+    """
+    label = rf"(?i)(?=(?:{_ASKS}|{_ANSWERS})[：:])"
+    parts = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, label)).alias("no", "part"))
+    for name, own in (("asks", _ASKS), ("answers", _ANSWERS)):
+        parts = parts.withColumn(name, F.regexp_extract("part", rf"(?is)^(?:{own})[：:]\s*(.*)$", 1)).withColumn(f"is_{name}", F.col("part").rlike(rf"(?i)^(?:{own})[：:]"))
+    # an answer stands right after its question, once parts of neither kind and empty questions are left out
+    said = parts.where("(is_asks AND trim(asks) <> '') OR is_answers").withColumn("asked", F.lag(F.when(F.col("is_asks"), F.col("asks"))).over(Window.partitionBy("doc_id").orderBy("no")))
+    pairs = said.where("is_answers AND NOT is_asks AND asked IS NOT NULL")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))
+    clean = lambda c: F.trim(F.col(c), F.lit(" \t\r\n"))
+    return pairs.select("doc_id", number.alias("pair"), clean("asked").alias("question"), clean("answers").alias("answer"))
+
+
+def semantic_chunks(
+    docs: DataFrame, encoder: Callable[[list[str]], list[list[float]]], doc_id: str = "doc_id", text: str = "text", least: float = 0.5, size: int = 512,
+) -> DataFrame:
+    """(doc_id, chunk_no, chunk): sentences joined while neighbours' vectors have a cosine of ``least`` or more; longer chunks are split again.
+
+    ``encoder`` gives a vector for each sentence; a text's sentences go to it
+    together.
+    """
+
+    def split(body: str) -> list[str]:
+        sentences = [x for x in _SENTENCE.findall(body) if x.strip()]
+        if not sentences:
+            return []
+        vectors = np.asarray(encoder(sentences), np.float64)
+        lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+        near = (vectors[1:] * vectors[:-1]).sum(1) / (lengths[1:] * lengths[:-1]) >= least
+        parts = [sentences[0]]
+        for sentence, joined in zip(sentences[1:], near):
+            if joined:
+                parts[-1] += sentence
+            else:
+                parts.append(sentence)
+        return [piece for part in parts for piece in pack_recursive(part, size)]
+
+    return chunk(docs, split, doc_id, text)
+
+
+def hashed_encoder(sentences: list[str], size: int = 64) -> list[list[float]]:
+    """Counts of hashed words: a deterministic stand-in for a model."""
+    out = np.zeros((len(sentences), size))
+    for row, sentence in enumerate(sentences):
+        for word in re.findall(r"\w+", sentence.lower()):
+            out[row, zlib.crc32(word.encode()) % size] += 1
+    return out.tolist()

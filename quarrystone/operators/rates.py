@@ -42,13 +42,26 @@ def leaky_bucket(times: list[float], capacity: float, per_second: float) -> list
     return out
 
 
-def admit(events: DataFrame, rule: Callable[[list[float]], list[bool]], key: str, order: str, time_us: str, event: str) -> DataFrame:
+def bucket_waits(times: list[float], capacity: float, per_second: float) -> list[float]:
+    """Seconds that each event waits for its token, first come first served; nothing is refused."""
+    level, last, out = capacity, None, []
+    for t in times:
+        now = t if last is None else max(t, last)
+        level = capacity if last is None else min(capacity, level + (now - last) * per_second)
+        served = now if level >= 1 else now + (1 - level) / per_second
+        level = max(0.0, level - 1)
+        last = served
+        out.append(served - t)
+    return out
+
+
+def admit(events: DataFrame, rule: Callable[[list[float]], list], key: str, order: str, time_us: str, event: str, result: str = "allowed boolean") -> DataFrame:
     """(key, event, allowed): ``rule`` over each key's event times in seconds. A key's events are held together, as the rule needs their order."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([time_us, order])
-        return pd.DataFrame({key: rows[key], event: rows[event], "allowed": rule((rows[time_us] / 1e6).tolist())})
+        return pd.DataFrame({key: rows[key], event: rows[event], result.split()[0]: rule((rows[time_us] / 1e6).tolist())})
 
     kinds = dict(events.dtypes)
     columns = list(dict.fromkeys([key, event, order, time_us]))
-    return events.select(*columns).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {event} {kinds[event]}, allowed boolean")
+    return events.select(*columns).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {event} {kinds[event]}, {result}")

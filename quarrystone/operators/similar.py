@@ -1,35 +1,203 @@
-"""Near-duplicates by MinHash with exact verification, and diverse ranking."""
+"""Near-duplicates with exact verification, and diverse ranking."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators.components import connected_components
+from quarrystone.operators.tables import cut_lineage
+
 HASHES, ROWS = 64, 4
 
 
-def minhash_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(rep, member, jaccard): classes of equal texts by their least id, and pairs of class representatives of Jaccard ``least`` or more.
+def shingles(rows: DataFrame, words: int) -> DataFrame:
+    """(id, s) of rows (id, text): the sorted distinct hashes of the runs of ``words`` lower-case words.
 
-    Shingle hashes are banded (16 bands of 4 rows); within a band only the
-    least id of equal keys is linked to the others, so a band of n rows gives
-    n - 1 candidates; candidates are verified on whole shingle sets.
+    A shorter text is one run, and one without words has none.
     """
-    base = docs.groupBy(F.xxhash64(F.lower(text)).alias("h")).agg(F.min(doc_id).alias("id"), F.any_value(text).alias("t"))
-    w = F.filter(F.split(F.lower("t"), r"\s+"), lambda x: x != "")
-    base = base.select("id", w.alias("w"))
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, words))))
-    base = base.select("id", shingles.alias("s"))
-    least_of = F.array(*[F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(HASHES)])
-    bands = base.select("id", least_of.alias("m")).select(
-        "id", F.posexplode(F.array(*[F.xxhash64(F.slice("m", b * ROWS + 1, ROWS)) for b in range(HASHES // ROWS)])).alias("band", "key")
-    )
-    first = bands.groupBy("band", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(first, ["band", "key"]).where("rep < id").select("rep", F.col("id").alias("member")).distinct()
-    out = pairs.join(base.select(F.col("id").alias("rep"), F.col("s").alias("a")), "rep").join(base.select(F.col("id").alias("member"), F.col("s").alias("b")), "member")
-    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    return out.select("rep", "member", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                w = (text or "").lower().split()
+                found = {digest(" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))} if w else ()
+                out.append(np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
+
+    return rows.select("id", "text").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, s array<long>")
+
+
+def _band_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key for each band of MinHash rows, of (id, s) with no empty s."""
+    seeds = np.random.default_rng(13).integers(1, 1 << 63, (HASHES, 2), np.uint64) | np.uint64(1)
+    for batch in batches:
+        lists = batch.column("s")
+        if not batch.num_rows:
+            continue
+        starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1]].astype(np.int64)
+        values = pc.list_flatten(lists).to_numpy().view(np.uint64)
+        keys = np.zeros((batch.num_rows, HASHES // ROWS), np.uint64)
+        for k, (a, b) in enumerate(seeds):
+            mixed = values * a
+            mixed ^= mixed >> np.uint64(32)
+            least = np.minimum.reduceat(mixed * b, starts)
+            keys[:, k // ROWS] = (keys[:, k // ROWS] + least + np.uint64(k)) * a
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), keys.shape[1])), pa.array(keys.view(np.int64).ravel())], ["id", "bucket"])
+
+
+def _ones(hashes: str, bit: int) -> Column:
+    """How many of the hashes have the bit."""
+    return F.aggregate(hashes, F.lit(0), lambda n, h: n + F.shiftright(h, bit).bitwiseAND(F.lit(1)).cast("int"))
+
+
+def bucket_links(members: DataFrame, items: DataFrame, near: Column, most_rounds: int = 1000) -> DataFrame:
+    """(a, b) links between items that share a bucket, enough of them to connect whatever any links would.
+
+    ``members`` is (bucket, id) and ``items`` (id, payload); ``near`` judges
+    payloads ``a`` and ``b``.  In each bucket the least item is compared with
+    the others; those it links to are compared with what is left, and so on, so
+    that each pair is compared or already connected.  A bucket of near copies
+    costs one comparison a member, not one a pair.
+    """
+    out = members.sparkSession.createDataFrame([], "a long, b long")
+    left, edge = cut_lineage(members.distinct()), None
+    for _ in range(most_rounds):
+        first = left.groupBy("bucket").agg(F.min("id").alias("id"))
+        if edge is not None:  # a new tree begins only where no tree has an edge left
+            first = first.join(edge.select("bucket").distinct(), "bucket", "left_anti").unionByName(edge)
+        first = cut_lineage(first)
+        left = cut_lineage(left.join(first, ["bucket", "id"], "left_anti"))
+        pairs = cut_lineage(first.withColumnRenamed("id", "a").join(left.withColumnRenamed("id", "b"), "bucket"))
+        if pairs.isEmpty():
+            return out
+        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        judged = known.join(items.select(F.col("id").alias("a"), F.col("payload").alias("pa")), "a").join(items.select(F.col("id").alias("b"), F.col("payload").alias("pb")), "b")
+        good = cut_lineage(judged.where(near).select("a", "b"))
+        out = out.unionAll(good)
+        both = good.unionAll(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        edge = cut_lineage(pairs.join(both, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("id")).distinct())
+    raise RuntimeError(f"buckets did not empty in {most_rounds} rounds")
+
+
+def _classes(rows: DataFrame, kind: str, reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class_id) of each row (id, ``kind``), over links of representatives; a class is named by its least id."""
+    stars = cut_lineage(connected_components(links, "a", "b").select(F.col("node").alias("rep"), "root"))
+    named = reps.join(stars, "rep", "left").select(kind, F.coalesce("root", "rep").alias("class_id"))
+    return rows.join(named, kind).select("id", "class_id")
+
+
+def minhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, class_id) of every row with words: classes of texts connected by shingle sets of Jaccard ``least`` or more.
+
+    Texts of one shingle set are one representative.  Shingle hashes are
+    banded (16 bands of 4 rows, which a pair of Jaccard 0.8 misses with a
+    chance of 2 in 10,000); pairs of a band are verified on whole sets.
+    """
+    rows = shingles(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text")), words)
+    rows = cut_lineage(rows.where(F.size("s") > 0).select("id", "s", F.xxhash64("s").alias("h")))
+    base = cut_lineage(rows.groupBy("h").agg(F.min("id").alias("rep"), F.any_value("s").alias("s")))
+    buckets = base.select(F.col("rep").alias("id"), "s").mapInArrow(_band_keys, "id long, bucket long")
+    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+    members = cut_lineage(buckets.join(shared, "bucket").select("bucket", "id"))
+    jaccard = F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb"))
+    links = bucket_links(members, base.select(F.col("rep").alias("id"), F.col("s").alias("payload")), jaccard >= least)
+    return _classes(rows.select("id", "h"), "h", base.select("h", "rep"), links)
+
+
+def _hyperplane_keys(bits: int, bands: int, seed: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            vectors = np.array(batch.column("payload").to_pylist(), np.float64)
+            if not len(vectors):
+                continue
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(vectors.shape[1], bits * bands))
+            signs = (vectors @ planes > 0).reshape(len(vectors), bands, bits)
+            keys = signs @ (1 << np.arange(bits)) | (np.arange(bands) << bits)[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), bands)), pa.array(keys.ravel())], ["id", "bucket"])
+
+    return run
+
+
+def cosine(a: str, b: str) -> Column:
+    """Cosine of two vectors of one length; 0 if one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    sizes = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(sizes > 0, dot(a, b) / sizes).otherwise(F.lit(0.0))
+
+
+def cosine_links(vectors: DataFrame, item: str, vector: str, least: float, bits: int = 10, bands: int = 48, seed: int = 9) -> tuple[DataFrame, DataFrame]:
+    """(a, b, score) of all pairs of distinct vectors above ``least``, and (id, rep) of the rows that share a vector.
+
+    Candidates share the signs of ``bits`` random planes in one of ``bands``
+    sets, which a pair of cosine 0.85 misses with a chance of about 1 in
+    1,000; each is verified.
+    """
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("id"), F.col(vector).alias("payload"))
+    base = cut_lineage(rows.groupBy("payload").agg(F.min("id").alias("id")))
+    keys = cut_lineage(base.select("id", "payload").mapInArrow(_hyperplane_keys(bits, bands, seed), "id long, bucket long"))
+    pairs = keys.select("bucket", F.col("id").alias("a")).join(keys.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
+    side = lambda n: base.select(F.col("id").alias(n), F.col("payload").alias(f"p{n}"))
+    judged = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", cosine("pa", "pb").alias("score"))
+    return judged.where(F.col("score") > least), rows.join(base.withColumnRenamed("id", "rep"), "payload").select("id", "rep")
+
+
+def cosine_classes(vectors: DataFrame, item: str, vector: str, least: float) -> DataFrame:
+    """(id, class_id, links): rows connected by cosines above ``least``, and each one's number of links between different vectors."""
+    links, members = cosine_links(vectors, item, vector, least)
+    links = cut_lineage(links)
+    stars = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "root")
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    out = members.join(stars, "rep", "left").join(degree, "rep", "left")
+    return out.select("id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def simhash_chunks(chunks: DataFrame, text: str, least: float = 0.85, words: int = 3, bits: int = 32) -> DataFrame:
+    """(text_hash, copies, class_id, kept): distinct chunk texts with words, bucketed by SimHash and compared in pairs; of a class the most frequent stays.
+
+    A chunk is in the bucket of each quarter of its fingerprint; texts of a
+    bucket are linked at a shingle Jaccard above ``least``.  ``class_id`` is
+    the least hash of the class; ties of frequency go to the least hash.
+    """
+    texts = chunks.where(F.col(text).isNotNull()).groupBy(F.xxhash64(F.col(text)).alias("id")).agg(F.count("*").alias("copies"), F.any_value(F.col(text)).alias("text"))
+    texts = cut_lineage(texts)
+    base = shingles(texts, words).where(F.size("s") > 0).join(texts.select("id", "copies"), "id").select("id", "copies", F.col("s").alias("payload"))
+    base = cut_lineage(base)
+    ones = [_ones("payload", b) for b in range(bits)]
+    prints = base.select("id", F.array(*[F.when(c * 2 > F.size("payload"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in enumerate(ones)]).alias("p"))
+    quarter = bits // 4
+    keys = F.array(*[F.xxhash64(F.lit(q), F.slice("p", q * quarter + 1, quarter)) for q in range(4)])
+    buckets = prints.select("id", F.explode(keys).alias("bucket"))
+    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+    jaccard = F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb"))
+    links = bucket_links(cut_lineage(buckets.join(shared, "bucket").select("bucket", "id")), base.select("id", "payload"), jaccard > least)
+    stars = connected_components(links, "a", "b").select(F.col("node").alias("id"), "root")
+    named = base.select("id", "copies").join(stars, "id", "left").select("id", "copies", F.coalesce("root", "id").alias("class_id"))
+    best = named.groupBy("class_id").agg(F.min(F.struct((-F.col("copies")).alias("minus"), F.col("id").alias("best"))).alias("b"))
+    return named.join(best, "class_id").select(F.col("id").alias("text_hash"), "copies", "class_id", (F.col("id") == F.col("b.best")).alias("kept"))
+
+
+def best_of_class(classes: DataFrame, quality: DataFrame) -> DataFrame:
+    """(class_id, id, size): of each class the row of best ``quality`` (id, quality), and the class's number of rows."""
+    rated = classes.join(quality, "id", "left").groupBy("class_id")
+    return rated.agg(F.min(F.struct((-F.coalesce("quality", F.lit(-1e300))).alias("minus"), "id")).alias("b"), F.count("*").alias("size")).select("class_id", "b.id", "size")
+
+
+def top_scored(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataFrame:
+    """The ``k`` best rows of each query, ties by item: ranks are cut within each task before the shuffle."""
+    order = Window.partitionBy(query).orderBy(F.col(score).desc(), item)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def mmr(candidates: DataFrame, query: str, item: str, score: str, vector: str, k: int = 5, weight: float = 0.7) -> DataFrame:

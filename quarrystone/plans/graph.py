@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.operators.tables import cut_lineage
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -29,13 +31,6 @@ class Registry:
         return df
 
 
-def hooks(df: DataFrame, chain: list[tuple[int, Step]]) -> DataFrame:
-    """Apply steps in order of priority; an error stops the plan, so a broken guard never lets rows pass."""
-    for _, step in sorted(chain, key=lambda x: x[0]):
-        df = df.transform(step)
-    return df
-
-
 @dataclass
 class StateGraph:
     """An acyclic state graph: nodes change columns, edges may branch on a condition.
@@ -82,9 +77,9 @@ class StateGraph:
 
 
 def loop_until(df: DataFrame, step: Step, done: Callable[[DataFrame], bool], most: int = 10) -> DataFrame:
-    """Repeat a step until ``done`` holds, ``most`` times at most."""
+    """Repeat a step until ``done`` holds, ``most`` times at most; each round's rows are written, so that plans do not grow."""
     for _ in range(most):
         if done(df):
             break
-        df = step(df)
+        df = cut_lineage(step(df))
     return df

@@ -7,4 +7,4 @@ from quarrystone.queries import aggregates, dialect, filters_joins, graphs, proc
 _SHARED = {**filters_joins.QUERIES, **aggregates.QUERIES, **windows.QUERIES, **ranking.QUERIES, **texts.QUERIES, **graphs.QUERIES}
 
 QUERIES = {**{name: dialect.query(text) for name, text in _SHARED.items()}, **procedures.QUERIES}
-SQL = {name: dialect.duckdb_sql(text) for name, text in _SHARED.items()}
+SQL = {**{name: dialect.duckdb_sql(text) for name, text in _SHARED.items()}, **procedures.SQL}

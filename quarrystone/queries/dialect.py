@@ -35,6 +35,12 @@ _FORMS = {
     "hash_unit": ("cast(conv(substring(md5({0}), 1, 8), 16, 10) as bigint) / 4294967296.0D", "cast(('0x' || substring(md5({0}), 1, 8)) as bigint) / 4294967296.0::double"),
     "quantile": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "text": ("cast({0} as string)", "cast({0} as varchar)"),
+    "inorder": ("array_join(transform(array_sort(collect_list(struct({0} as o, {1} as v))), x -> x.v), {2})", "string_agg({1}, {2} ORDER BY {0})"),
+    "blank_line": ("'\\n\\n'", "E'\\n\\n'"),
+    "sha256": ("sha2({0}, 256)", "sha256({0})"),
+    "is_json": ("(try_parse_json({0}) is not null)", "json_valid({0})"),
+    "count_in": ("cast(size(filter({0}, x -> x = {1})) as bigint)", "len(list_filter({0}, lambda x: x = {1}))"),
+    "run": ("array_join(slice({0}, cast({1} as int), {2}), ' ')", "array_to_string({0}[cast({1} as int) : cast({1} as int) + {2} - 1], ' ')"),
     "split": ("split({0}, r'{1}')", "regexp_split_to_array({0}, '{1}')"),
 }
 

@@ -82,14 +82,14 @@ QUERIES = {
     "parent_expand": """WITH chunks AS (SELECT doc_id, @series(0|cast(floor((@chars(text) - 1) / 448) AS bigint)) AS chunk FROM {documents} WHERE text <> ''), hits AS (SELECT doc_id, chunk FROM chunks WHERE chunk % 3 = 1)
         SELECT DISTINCT d.doc_id, d.lang FROM hits h JOIN {documents} d ON h.doc_id = d.doc_id""",  # P
     "kb_vector_cross": """SELECT q.vec_id AS query_id, a.vec_id, round(@dot(q.embedding|a.embedding), 5) AS score FROM (SELECT * FROM {embeddings} WHERE vec_id % 50 = 0) q CROSS JOIN {embeddings} a WHERE @dot(q.embedding|a.embedding) > 0.35 AND q.vec_id <> a.vec_id""",  # L
-    "graph_hops": """WITH edges AS (SELECT DISTINCT user_id AS a, (user_id * 7 + cast(@field(props|k) AS bigint)) % 150 AS b FROM {events} WHERE event_id % 20 = 0),
-        h1 AS (SELECT DISTINCT b AS node FROM edges WHERE a = 8), h2 AS (SELECT DISTINCT e.b AS node FROM h1 JOIN edges e ON h1.node = e.a)
-        SELECT node, min(hop) AS hop FROM (SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 AS hop FROM h2) q GROUP BY node""",  # P
+    "graph_hops": """WITH edges AS (SELECT DISTINCT user_id AS a, (user_id * 7 + cast(@field(props|k) AS bigint)) % 1009 AS b FROM {events}),
+        h1 AS (SELECT DISTINCT b AS node FROM edges WHERE a = 8), h2 AS (SELECT DISTINCT e.b AS node FROM h1 JOIN edges e ON h1.node = e.a), h3 AS (SELECT DISTINCT e.b AS node FROM h2 JOIN edges e ON h2.node = e.a)
+        SELECT node, min(hop) AS hop FROM (SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 AS hop FROM h2 UNION ALL SELECT node, 3 AS hop FROM h3) q GROUP BY node""",  # P
     "incremental_upsert": """SELECT status, count(*) AS n FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN o.h <> n.h THEN 'updated' ELSE 'unchanged' END AS status FROM (SELECT doc_id, md5(text) AS h FROM {documents}) n
         LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS h FROM {documents} WHERE doc_id % 5 <> 0) o ON n.doc_id = o.doc_id) q GROUP BY status""",  # L
     "doc_cdc_apply": """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' ELSE 'replace' END AS action
-        FROM (SELECT doc_id, md5(text) AS h FROM {documents} WHERE doc_id < 300) o FULL OUTER JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(lang) ELSE md5(text) END AS h FROM {documents} WHERE doc_id BETWEEN 200 AND 400) n ON o.doc_id = n.doc_id
-        WHERE o.h IS NULL OR n.h IS NULL OR o.h <> n.h""",  # P
+        FROM (SELECT doc_id, md5(text) AS h FROM {documents} WHERE doc_id % 5 <> 0) o FULL OUTER JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(lang) ELSE md5(text) END AS h FROM {documents} WHERE doc_id % 7 <> 0) n ON o.doc_id = n.doc_id
+        WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.h <> n.h""",  # P, an old and a new state of the whole table
     "sink_kb_upsert": """SELECT doc_id, lang FROM (SELECT doc_id, lang, 0 AS v FROM {documents} WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, 'xx' AS lang, 1 AS v FROM {documents} WHERE doc_id % 10 = 3) q""",  # L
     "read_lines_slice": """SELECT doc_id, line_no, @item(ls|n - 1) AS line FROM (SELECT doc_id, n AS line_no, @split(text|\\n) AS ls, n FROM (SELECT doc_id, text, @series(2|4) AS n FROM {documents}) s) q
         JOIN (SELECT 1 AS one) z ON n <= @size(ls)""",  # L

@@ -1,7 +1,7 @@
-"""Task graphs, call chains and recursive walks as recursive queries, and stream replay in batch form."""
+"""Checks of call logs, and stream replay in batch form."""
+
+from quarrystone.queries.filters_joins import CALLS
 
-EDGES = "edges AS (SELECT * FROM (VALUES ('a', 'b'), ('a', 'c'), ('b', 'd'), ('c', 'd'), ('d', 'e'), ('f', 'e'), ('x', 'y'), ('y', 'x')) AS e(src, dst))"
-NODES = "nodes AS (SELECT src AS node FROM edges UNION SELECT dst AS node FROM edges)"
 STREAM = """deltas AS (SELECT * FROM (VALUES
   ('s1', 1, 'text.delta', NULL, 'Checking '), ('s1', 2, 'tool.arguments.delta', 'c1', '{"city":'), ('s1', 3, 'tool.arguments.delta', 'c1', '"Shanghai"}'), ('s1', 4, 'response.completed', NULL, NULL),
   ('s2', 1, 'text.delta', NULL, 'cut off'), ('s3', 1, 'response.completed', NULL, NULL), ('s3', 2, 'text.delta', NULL, 'late'), ('s4', 1, 'mystery', NULL, 'x'), ('s4', 2, 'response.completed', NULL, NULL),
@@ -10,24 +10,32 @@ STREAM = """deltas AS (SELECT * FROM (VALUES
 KNOWN = "('text.delta', 'tool.arguments.delta', 'response.completed', 'response.error')"
 
 QUERIES = {
-    "topo_waves": f"WITH RECURSIVE {EDGES}, {NODES}, roots AS (SELECT n.node FROM nodes n LEFT JOIN edges e ON e.dst = n.node WHERE e.dst IS NULL), walk(node, depth) AS (SELECT node, 0 AS depth FROM roots UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 20) SELECT node, cast(max(depth) AS int) AS wave FROM walk GROUP BY node",  # P; a cycle has no root and never unlocks
-    "call_cycle": f"WITH RECURSIVE {EDGES}, walk(start_node, node, depth) AS (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT w.start_node, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 6 AND w.node <> w.start_node) SELECT DISTINCT start_node FROM walk WHERE node = start_node",  # P
-    "causal_chain": "WITH RECURSIVE ev AS (SELECT event_id, cast(floor(event_id / 3) AS bigint) AS caused_by FROM {events} WHERE event_id < 500), walk(event_id, node, depth) AS (SELECT event_id, caused_by, 1 AS depth FROM ev WHERE event_id > 0 UNION ALL SELECT w.event_id, e.caused_by, w.depth + 1 FROM walk w JOIN ev e ON e.event_id = w.node WHERE w.node > 0 AND w.depth < 20) SELECT event_id, cast(max(depth) AS int) AS chain FROM walk GROUP BY event_id",  # P
-    "knowledge_graph": "SELECT s, p, o, count(*) AS support FROM (SELECT source AS s, 'has_language' AS p, lang AS o FROM {documents}) t GROUP BY s, p, o",  # P
     "fan_out_in": "SELECT a.doc_id, a.n_words, b.n_lines, a.n_words / cast(b.n_lines AS double) AS ratio FROM (SELECT doc_id, @size(@words(text)) AS n_words FROM {documents}) a JOIN (SELECT doc_id, @size(@split(text|\\n)) AS n_lines FROM {documents}) b ON a.doc_id = b.doc_id",  # L
-    "dynamic_send": "SELECT conv_id, turn, word FROM (SELECT conv_id, turn, @each(@words(substring(text, 1, 40))) AS word FROM {conversations}) q WHERE word <> ''",  # P
-    "state_graph": "SELECT doc_id, CASE WHEN n_chars < 200 THEN 'short' WHEN lang = 'en' THEN 'english' ELSE 'other' END AS route, CASE WHEN n_chars < 200 THEN upper(substring(text, 1, 20)) WHEN lang = 'en' THEN lower(substring(text, 1, 20)) ELSE substring(text, 1, 20) END AS state FROM {documents}",  # L
-    "merge_streams": "SELECT origin, count(*) AS n FROM (SELECT 'events' AS origin, event_id AS id FROM {events} UNION ALL SELECT 'turns' AS origin, conv_id AS id FROM {conversations}) u GROUP BY origin",  # P
+    "dynamic_send": "SELECT conv_id, turn, @each(@words(text)) AS word FROM {conversations}",  # P
+    "merge_streams": "SELECT origin, id, seq, arrived FROM (SELECT 'events' AS origin, event_id AS id, @rank(PARTITION BY user_id ORDER BY event_id) AS seq, event_id * 2 AS arrived FROM {events} UNION ALL SELECT 'turns' AS origin, conv_id AS id, turn AS seq, (conv_id * 100 + turn) * 2 + 1 AS arrived FROM {conversations}) u",  # P, rows keep their origin and the order of arrival
     "stream_guards": f"WITH {STREAM}, closed AS (SELECT stream_id, min(CASE WHEN kind IN ('response.completed', 'response.error') THEN seq END) AS done FROM deltas GROUP BY stream_id) SELECT s.stream_id, coalesce(min_by(CASE WHEN s.seq > c.done THEN 'after_terminal' WHEN s.kind NOT IN {KNOWN} THEN 'unknown_type' WHEN s.kind = 'tool.arguments.delta' AND coalesce(s.call_id, '') = '' THEN 'missing_call_id' END, CASE WHEN s.seq > c.done OR s.kind NOT IN {KNOWN} OR (s.kind = 'tool.arguments.delta' AND coalesce(s.call_id, '') = '') THEN s.seq END), CASE WHEN max(c.done) IS NULL THEN 'no_completion' ELSE 'ok' END) AS status FROM deltas s JOIN closed c ON s.stream_id = c.stream_id GROUP BY s.stream_id",  # E
-    "conversation_validate": "SELECT conv_id, bool_or(role = 'user') AS saw_user, bool_or(role = 'assistant' AND coalesce(prev, '') NOT IN ('user', 'assistant', 'tool', 'system')) AS orphan_answer, count(*) AS n FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM {conversations}) q GROUP BY conv_id",  # E
-    "turn_validate": "WITH calls AS (SELECT * FROM (VALUES (1, 'c1', 'weather', '{\"city\":\"x\"}'), (1, 'c1', 'time', '{}'), (2, 'c2', '', '{}'), (3, NULL, 'time', '{}'), (4, 'c4', 'time', '{}')) AS t(turn, call_id, name, args)) SELECT turn, bool_or(call_id IS NULL OR call_id = '') AS missing_id, bool_or(name = '') AS missing_name, count(*) > count(DISTINCT call_id) AND bool_and(call_id IS NOT NULL) AS repeated_id FROM calls GROUP BY turn",  # E
-    "storm_backpressure": "SELECT cast(floor(@micros(ts) / 3600000000) AS bigint) AS hour, count(*) AS arrived, least(count(*), 12) AS admitted FROM {events} GROUP BY 1",  # P
-    "notify_drain": "SELECT user_id, @joined(concat(event_type, @text(event_id))) AS notes FROM {events} WHERE event_id BETWEEN 100 AND 200 GROUP BY user_id",  # L
+    "conversation_validate": f"""WITH {CALLS}, a AS (SELECT conv, seq, call_id FROM calls WHERE role = 'assistant' AND call_id IS NOT NULL), goal AS (SELECT conv, min(CASE WHEN role = 'user' THEN seq END) AS said FROM calls GROUP BY conv),
+        issued AS (SELECT conv, call_id, min(seq) AS seq, count(*) - 1 AS again FROM a GROUP BY conv, call_id),
+        res AS (SELECT r.conv, r.seq, r.call_id, coalesce(r.call_id, '') = '' AS no_id, NOT coalesce(i.seq < r.seq, false) AS unknown, g.said IS NULL OR g.said > r.seq AS no_goal FROM calls r LEFT JOIN issued i ON r.conv = i.conv AND r.call_id = i.call_id JOIN goal g ON r.conv = g.conv WHERE r.role = 'tool'),
+        good AS (SELECT conv, call_id, count(*) AS n FROM res WHERE NOT no_id AND NOT unknown GROUP BY conv, call_id),
+        one AS (SELECT conv, 'duplicate_call' AS problem, cast(sum(again) AS bigint) AS n FROM issued GROUP BY conv UNION ALL SELECT conv, 'no_user_goal' AS problem, count(CASE WHEN no_goal THEN 1 END) AS n FROM res GROUP BY conv UNION ALL SELECT conv, 'missing_call_id' AS problem, count(CASE WHEN no_id THEN 1 END) AS n FROM res GROUP BY conv
+          UNION ALL SELECT conv, 'unknown_call' AS problem, count(CASE WHEN unknown AND NOT no_id THEN 1 END) AS n FROM res GROUP BY conv UNION ALL SELECT conv, 'duplicate_result' AS problem, cast(sum(n - 1) AS bigint) AS n FROM good GROUP BY conv
+          UNION ALL SELECT i.conv, 'unresolved' AS problem, count(CASE WHEN g.call_id IS NULL THEN 1 END) AS n FROM issued i LEFT JOIN good g ON i.conv = g.conv AND i.call_id = g.call_id GROUP BY i.conv)
+        SELECT conv, problem, n FROM one WHERE n > 0""",  # E
+    "turn_validate": """WITH turns AS (SELECT * FROM (VALUES (1, 'assistant', 'tool_calls'), (2, 'assistant', 'completed'), (3, 'assistant', 'tool_calls'), (4, 'user', 'tool_calls'), (5, 'assistant', 'tool_calls'), (6, 'assistant', 'completed')) AS t(turn, role, stop_reason)), history AS (SELECT * FROM (VALUES (5, 'c0')) AS h(turn, call_id)),
+        batch AS (SELECT * FROM (VALUES (1, 0, 'c1', 'weather', true), (1, 1, 'c1', 'time', true), (2, 0, 'c2', '', true), (4, 0, ' ', 'time', true), (5, 0, 'c0', 'time', false), (5, 1, 'c5', 'time', true)) AS b(turn, idx, call_id, name, text_arguments)),
+        n AS (SELECT t.turn, t.role, t.stop_reason, count(b.idx) AS calls FROM turns t LEFT JOIN batch b ON t.turn = b.turn GROUP BY t.turn, t.role, t.stop_reason),
+        one AS (SELECT turn, -1 AS idx, 'role' AS problem FROM n WHERE role <> 'assistant' UNION ALL SELECT turn, -1 AS idx, 'stop_reason' AS problem FROM n WHERE calls > 0 AND stop_reason <> 'tool_calls' UNION ALL SELECT turn, -1 AS idx, 'no_calls' AS problem FROM n WHERE calls = 0 AND stop_reason = 'tool_calls'
+          UNION ALL SELECT b.turn, b.idx, CASE WHEN trim(b.call_id) = '' THEN 'empty_id' WHEN b.before > 0 THEN 'repeated_id' WHEN h.call_id IS NOT NULL THEN 'id_in_history' END AS problem FROM (SELECT turn, idx, call_id, count(*) OVER (PARTITION BY turn, call_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS before FROM batch) b LEFT JOIN history h ON b.turn = h.turn AND b.call_id = h.call_id
+          UNION ALL SELECT turn, idx, 'empty_name' AS problem FROM batch WHERE trim(name) = '' UNION ALL SELECT turn, idx, 'arguments' AS problem FROM batch WHERE NOT text_arguments)
+        SELECT turn, idx, problem FROM one WHERE problem IS NOT NULL""",  # E
+    "storm_backpressure": "SELECT hour, event_id, CASE WHEN r <= 12 THEN 'admitted' ELSE 'sampled' END AS taken FROM (SELECT cast(floor(@micros(ts) / 3600000000) AS bigint) AS hour, event_id, row_number() OVER (PARTITION BY floor(@micros(ts) / 3600000000) ORDER BY ts, event_id) AS r, @hash_unit(concat('storm:', @text(event_id))) AS u FROM {events}) q WHERE r <= 12 OR u < 0.1",  # P, a limit an hour and a sample of the rest
+    "notify_drain": "SELECT user_id, call_no, @inorder(event_id|concat(event_type, ':', @text(event_id))|',') AS notes FROM (SELECT user_id, event_id, event_type, coalesce(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS call_no FROM {events}) q WHERE event_type <> 'view' GROUP BY user_id, call_no",  # L, a view is a model call that takes what waits
     "ext_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus",
     "ext_star_join": "SELECT r.r_name, n.n_name, count(*) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name",
     "ext_rollup": "SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "ext_top_parts": "SELECT p.p_brand, p.p_partkey, qty FROM (SELECT p_brand, p_partkey, qty, row_number() OVER (PARTITION BY p_brand ORDER BY qty DESC, p_partkey) AS r FROM (SELECT p.p_brand, p.p_partkey, sum(l.l_quantity) AS qty FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand, p.p_partkey) a) p WHERE r <= 3",
     "ext_event_windows": "SELECT event_type, cast(floor(@micros(ts) / 21600000000) AS bigint) AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY 1, 2",
     "ext_supplier_customer": "SELECT s.s_nationkey, count(DISTINCT s.s_suppkey) AS suppliers, count(DISTINCT c.c_custkey) AS customers FROM {supplier} s LEFT JOIN {customer} c ON s.s_nationkey = c.c_nationkey GROUP BY s.s_nationkey",
-    "ext_asof": "SELECT e.event_id, max(p.event_id) AS last_purchase FROM {events} e LEFT JOIN {events} p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND p.event_id < e.event_id WHERE e.event_type = 'error' GROUP BY e.event_id",
+    "ext_asof": "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM {events}) q WHERE event_type = 'error'",
 }

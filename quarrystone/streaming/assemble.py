@@ -64,26 +64,68 @@ def assemble(events: DataFrame) -> DataFrame:
 
 
 def assemble_stream(events: DataFrame, idle: str = "60 seconds") -> DataFrame:
-    """The same over a streaming DataFrame: rows leave at the terminal event, or when a stream has been idle too long."""
+    """The same over a streaming DataFrame: rows leave at the terminal event, or when a stream has been idle too long.
+
+    A stream that has ended is remembered until it has been idle; an event
+    that comes after its end gives one more row, after_terminal, as in batch.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, frames: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else _new()
-        done = held.hasTimedOut
-        if not done:
-            for rows in frames:
-                for r in rows.sort_values("seq").itertuples():
-                    state = step(state, r.kind, r.call_id, r.delta)
-            done = state["status"] != "open"
-        if done:
+        if held.hasTimedOut:
+            state = json.loads(held.get[0])
             held.remove()
-            yield pd.DataFrame([finish(key[0], state)], columns=["stream_id", "status", "text", "arguments", "error"])
+            rows = [finish(key[0], state)] if state["status"] == "open" else []
         else:
+            state = json.loads(held.get[0]) if held.exists else _new()
+            before = state["status"], state["error"]
+            for part in frames:
+                for r in part.sort_values("seq").itertuples():
+                    state = step(state, r.kind, r.call_id, r.delta)
+            rows = [finish(key[0], state)] if state["status"] != "open" and before != (state["status"], state["error"]) else []
             held.update((json.dumps(state),))
-            held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+            held.setTimeoutDuration(wait)
+        yield pd.DataFrame(rows, columns=["stream_id", "status", "text", "arguments", "error"])
 
     return events.groupBy("stream_id").applyInPandasWithState(run, _SCHEMA, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+_GATEWAY = "stream_id string, kind string, text string, tools string, stop_reason string, input_tokens long, error string"
+
+
+def parse_gateway(events: DataFrame) -> DataFrame:
+    """One row for each stream of events (stream_id, seq, type, id, name, body, tokens) of the start, delta and end kind.
+
+    One tool is open at a time, and a new start drops what the last one had;
+    its arguments are parsed at its end, where empty or broken ones are the
+    stream's error.  Unknown types are passed over.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        text, tools, name, raw, call, stop, tokens, error = "", [], "", "", "", "end_turn", 0, None
+        for r in rows.sort_values("seq").itertuples():
+            match r.type:
+                case "text_delta":
+                    text += r.body or ""
+                case "tool_use_start":
+                    call, name, raw = r.id, r.name, ""
+                case "tool_use_delta":
+                    raw += r.body or ""
+                case "tool_use_end":
+                    try:
+                        tools.append({"id": call, "name": name, "input": json.loads(raw)})
+                    except ValueError:
+                        error = "invalid_arguments"
+                        break
+                case "message_end":
+                    stop, tokens = r.body, int(r.tokens or 0)
+        kind = "error" if error else "tool_use" if tools else "text"
+        row = (rows["stream_id"].iloc[0], kind, text or None, json.dumps(tools) if tools else None, stop, tokens, error)
+        return pd.DataFrame([row], columns=[x.split()[0] for x in _GATEWAY.split(", ")])
+
+    return events.groupBy("stream_id").applyInPandas(run, _GATEWAY)
+
+
 def dedup_events(events: DataFrame, time: str, key: str, late: str = "10 minutes") -> DataFrame:
     """At-least-once events, once each, within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])

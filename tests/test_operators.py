@@ -1,32 +1,76 @@
 """Operators that are folds, recursions or streams, on small golden inputs."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import chunks, messages, rates, similar
-from quarrystone.plans.graph import Registry, StateGraph, hooks, loop_until
+from quarrystone.operators import chunks, components, messages, rates, similar, tables
+from quarrystone.plans import tools, walks
+from quarrystone.plans.graph import Registry, StateGraph, loop_until
 from quarrystone.queries import procedures
 from quarrystone.sources import files
 from quarrystone.streaming import assemble
 
 
 def test_redaction():
-    value = {"Authorization": "Bearer top-secret", "x-api-key": "k", "client_secret": "c", "ok": ["Bearer token", 1, None, {"cookie": 2}], "inner": '{"api_key": "zzz", "n": 1}', "s": "sk-abcdefgh123"}
+    value = {"authorization": "Bearer top-secret", "x-api-key": "k", "client_secret": "c", "cookie": 2, "nested": ["Bearer token", "password=secret123", 1, None], "inner": '  {"api_key": "zzz", "n": 1}', "s": "sk-abcdefgh123"}
     once = messages.redact_value(value)
-    text = json.dumps(once)
-    assert not any(x in text for x in ("top-secret", "Bearer token", "zzz", "abcdefgh123"))
-    assert once["ok"][1:3] == [1, None] and messages.redact_value(once) == once and json.loads(once["inner"])["n"] == 1
+    assert {once[k] for k in ("authorization", "x-api-key", "client_secret", "cookie")} == {"[REDACTED]"}
+    assert once["nested"] == ["Bearer [REDACTED]", "password=[REDACTED]", 1, None] and once["s"] == "sk-[REDACTED]"
+    assert once["inner"] == '{"api_key":"[REDACTED]","n":1}' and messages.redact_value(once) == once
+    hidden = messages.redact_value(dict.fromkeys(["passwd", "id_token", "auth_token", "x_auth_token", "My-Refresh-Token"], "v"))
+    assert set(hidden.values()) == {"[REDACTED]"} and messages.redact_value({"token": "v", "secretary": "s"}) == {"token": "v", "secretary": "s"}
+    assert messages.redact_string("api key: zzz, then") == "api key=[REDACTED], then"
+    assert messages.redact_string("{ no json, bearer  a/b=c;x") == "{ no json, Bearer [REDACTED];x"
+
+
+def test_redact_plain_equals_the_python_form(spark):
+    lines = ["Bearer abc, x", "PASSWORD = 'q w", "client secret:abc;d", "sk-12345678 sk-1234567", "refresh-token= x y", "", None]
+    df = spark.createDataFrame([(x,) for x in lines], "a string")
+    assert [r.a for r in df.select(messages.redact_plain(F.col("a")).alias("a")).collect()] == [x and messages.redact_string(x) for x in lines]
 
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("{", "invalid_json"), ("[1]", "not_object"), ("{}", "missing_required"), ('{"city":123}', "invalid_type"), ('{"city":"  "}', "empty_required"), ('{"city":"x"}', None), (None, "invalid_json")],
-)
+    [
+        ("{", "invalid_json"), ("[1]", "arguments_must_be_object"), ("3", "arguments_must_be_object"), ("{}", "missing_required"), ('{"city":null}', "invalid_type"),
+        ('{"city":123}', "invalid_type"), ('{"city":"  "}', "empty_required"), ('{"city":"x"}', None), (None, "invalid_json"),
+    ],
+)
 def test_argument_error(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "a string")
     assert df.select(messages.argument_error(F.col("a"), ["city"]).alias("e")).first().e == want
+    spec = tools.ToolSpec("t", "", ("city",), lambda a: {"city": a["city"]})
+    assert raw is None or spec.execute(raw).get("error") == want
+
+
+def test_tools(spark):
+    def fails(_):
+        raise RuntimeError("outage")
+
+    specs = [tools.ToolSpec("echo", "says it again", ("x",), lambda a: {"y": a["x"]}), tools.ToolSpec("bad", "", (), fails)]
+    assert specs[0].definition()["input_schema"] == {"type": "object", "properties": {"x": {"type": "string"}}, "required": ["x"]}
+    assert specs[1].execute("{}") == {"ok": False, "error": "tool_failed", "detail": "outage"}
+    calls = spark.createDataFrame([(1, "echo", '{"x": "1"}'), (2, "bad", "{}"), (3, "none", "{}"), (4, "echo", None), (5, None, "{}")], "id int, tool string, arguments string")
+    got = {r.id: (r.result.ok, r.result.data, r.result.error) for r in tools.call_tools(calls, specs).collect()}
+    assert got == {1: (True, '{"y": "1"}', None), 2: (False, None, "tool_failed"), 3: (False, None, "unknown_tool"), 4: (False, None, "invalid_json"), 5: (False, None, "unknown_tool")}
+
+
+def test_fingerprints(spark):
+    rows = [('{"b": 1, "a": {"d": 2, "c": "x  y"}}',), (' {"a":{"c":"x  y","d":2},"b":1}',), (" bad { ",)]
+    got = [r.f for r in spark.createDataFrame(rows, "a string").select(messages.action_fingerprint(F.lit("t"), F.col("a")).alias("f")).collect()]
+    assert got == ['t:{"a":{"c":"x  y","d":2},"b":1}'] * 2 + ["t:bad {"]
+
+
+def test_hooks_fail_closed(spark):
+    df = spark.createDataFrame([(1, 50.0), (2, 90.0)], "id int, score double")
+    step = lambda d: d.withColumn("twice", F.col("score") * 2)
+    out = tools.with_hooks(df, step, [tools.Hook(2, block=F.when(F.col("score") > 60, "high")), tools.Hook(1, inputs={"score": F.col("score") + 20})])
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, 70.0, None, "high"), (2, 110.0, None, "high")]
+    with pytest.raises(Exception):
+        tools.with_hooks(df, step, [tools.Hook(1, block=F.raise_error(F.lit("broken")).cast("string"))]).collect()
 
 
 def test_compression():
@@ -67,30 +111,97 @@ def test_stream_assembly(spark, sf_dir):
 
 
 def test_streaming_replay(spark, tmp_path):
-    rows = [("a", 1, "text.delta", None, "hi "), ("a", 2, "text.delta", None, "there"), ("a", 3, "response.completed", None, None), ("b", 1, "text.delta", None, "x")]
+    """One file a micro-batch: what comes after a stream's end gives one more row, as in batch."""
     schema = "stream_id string, seq int, kind string, call_id string, delta string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    query = assemble.assemble_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("append").format("memory").queryName("assembled").trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    query.stop()
-    assert [(r.stream_id, r.text) for r in spark.sql("select * from assembled").collect()] == [("a", "hi there")]
-
-
-def test_minhash(spark):
-    base = " ".join(f"w{i}" for i in range(200))
-    rows = [(1, base), (2, base), (3, base.replace("w7 ", "z ")), (4, " ".join(f"v{i}" for i in range(200))), (5, None)]
-    assert [(r.rep, r.member) for r in similar.minhash_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [(1, 3)]
+    parts = [
+        [("a", 1, "text.delta", None, "hi "), ("a", 2, "text.delta", None, "there"), ("a", 3, "response.completed", None, None), ("b", 1, "text.delta", None, "x")],
+        [("a", 4, "text.delta", None, "late"), ("c", 1, "response.completed", None, None)], [("a", 5, "text.delta", None, "later"), ("b", 2, "response.completed", None, None)],
+    ]
+    seen, rows_by = [], (1, 3, 4)
+    for rows, most in zip(parts, rows_by):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = assemble.assemble_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        query = stream.writeStream.foreachBatch(lambda df, _: seen.extend(tuple(r)[:3] + (r.error,) for r in df.collect())).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+        began = time.monotonic()
+        while len(seen) < most and time.monotonic() - began < 40:  # a query with timeouts never ends by itself
+            time.sleep(0.2)
+        query.stop()
+    assert sorted(seen, key=repr) == sorted([("a", "completed", "hi there", None), ("a", "error", "hi there", "after_terminal"), ("c", "completed", "", None), ("b", "completed", "x", None)], key=repr)
+
+
+def test_minhash_classes(spark):
+    """Every link counts: near texts of which the least id's bucket mate is not one, chains, copies, and short texts."""
+    w = [f"w{i}" for i in range(100)]
+    text = lambda *gone: " ".join("z" + x if i in gone else x for i, x in enumerate(w))
+    rows = [(1, text(0)), (2, text(0, 99)), (3, text(99)), (4, "other words only here"), (5, "other  WORDS only here"), (6, None), (7, ""), (8, text(50)), (None, text(0))]
+    got = {r.id: r.class_id for r in similar.minhash_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 1, 4: 4, 5: 4}
+
+
+def test_bucket_links_connect_all(spark):
+    """Of a bucket that holds two groups and odd ones, all links are found by whichever member has them."""
+    values = {1: 0, 2: 10, 3: 1, 4: 11, 5: 2, 6: 12, 7: 50, 8: 3}
+    members = spark.createDataFrame([(b, i) for b in (0, 1) for i in values if b == 0 or i < 4], "bucket long, id long")
+    items = spark.createDataFrame(list(values.items()), "id long, payload long")
+    links = similar.bucket_links(members, items, F.abs(F.col("pa") - F.col("pb")) <= 1)
+    got = {r.node: r.root for r in components.connected_components(links, "a", "b").collect()}
+    assert got == {3: 1, 5: 1, 8: 1, 4: 2, 6: 2}
+
+
+def test_cosine_recall(spark, sf_dir):
+    """All pairs above 0.85 by brute force are found, and labels do not matter."""
+    import numpy as np
+
+    moved = procedures._moved(spark, sf_dir)
+    rows = sorted((r.id, tuple(r.v)) for r in moved.collect())
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(v @ v.T > 0.85, 1)))}
+    got = {(r.a, r.b) for r in similar.cosine_links(moved, "id", "v", 0.85)[0].collect()}
+    assert len(want) > 5 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_walks(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("f", "e"), ("x", "y"), ("y", "x"), ("y", "z"), ("a", "z")], "u string, v string")
+    assert {r.node: r.wave for r in walks.waves(edges, "u", "v").collect()} == {"a": 0, "f": 0, "b": 1, "c": 1, "d": 2, "e": 3}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)] + [(100, 101), (101, 100), (102, 100), (200, 999)], "id long, up long")
+    assert {r.node: r.length for r in walks.chain_lengths(chain, "id", "up").collect()} == {i: i for i in range(70)} | {200: 0}
+    calls = spark.createDataFrame([(1, None, "A"), (2, 1, "B"), (3, 2, "A"), (4, 3, "C"), (5, 4, "B")], "id long, up long, agent string")
+    assert {r.call: r.distance for r in walks.repeated_callers(calls, "id", "up", "agent").collect()} == {3: 2, 5: 3}
+    deep = spark.createDataFrame([(i, i - 1 if i else None, "A" if i in (0, 12) else f"x{i}") for i in range(13)], "id long, up long, agent string")
+    assert [tuple(r) for r in walks.repeated_callers(deep, "id", "up", "agent").collect()] == [(12, 12)]
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    assert all(r.n == r.k + 1 for r in tables.numbered(rows, ["k"], "n").collect())
+
+
+def test_waits():
+    assert rates.bucket_waits([0, 0, 0, 0, 10], 2, 1) == [0, 0, 1, 2, 0]
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "topic.md").write_text("# T\n## Q： one?\nanswer\n### Q: two?\n\n## other\n", encoding="utf-8")
+    (tmp_path / "topic.md").write_text("# T\n## Q： one?\n> 来源: book\n**新手答**: \"short\"\n**高手答**:\nlong\nanswer\n**差距在哪**: depth\nof it\n---\n### Q: two?\n\n## other\n", encoding="utf-8")
     (tmp_path / "skill.md").write_text("---\nname: s\ndescription: d\n---\nbody\n")
     texts = files.read_texts(spark, str(tmp_path))
-    got = files.question_fields(files.question_sections(texts.where("path like '%topic.md'"))).collect()
-    assert [(r.id, r.question) for r in got][0] == ("topic:1", "one?")
+    sections = files.question_sections(texts.where("path like '%topic.md'"))
+    assert [r["index"] for r in sections.orderBy("index").collect()] == [1, 2]
+    (got,) = files.question_fields(sections).collect()
+    assert tuple(got) == ("topic:1", "topic", "one?", "book", "short", "long\nanswer", "depth\nof it")
     assert files.front_matter(texts.where("path like '%skill.md'")).first()["name"] == "s"
-    files.write_trace(spark.createDataFrame([(1, '{"token": "abc"}')], "id int, payload string"), "payload", f"{tmp_path}/trace")
-    assert "abc" not in spark.read.json(f"{tmp_path}/trace").first().payload
+    for _ in range(2):  # a new trace begins empty
+        trace = files.Trace(spark, f"{tmp_path}/trace")
+        trace.record(spark.createDataFrame([(1, {"api_key": "abc"})], "id int, payload map<string,string>"), "e")
+    trace.record(spark.createDataFrame([(2, "Bearer abc")], "id int, note string"), "f")
+    assert sorted(r.value for r in spark.read.text(trace.path).collect()) == ['{"event":"e","id":1,"payload":{"api_key":"[REDACTED]"}}', '{"event":"f","id":2,"note":"Bearer [REDACTED]"}']
+    assert files.write_file(spark, f"{tmp_path}/note.txt", "héllo") == 6 and (tmp_path / "note.txt").read_text() == "héllo"
+    assert {r.path.rsplit("/")[-1] for r in files.list_dir(spark, str(tmp_path), "*.md").collect()} == {"topic.md", "skill.md"}
+
+
+def test_missed_changes(spark):
+    old, new = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "a"), (2, "b"), (3, "c")], [(2, "b"), (3, "x"), (4, None)]))
+    assert {r.k: r.action for r in files.missed_changes(new, old, "k").collect()} == {1: "delete", 3: "update", 4: "insert"}
 
 
 def test_plans(spark):
@@ -102,5 +213,4 @@ def test_plans(spark):
         StateGraph().node("a").node("b").edge("a", "b").edge("b", "a").order()
     with pytest.raises(ValueError):
         Registry().register("x", lambda d: d).register("x", lambda d: d)
-    assert hooks(df, [(2, lambda d: d.where("score > 60")), (1, lambda d: d.withColumn("score", F.col("score") + 5))]).count() == 1
     assert loop_until(df, lambda d: d.withColumn("score", F.col("score") + 10), lambda d: d.agg(F.min("score")).first()[0] >= 75).agg(F.min("score")).first()[0] == 80

@@ -23,7 +23,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL)[::4])
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_against_sql(spark, sf_dir, duck, name):
     got = catalog.QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
