@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm import decontaminate, mixing, simhash, tokens, toxicity
-from quarrystone.llm.common import delete_dir, fresh_dir, table
+from quarrystone.llm.common import table
 from quarrystone.llm.registry import LEARN, vocabulary
+from quarrystone.operators.tables import delete_dir, fresh_dir
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

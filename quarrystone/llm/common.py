@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,40 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local master may
-    leave it unset; then a temporary folder of this machine is used.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def delete_dir(spark: SparkSession, folder: str) -> None:
-    """Remove a folder that ``fresh_dir`` named, wherever it lies."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; null text has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
@@ -80,75 +44,3 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, most_rows: int = 1024,
             stop = max(start + 1, min(start + most_rows, int(np.searchsorted(sizes, before + most_bytes, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
-
-
-def free_names(docs: DataFrame, *names: str) -> list[str]:
-    """Column names that ``docs`` does not have, in the manner of the given ones."""
-    taken, out = {c.lower() for c in docs.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-#: Most bytes of a table that is broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
-#: A key is hot if it has over one row in so many; so fewer keys than this are hot, whatever the data.
-HOT = 2000
-
-
-def table_bytes(small: DataFrame) -> int:
-    """About the bytes of the rows: 16 a value, and those of strings and arrays."""
-    sizes = F.lit(0).cast("long")
-    for field in small.schema.fields:
-        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
-        more = F.octet_length(column) if kind in ("string", "binary") else F.size(column) * 16 if kind == "array" else F.lit(16 * 3 if kind == "struct" else 0)
-        sizes = sizes + 16 + F.coalesce(more, F.lit(0))
-    return small.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
-
-
-def near(small: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``small`` with a broadcast hint if its rows are counted to be small enough, else as it is."""
-    return F.broadcast(small) if table_bytes(small) <= most else small
-
-
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
-    """Inner join on non-null keys that ``right`` has once each, with ``count`` rows of ``left``'s ``total`` each.
-
-    Rows of hot keys, of which there are fewer than HOT, meet ``right`` by
-    broadcast; the others are shuffled, so no key fills a task.
-    """
-    hot = F.col(count) * HOT > total
-    few = right.where(hot).drop(count)
-    (mark,) = free_names(left, "is_hot")
-    marked = left.join(F.broadcast(few.withColumn(mark, F.lit(True))), on, "left")
-    met = marked.where(F.col(mark)).drop(mark)
-    rest = marked.where(F.col(mark).isNull()).select(*left.columns).join(right.where(~hot).drop(count), on)
-    return met.unionByName(rest)
-
-
-def by_keys(docs: DataFrame, listed: DataFrame, keys: dict[str, Column], count: str, total: int, kept: bool) -> DataFrame:
-    """The rows of ``docs`` whose keys are ``listed`` (if ``kept``; else the others), with their columns; nulls are equal.
-
-    ``listed`` has each key once, with ``count`` rows of ``docs``'s ``total``.
-    A list over BROADCAST_BYTES is joined by a shuffle, but for hot keys.
-    """
-    names = dict(zip(keys, free_names(docs, *keys)))
-    own = listed.select(*[F.col(k).alias(v) for k, v in names.items()], F.col(count).alias("rows"))
-    same = F.lit(True)
-    for k, v in names.items():
-        same = same & keys[k].eqNullSafe(F.col(v))
-    how = "left_semi" if kept else "left_anti"
-    if table_bytes(own) <= BROADCAST_BYTES:
-        return docs.join(F.broadcast(own.drop("rows")), same, how)
-    hot = F.col("rows") * HOT > total
-    few, many = F.broadcast(own.where(hot).drop("rows")), own.where(~hot).drop("rows")
-    if not kept:
-        return docs.join(few, same, how).join(many, same, how)
-    return docs.join(few, same, how).unionByName(docs.join(few, same, "left_anti").join(many, same, how))
-
-
-def reduce_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import by_keys, cut_lineage, near, pieces, raw_texts
+from quarrystone.llm.common import pieces, raw_texts
 from quarrystone.llm.substrings import run_hashes
+from quarrystone.operators.tables import by_keys, cut_lineage, near
 
 #: Template tokens in a window, and the least of them that are plain words.
 WINDOW, LEAST_PLAIN = 5, 3

@@ -16,7 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut_lineage, near, pieces, raw_texts
+from quarrystone.llm.common import pieces, raw_texts
+from quarrystone.operators.tables import cut_lineage, near
 
 #: Bounds of what a model is fitted on: documents and dictionary bytes a language, and dictionary bytes of all languages.
 DOCS_PER_LANG, DICT_BYTES, ALL_DICT_BYTES = 150, 96_000, 64 << 20

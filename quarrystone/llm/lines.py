@@ -24,8 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm import common
-from quarrystone.llm.common import cut_lineage, free_names, join_hot, table_bytes, words
+from quarrystone.llm.common import words
+from quarrystone.operators import tables
+from quarrystone.operators.tables import cut_lineage, free_names, join_hot, table_bytes
 
 LEAST_WORDS = 5
 
@@ -76,7 +77,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     able = cut_lineage(halves.join(shared, "k", "left_semi").select("h1", "h2", "at", "times").distinct())
     n_lines = known.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     # one line of each kind is read again, so the others are left out before the words are looked at
-    small = table_bytes(able) <= common.BROADCAST_BYTES
+    small = table_bytes(able) <= tables.BROADCAST_BYTES
     texts = lines.join(F.broadcast(able), ["h1", "h2"]) if small else join_hot(lines, able, ["h1", "h2"], "times", n_lines)
     texts = texts.where(_place() == F.col("at"))
     long = texts.select("h1", "h2", "at", F.transform(words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["h1", "h2"])

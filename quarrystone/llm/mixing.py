@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut_lineage, near, reduce_rows
+from quarrystone.operators.tables import cut_lineage, near, reduce_rows
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 #: Most sources that one task puts in order.

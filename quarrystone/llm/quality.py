@@ -14,8 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm import common
-from quarrystone.llm.common import SPACES, cut_lineage, table_bytes, words
+from quarrystone.llm.common import SPACES, words
+from quarrystone.operators import tables
+from quarrystone.operators.tables import cut_lineage, table_bytes
 
 BUCKETS, SCALE = 1 << 14, 1 << 16
 #: Least mean log2 ratio of a document that is kept.
@@ -74,7 +75,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     """
     ids = cut_lineage(trusted.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(1)))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    if table_bytes(ids) <= common.BROADCAST_BYTES:
+    if table_bytes(ids) <= tables.BROADCAST_BYTES:
         rows = rows.join(F.broadcast(ids), "id", "left")
     else:  # null ids, which may be many, are not shuffled to one task
         rows = rows.where("id IS NOT NULL").join(ids, "id", "left").unionByName(rows.where("id IS NULL").withColumn("good", F.lit(None).cast("int")))

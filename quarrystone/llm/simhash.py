@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import by_keys, cut_lineage, free_names, join_hot, pieces, raw_texts, reduce_rows
-from quarrystone.llm.components import connected_components
+from quarrystone.llm.common import pieces, raw_texts
+from quarrystone.operators.components import connected_components
+from quarrystone.operators.tables import by_keys, cut_lineage, free_names, join_hot, reduce_rows
 
 #: Rows at one anchor that one task compares at once.
 GROUP_ROWS = 4096

@@ -30,7 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, raw_texts, reduce_rows
+from quarrystone.llm.common import pieces, raw_texts
+from quarrystone.operators.tables import reduce_rows
 
 WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (1, 2, 4)
 _MULTIPLIER = 0x9E3779B97F4A7C15

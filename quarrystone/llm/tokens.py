@@ -15,8 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut_lineage, fresh_dir, pieces, reduce_rows
+from quarrystone.llm.common import pieces
 from quarrystone.llm.pfor import BLOCK, PERCENTILE, Shard, write_shard
+from quarrystone.operators.tables import cut_lineage, fresh_dir, reduce_rows
 
 #: A word that begins with white space or is empty.
 _OPEN = r"^($|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"

@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrystone.llm import common, components, decontaminate, langid, lines, mixing, pfor, quality, registry, secret_scan, simhash, substrings, tokens, toxicity
+from quarrystone.llm import decontaminate, langid, lines, mixing, pfor, quality, registry, secret_scan, simhash, substrings, tokens, toxicity
+from quarrystone.operators import components, tables
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, count long, key string"
 AWKWARD = [
@@ -102,10 +103,10 @@ def test_simhash_anchors_cover():
         assert len(at[0][1]) <= 34
 
 
-@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", [tables.BROADCAST_BYTES, 0])
 def test_drop_near_copies(spark, docs, texts, awkward, empty, most, monkeypatch):
     """Of each group the row of least id stays, whether ids repeat elsewhere or not, joined by broadcast or shuffle."""
-    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", most)
     kept = {r[0] for r in plain_groups(sorted(texts.items())) if r[0] == r[2]}
     got = simhash.drop_near_copies(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(kept)
@@ -195,10 +196,10 @@ def plain_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", [tables.BROADCAST_BYTES, 0])
 def test_lines(spark, docs, texts, awkward, empty, most, monkeypatch):
     """The whole table, small cases, and awkward rows with repeats."""
-    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", most)
     rows = [(1, "a b c d e\nq"), (2, "a b x d e\nq\na b c d e f"), (3, "b c d e\nz a b c d e"), (4, "a b c d e"), (5, "a b c e d\na b x d e")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert order(lines.repeated_lines(table).collect()) == order(plain_lines(rows))
@@ -278,10 +279,10 @@ def plain_verdicts(rows, trusted):
     return out
 
 
-@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", [tables.BROADCAST_BYTES, 0])
 def test_quality_verdicts(spark, docs, texts, awkward, most, monkeypatch):
     """Every ratio and verdict of the whole smallest table, and of awkward rows, recomputed by hand."""
-    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", most)
     trusted = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
     known = {r.doc_id for r in trusted.collect()}
     rows = sorted(texts.items())
