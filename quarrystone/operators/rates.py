@@ -1,67 +1,89 @@
-"""Rate limiters: admission depends on what was admitted before, so each key's events are folded in order."""
+"""Rate limiters: admission depends on what was admitted before, so each key's events are folded in order.
+
+A rule is a pair (begin, step): ``begin()`` gives a key's first state, and
+``step(state, seconds)`` the next state and the answer for an event.
+"""
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarrystone.operators.folds import fold
+
+Rule = tuple[Callable[[], Any], Callable[[Any, float], tuple[Any, Any]]]
+
 
-def sliding(times: list[float], most: int, window: float) -> list[bool]:
+def sliding(most: int, window: float) -> Rule:
     """Allowed if fewer than ``most`` allowed events lie in the trailing window; refused ones are not counted."""
-    held: deque[float] = deque()
-    out = []
-    for t in times:
+
+    def step(held: deque[float], t: float) -> tuple[deque[float], bool]:
         while held and held[0] <= t - window:
             held.popleft()
-        out.append(len(held) < most)
-        if out[-1]:
+        allowed = len(held) < most
+        if allowed:
             held.append(t)
-    return out
+        return held, allowed
 
+    return deque, step
 
-def token_bucket(times: list[float], capacity: float, per_second: float) -> list[bool]:
-    level, last, out = capacity, None, []
-    for t in times:
-        level = min(capacity, level + (t - last) * per_second) if last is not None else capacity
-        last = t
-        out.append(level >= 1)
-        level -= out[-1]
-    return out
 
+def token_bucket(capacity: float, per_second: float) -> Rule:
+    """Allowed if a token is there; refused events take none."""
 
-def leaky_bucket(times: list[float], capacity: float, per_second: float) -> list[bool]:
-    level, last, out = 0.0, None, []
-    for t in times:
-        level = max(0.0, level - (t - last) * per_second) if last is not None else 0.0
-        last = t
-        out.append(level + 1 <= capacity)
-        level += out[-1]
-    return out
+    def step(state: tuple[float, float | None], t: float) -> tuple[tuple[float, float], bool]:
+        level, last = state
+        level = capacity if last is None else min(capacity, level + (t - last) * per_second)
+        return (level - (level >= 1), t), level >= 1
 
+    return lambda: (capacity, None), step
 
-def bucket_waits(times: list[float], capacity: float, per_second: float) -> list[float]:
-    """Seconds that each event waits for its token, first come first served; nothing is refused."""
-    level, last, out = capacity, None, []
-    for t in times:
+
+def leaky_bucket(capacity: float, per_second: float) -> Rule:
+    """Allowed if the bucket, which drains at a fixed rate, has room."""
+
+    def step(state: tuple[float, float | None], t: float) -> tuple[tuple[float, float], bool]:
+        level, last = state
+        level = 0.0 if last is None else max(0.0, level - (t - last) * per_second)
+        room = level + 1 <= capacity
+        return (level + room, t), room
+
+    return lambda: (0.0, None), step
+
+
+def bucket_waits(capacity: float, per_second: float) -> Rule:
+    """Seconds that an event waits for its token, first come first served; nothing is refused."""
+
+    def step(state: tuple[float, float | None], t: float) -> tuple[tuple[float, float], float]:
+        level, last = state
         now = t if last is None else max(t, last)
         level = capacity if last is None else min(capacity, level + (now - last) * per_second)
         served = now if level >= 1 else now + (1 - level) / per_second
-        level = max(0.0, level - 1)
-        last = served
-        out.append(served - t)
-    return out
+        return (max(0.0, level - 1), served), served - t
 
+    return lambda: (capacity, None), step
 
-def admit(events: DataFrame, rule: Callable[[list[float]], list], key: str, order: str, time_us: str, event: str, result: str = "allowed boolean") -> DataFrame:
-    """(key, event, allowed): ``rule`` over each key's event times in seconds. A key's events are held together, as the rule needs their order."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time_us, order])
-        return pd.DataFrame({key: rows[key], event: rows[event], result.split()[0]: rule((rows[time_us] / 1e6).tolist())})
+def answers(rule: Rule, times: list[float]) -> list:
+    """The rule over one key's event times."""
+    begin, step = rule
+    state, out = begin(), []
+    for t in times:
+        state, answer = step(state, t)
+        out.append(answer)
+    return out
+
 
+def admit(events: DataFrame, rule: Rule, key: str, time_us: str, event: str, result: str = "allowed boolean") -> DataFrame:
+    """(key, event, allowed): ``rule`` over each key's event times in seconds, ties by event. Only a key's state is held."""
+    begin, step = rule
     kinds = dict(events.dtypes)
-    columns = list(dict.fromkeys([key, event, order, time_us]))
-    return events.select(*columns).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {event} {kinds[event]}, {result}")
+
+    def one(state: Any, row: dict) -> tuple[Any, list[tuple]]:
+        state, answer = step(state, row[time_us] / 1e6)
+        return state, [(row[key], row[event], answer)]
+
+    return fold(events.select(key, event, time_us), key, [time_us, event], begin, one, lambda name, state: [], f"{key} {kinds[key]}, {event} {kinds[event]}, {result}")

@@ -282,7 +282,7 @@ def listing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _admit(rule, result: str = "allowed boolean"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         timed = _table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-        out = rates.admit(timed, rule, "user_id", "event_id", "us", "event_id", result)
+        out = rates.admit(timed, rule, "user_id", "us", "event_id", result)
         return out.withColumn("wait_s", F.round("wait_s", 2)) if result.startswith("wait") else out
 
     return run
@@ -381,10 +381,10 @@ QUERIES = {
         chunk_recursive, chunk_structure_aware, chunk_ast, chunk_semantic, split_labeled, title_path, listing_budget, dedup_minhash, dedup_simhash_chunk, dedup_cosine, memory_semantic_merge, dedup_semantic, mmr,
         topo_waves, causal_chain, call_cycle, knowledge_graph, stream_assemble, stream_parse_gateway,
     )},
-    "rate_sliding": _admit(lambda t: rates.sliding(t, 3, 86400.0)),
-    "rate_token_bucket": _admit(lambda t: rates.token_bucket(t, 3.0, 1 / 43200)),
-    "rate_leaky": _admit(lambda t: rates.leaky_bucket(t, 3.0, 1 / 43200)),
-    "token_bucket": _admit(lambda t: rates.bucket_waits(t, 3.0, 1 / 43200), "wait_s double"),
+    "rate_sliding": _admit(rates.sliding(3, 86400.0)),
+    "rate_token_bucket": _admit(rates.token_bucket(3.0, 1 / 43200)),
+    "rate_leaky": _admit(rates.leaky_bucket(3.0, 1 / 43200)),
+    "token_bucket": _admit(rates.bucket_waits(3.0, 1 / 43200), "wait_s double"),
 }
 
 _TIMED = "ev AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events)"

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarrystone.operators.folds import fold
+
 _SCHEMA = "stream_id string, status string, text string, arguments string, error string"
 _KNOWN = ("text.delta", "tool.arguments.delta", "response.completed", "response.error")
 
@@ -53,14 +55,8 @@ def _new() -> dict:
 
 def assemble(events: DataFrame) -> DataFrame:
     """One row for each stream of events (stream_id, seq, kind, call_id, delta)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state = _new()
-        for r in rows.sort_values("seq").itertuples():
-            state = step(state, r.kind, r.call_id, r.delta)
-        return pd.DataFrame([finish(rows["stream_id"].iloc[0], state)], columns=["stream_id", "status", "text", "arguments", "error"])
-
-    return events.groupBy("stream_id").applyInPandas(run, _SCHEMA)
+    one = lambda state, r: (step(state, r["kind"], r["call_id"], r["delta"]), [])
+    return fold(events, "stream_id", ["seq"], _new, one, lambda name, state: [finish(name, state)], _SCHEMA)
 
 
 def assemble_stream(events: DataFrame, idle: str = "60 seconds") -> DataFrame:
@@ -101,29 +97,35 @@ def parse_gateway(events: DataFrame) -> DataFrame:
     stream's error.  Unknown types are passed over.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        text, tools, name, raw, call, stop, tokens, error = "", [], "", "", "", "end_turn", 0, None
-        for r in rows.sort_values("seq").itertuples():
-            match r.type:
+    def begin() -> dict:
+        return {"text": "", "tools": [], "open": ("", "", ""), "stop": "end_turn", "tokens": 0, "error": None}
+
+    def one(state: dict, r: dict) -> tuple[dict, list]:
+        body = r["body"] or ""
+        if state["error"] is None:
+            match r["type"]:
                 case "text_delta":
-                    text += r.body or ""
+                    state["text"] += body
                 case "tool_use_start":
-                    call, name, raw = r.id, r.name, ""
+                    state["open"] = (r["id"], r["name"], "")
                 case "tool_use_delta":
-                    raw += r.body or ""
+                    call, name, raw = state["open"]
+                    state["open"] = (call, name, raw + body)
                 case "tool_use_end":
+                    call, name, raw = state["open"]
                     try:
-                        tools.append({"id": call, "name": name, "input": json.loads(raw)})
+                        state["tools"].append({"id": call, "name": name, "input": json.loads(raw)})
                     except ValueError:
-                        error = "invalid_arguments"
-                        break
+                        state["error"] = "invalid_arguments"
                 case "message_end":
-                    stop, tokens = r.body, int(r.tokens or 0)
-        kind = "error" if error else "tool_use" if tools else "text"
-        row = (rows["stream_id"].iloc[0], kind, text or None, json.dumps(tools) if tools else None, stop, tokens, error)
-        return pd.DataFrame([row], columns=[x.split()[0] for x in _GATEWAY.split(", ")])
+                    state["stop"], state["tokens"] = r["body"], int(r["tokens"] or 0)
+        return state, []
+
+    def end(name: str, state: dict) -> list[tuple]:
+        kind = "error" if state["error"] else "tool_use" if state["tools"] else "text"
+        return [(name, kind, state["text"] or None, json.dumps(state["tools"]) if state["tools"] else None, state["stop"], state["tokens"], state["error"])]
 
-    return events.groupBy("stream_id").applyInPandas(run, _GATEWAY)
+    return fold(events, "stream_id", ["seq"], begin, one, end, _GATEWAY)
 
 
 def dedup_events(events: DataFrame, time: str, key: str, late: str = "10 minutes") -> DataFrame:

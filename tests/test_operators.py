@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import chunks, components, messages, rates, similar, tables
+from quarrystone.operators import chunks, components, folds, messages, rates, similar, tables
 from quarrystone.plans import tools, walks
 from quarrystone.plans.graph import Registry, StateGraph, loop_until
 from quarrystone.queries import procedures
@@ -97,10 +97,19 @@ def test_title_paths(spark):
 
 
 def test_rates():
-    assert rates.sliding([0, 1, 2, 11], 2, 10) == [True, True, False, True]
-    assert rates.sliding([0, 1, 2, 10.5], 2, 10) == [True, True, False, True]
-    assert rates.token_bucket([0, 0, 0, 1], 2, 1) == [True, True, False, True]
-    assert rates.leaky_bucket([0, 0, 0, 1], 2, 1) == [True, True, False, True]
+    assert rates.answers(rates.sliding(2, 10), [0, 1, 2, 11]) == [True, True, False, True]
+    assert rates.answers(rates.sliding(2, 10), [0, 1, 2, 10.5]) == [True, True, False, True]
+    assert rates.answers(rates.token_bucket(2, 1), [0, 0, 0, 1]) == [True, True, False, True]
+    assert rates.answers(rates.leaky_bucket(2, 1), [0, 0, 0, 1]) == [True, True, False, True]
+    assert rates.answers(rates.bucket_waits(2, 1), [0, 0, 0, 0, 10]) == [0, 0, 1, 2, 0]
+
+
+def test_fold_over_many_batches(spark):
+    """Keys that reach over batches, null keys, and an empty table."""
+    rows = spark.range(20000).select((F.col("id") % 3).alias("k"), "id").unionByName(spark.createDataFrame([(None, 1), (None, 2)], "k long, id long"))
+    count = lambda df: {r.k: (r.n, r.last) for r in folds.fold(df, "k", ["id"], lambda: (0, None), lambda s, r: ((s[0] + 1, r["id"]), []), lambda k, s: [(k, *s)], "k long, n long, last long").collect()}
+    assert count(rows) == {0: (6667, 19998), 1: (6667, 19999), 2: (6666, 19997), None: (2, 2)}
+    assert count(rows.limit(0)) == {}
 
 
 def test_stream_assembly(spark, sf_dir):
@@ -177,10 +186,6 @@ def test_numbered(spark):
     assert all(r.n == r.k + 1 for r in tables.numbered(rows, ["k"], "n").collect())
 
 
-def test_waits():
-    assert rates.bucket_waits([0, 0, 0, 0, 10], 2, 1) == [0, 0, 1, 2, 0]
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "topic.md").write_text("# T\n## Q： one?\n> 来源: book\n**新手答**: \"short\"\n**高手答**:\nlong\nanswer\n**差距在哪**: depth\nof it\n---\n### Q: two?\n\n## other\n", encoding="utf-8")
     (tmp_path / "skill.md").write_text("---\nname: s\ndescription: d\n---\nbody\n")
