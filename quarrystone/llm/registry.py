@@ -78,7 +78,7 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that are equal to an earlier line, or one word from it."""
-    return lines.repeated_lines(table(spark, sf_dir, "documents"))
+    return lines.repeated_lines(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,29 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: What DuckDB computes by plainer means, where ids are unique; hashes and models of the other queries have no SQL.
+SQL: dict[str, str] = {
+    "op6_substrings": rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), x AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) a),
+        g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) a), f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+        c AS (SELECT DISTINCT g.doc_id, g.i + o.n AS i FROM g JOIN f ON g.k = f.k AND f.first < g.doc_id CROSS JOIN (SELECT unnest(range(0, 13)) AS n) o),
+        r AS (SELECT x.doc_id, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN x.word END, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
+        SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id""",
+    "op8_lines": r"""WITH l AS (SELECT doc_id, i - 1 AS no, ls[i] AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS ls FROM documents) a) b),
+        p AS (SELECT *, doc_id * 1000000 + no AS pos FROM l WHERE len(w) > 0), d AS (SELECT line, any_value(w) AS w, len(any_value(w)) AS n, min(pos) AS pos FROM p GROUP BY line),
+        v AS (SELECT line, pos, n, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 :]), ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 5) a), whole AS (SELECT line, pos, n, array_to_string(w, ' ') AS rest FROM d WHERE n >= 5),
+        near AS (SELECT line, min(other) AS other FROM (SELECT line, pos, min(pos) OVER (PARTITION BY n, i, rest) AS other FROM v UNION ALL SELECT v.line, v.pos, o.pos AS other FROM v JOIN whole o ON o.n = v.n - 1 AND o.rest = v.rest UNION ALL SELECT o.line, o.pos, v.pos AS other FROM v JOIN whole o ON o.n = v.n - 1 AND o.rest = v.rest) q WHERE other < pos GROUP BY line),
+        out AS (SELECT p.doc_id, p.no, CASE WHEN d.pos < p.pos THEN d.pos ELSE near.other END AS kept, CASE WHEN d.pos < p.pos THEN 0 ELSE 1 END AS distance FROM p JOIN d ON p.line = d.line LEFT JOIN near ON p.line = near.line WHERE d.pos < p.pos OR near.other IS NOT NULL)
+        SELECT doc_id, no AS line_no, kept // 1000000 AS kept_id, kept % 1000000 AS kept_line_no, distance FROM out""",
+    "op10_mixing": rf"""WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS last, cast(len({_WORDS}) AS bigint) AS size, doc_id || ':' || md5(coalesce(text, '')) AS tag FROM documents),
+        st AS (SELECT s, last, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY s, last), wt AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY last, s) - 1) % 3 + 1] AS weight FROM st),
+        lv AS (SELECT *, 2 * source_size AS cap, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, last, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(weight) OVER (ORDER BY 2 * source_size / weight, last, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others, sum(source_size) OVER () AS total FROM wt),
+        tg AS (SELECT s, last, source_size, least(cast(cap AS double), max((1.5 :: double * total - caps) / others) OVER () * weight) AS target FROM lv), wh AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM tg),
+        cl AS (SELECT d.s, d.last, length(bin(d.size)) AS class, sum(d.size) AS words, any_value(w.target - w.whole * w.source_size) AS rest FROM d JOIN wh w ON d.s = w.s AND d.last = w.last WHERE d.size > 0 GROUP BY d.s, d.last, length(bin(d.size))),
+        ch AS (SELECT s, last, class, words, greatest(0, least(1, max(level) OVER (PARTITION BY s, last) / (1 + class))) AS p, rest FROM (SELECT *, (rest - coalesce(sum(words) OVER (PARTITION BY s, last ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(words / (1.0 :: double + class)) OVER (PARTITION BY s, last ORDER BY class ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM cl) a),
+        lf AS (SELECT s, last, any_value(rest) - coalesce(sum(CASE WHEN p >= 1 THEN words END), 0) AS rest FROM ch GROUP BY s, last),
+        rk AS (SELECT d.doc_id, d.s, d.last, d.size, c.p, CASE WHEN c.p > 0 AND c.p < 1 THEN u / (1 - u) / (c.p / (1 - c.p)) END AS q, d.tag FROM (SELECT *, (cast('0x' || substring(md5('17:' || tag), 1, 13) AS bigint) + 0.5 :: double) / 4503599627370496.0 :: double AS u FROM d) d LEFT JOIN ch c ON d.s = c.s AND d.last = c.last AND length(bin(d.size)) = c.class AND d.size > 0),
+        cu AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY s, last, q IS NULL ORDER BY q, tag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS run FROM rk)
+        SELECT cu.doc_id, cu.size, w.source_size, w.target, cast(copies * cu.size AS bigint) AS taken, copies FROM (SELECT cu.*, cast(CASE WHEN cu.size = 0 THEN 0 ELSE w.whole + CASE WHEN cu.p >= 1 OR cu.run - cu.size / 2.0 <= lf.rest THEN 1 ELSE 0 END END AS bigint) AS copies FROM cu JOIN wh w ON cu.s = w.s AND cu.last = w.last LEFT JOIN lf ON cu.s = lf.s AND cu.last = lf.last) cu JOIN wh w ON cu.s = w.s AND cu.last = w.last""",
+}
