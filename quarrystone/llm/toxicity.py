@@ -78,7 +78,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: str, doc_id:
     picked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(chosen.select("i", "label")), "i")
     rows = picked.groupBy("i", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text").mapInArrow(_slot_rows(bits), "label int, slots binary")
     found = sorted((r.label, bytes(r.slots)) for r in rows.collect())
-    return [(label, np.frombuffer(slots, "<i4").astype(np.int64)) for label, slots in found]
+    return [(label, np.frombuffer(slots, "<i4")) for label, slots in found]
 
 
 def pair_terms(docs: list[np.ndarray], y: np.ndarray, terms: int, least_chi2: float) -> np.ndarray:
@@ -91,9 +91,11 @@ def pair_terms(docs: list[np.ndarray], y: np.ndarray, terms: int, least_chi2: fl
     lengths = np.array([len(d) for d in docs], np.int64)
     if not lengths.sum():
         return np.zeros(0, np.int64)
-    flat, home = np.concatenate(docs), np.repeat(np.arange(len(docs)), lengths)
-    by_term = home[np.argsort(flat, kind="stable")]
+    flat = np.concatenate(docs)
     ends = np.cumsum(np.bincount(flat, minlength=terms))
+    by_term = np.argsort(flat, kind="stable").astype(np.int32)
+    del flat
+    by_term = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)[by_term]
     found = []
     for a in range(terms):
         own = by_term[(ends[a - 1] if a else 0) : ends[a]]
@@ -121,13 +123,14 @@ def fit(rows: list, bits: int = BITS, factors: int = 6, rounds: int = 60, rate:
     """
     size = 1 << bits
     y = np.array([r[0] for r in rows], np.float64)
-    flat = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-    counts = np.bincount(flat, minlength=size)
-    ones = np.bincount(flat, np.repeat(y, [len(r[1]) for r in rows]) if rows else None, size)
+    count = lambda own: np.bincount(np.concatenate([np.zeros(0, np.int32), *own]), minlength=size)
+    counts, ones = count([r[1] for r in rows]), count([r[1] for r in rows if r[0]])
     n, n_1 = max(1, len(rows)), y.sum()
-    spread = counts * (n - counts) * n_1 * (n - n_1)
-    chi2 = np.where(spread > 0, n * (ones * n - counts * n_1) ** 2 / np.maximum(spread, 1), 0)
-    alone, able = (counts >= least_docs) & (chi2 >= least_chi2), np.flatnonzero(counts >= max(least_docs, least_pair_chi2))
+    some = np.flatnonzero(counts >= least_docs)
+    spread = counts[some] * (n - counts[some]) * n_1 * (n - n_1)
+    chi2 = np.where(spread > 0, n * (ones[some] * n - counts[some] * n_1) ** 2 / np.maximum(spread, 1), 0)
+    alone, able = np.zeros(size, bool), some[counts[some] >= least_pair_chi2]
+    alone[some] = chi2 >= least_chi2
     place = np.zeros(size, np.int32)
     if not alone[able].all():
         place[able] = np.arange(1, len(able) + 1)
