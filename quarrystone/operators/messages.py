@@ -97,31 +97,3 @@ def redact_json(column: Column) -> Column:
 
 def compress_json(column: Column) -> Column:
     return _over_json(compress_value)(column)
-
-
-def argument_error(arguments: Column, required: list[str]) -> Column:
-    """The first check that fails (errors are data), null if none.
-
-    invalid_json, arguments_must_be_object, missing_required, invalid_type
-    (a required value is no string), empty_required (a blank one).
-    """
-    parsed = F.try_parse_json(arguments)
-    kind = F.schema_of_variant(parsed)
-    out = F.when(parsed.isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "arguments_must_be_object")
-    fields = [(F.try_variant_get(parsed, f"$['{name}']", "string"), F.schema_of_variant(F.try_variant_get(parsed, f"$['{name}']", "variant"))) for name in required]
-    for _, kind in fields:
-        out = out.when(kind.isNull(), "missing_required")
-    for _, kind in fields:
-        out = out.when(kind != "STRING", "invalid_type")
-    for value, _ in fields:
-        out = out.when(F.trim(value) == "", "empty_required")
-    return out
-
-
-def action_fingerprint(name: Column, arguments: Column) -> Column:
-    """Name and canonical JSON of the arguments (keys in order, no spaces), so that equal actions are equal; what is no JSON is trimmed.
-
-    A variant writes 1.0 as 1, so numbers that differ in writing alone are one.
-    """
-    spaces = F.lit(" \t\n\r\x0b\f")
-    return F.concat(name, F.lit(":"), F.coalesce(F.to_json(F.try_parse_json(arguments)), F.trim(arguments, spaces)))

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.functions.columns import cosine
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.tables import cut_lineage
 
@@ -130,13 +131,6 @@ def _hyperplane_keys(bits: int, bands: int, seed: int):
     return run
 
 
-def cosine(a: str, b: str) -> Column:
-    """Cosine of two vectors of one length; 0 if one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    sizes = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(sizes > 0, dot(a, b) / sizes).otherwise(F.lit(0.0))
-
-
 def cosine_links(vectors: DataFrame, item: str, vector: str, least: float, bits: int = 10, bands: int = 48, seed: int = 9) -> tuple[DataFrame, DataFrame]:
     """(a, b, score) of all pairs of distinct vectors above ``least``, and (id, rep) of the rows that share a vector.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from quarrystone.functions import columns
 from quarrystone.operators import chunks, messages, rates, similar
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.tables import fresh_dir
@@ -47,12 +48,12 @@ def json_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", F.expr(_ARGUMENTS).alias("a")).select("event_id", messages.argument_error(F.col("a"), ["city"]).alias("error"))
+    return _table(spark, sf_dir, "events").select("event_id", F.expr(_ARGUMENTS).alias("a")).select("event_id", columns.argument_error(F.col("a"), ["city"]).alias("error"))
 
 
 def action_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("CASE WHEN event_id % 10 = 0 THEN '  not { json ' ELSE concat('{\"c\": \"x  y\", \"b\": [1, 2 ],\"a\": ', props, ' }') END")
-    return _table(spark, sf_dir, "events").select("event_id", messages.action_fingerprint(F.col("event_type"), raw).alias("fp"))
+    return _table(spark, sf_dir, "events").select("event_id", columns.action_fingerprint(F.col("event_type"), raw).alias("fp"))
 
 
 def _weather(arguments: dict) -> dict:
@@ -126,7 +127,7 @@ def loop_until(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reducer_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("role", "s").alias("parts"))
-    return rows.groupBy("conv_id").agg(F.array_join(tools.add_lists(F.col("parts"), F.col("turn")), ",").alias("parts"))
+    return rows.groupBy("conv_id").agg(F.array_join(columns.add_lists(F.col("parts"), F.col("turn")), ",").alias("parts"))
 
 
 @udtf(returnType="line_no long, line string")
@@ -180,6 +181,12 @@ def scan_json_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_json_dir(spark, folder, "id long, subject string, blockedBy array<long>").select("id", "subject", F.col("blockedBy")[0].alias("blocker"))
 
 
+def write_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "note") + "/note.txt"
+    size = files.write_file(spark, path, "first\nsecond é")
+    return spark.read.text(path).select(F.lit(size).alias("bytes"), "value")
+
+
 def list_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.list_dir(spark, sf_dir, "*.parquet").select("path", "size")
 
@@ -377,7 +384,7 @@ def stream_parse_gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{f.__name__: f for f in (
         redact_keys, redact_text, json_compress, validate_args, action_fingerprint, tool_spec, provider, embed_batch, hook_pipeline, subagent, skill, state_graph, loop_until, reducer_udaf, splitter_udtf,
-        parse_md_sections, parse_md_fields, scan_md_qa, scan_frontmatter, scan_json_dir, list_dir, sink_trace_jsonl, sink_report_file, sse_sink, cdc_sync, synthetic_sql_filter,
+        parse_md_sections, parse_md_fields, scan_md_qa, scan_frontmatter, scan_json_dir, write_file, list_dir, sink_trace_jsonl, sink_report_file, sse_sink, cdc_sync, synthetic_sql_filter,
         chunk_recursive, chunk_structure_aware, chunk_ast, chunk_semantic, split_labeled, title_path, listing_budget, dedup_minhash, dedup_simhash_chunk, dedup_cosine, memory_semantic_merge, dedup_semantic, mmr,
         topo_waves, causal_chain, call_cycle, knowledge_graph, stream_assemble, stream_parse_gateway,
     )},
@@ -422,6 +429,7 @@ SQL = {
     "scan_md_qa": "SELECT * FROM (VALUES ('a:1', 'one', 'yes', 'g', 'First'), ('b:1', 'two', 'no', 'h', 'Second')) AS t(id, question, expert_answer, gap, dimension_label)",
     "scan_frontmatter": "SELECT '/s/' || doc_id || '/SKILL.md' AS path, 's' || doc_id AS name, 'about ' || lang || ': more' AS description, 'body ' || n_chars AS body FROM documents",
     "scan_json_dir": "SELECT cast(i AS bigint) AS id, 't' || i AS subject, cast(i - 1 AS bigint) AS blocker FROM (VALUES (0), (1), (2)) AS t(i)",
+    "write_file": "SELECT 15 AS bytes, value FROM (VALUES ('first'), ('second é')) AS t(value)",
     "sink_trace_jsonl": """SELECT '{"event":"tool_result","event_id":' || event_id || ',"password":"[REDACTED]","header":"Bearer [REDACTED]"}' AS value FROM events""",
     "sink_report_file": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "sse_sink": """SELECT row_number() OVER (ORDER BY event_id) AS id, 'id: ' || row_number() OVER (ORDER BY event_id) || E'\\nevent: progress\\ndata: {"event_id":' || event_id || ',"event_type":"' || event_type || E'"}\\n\\n' AS message FROM events""",

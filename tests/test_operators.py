@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystone.functions import columns
 from quarrystone.operators import chunks, components, folds, messages, rates, similar, tables
 from quarrystone.plans import tools, walks
 from quarrystone.plans.graph import Registry, StateGraph, loop_until
@@ -41,7 +42,7 @@ def test_redact_plain_equals_the_python_form(spark):
 )
 def test_argument_error(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "a string")
-    assert df.select(messages.argument_error(F.col("a"), ["city"]).alias("e")).first().e == want
+    assert df.select(columns.argument_error(F.col("a"), ["city"]).alias("e")).first().e == want
     spec = tools.ToolSpec("t", "", ("city",), lambda a: {"city": a["city"]})
     assert raw is None or spec.execute(raw).get("error") == want
 
@@ -60,7 +61,7 @@ def test_tools(spark):
 
 def test_fingerprints(spark):
     rows = [('{"b": 1, "a": {"d": 2, "c": "x  y"}}',), (' {"a":{"c":"x  y","d":2},"b":1}',), (" bad { ",)]
-    got = [r.f for r in spark.createDataFrame(rows, "a string").select(messages.action_fingerprint(F.lit("t"), F.col("a")).alias("f")).collect()]
+    got = [r.f for r in spark.createDataFrame(rows, "a string").select(columns.action_fingerprint(F.lit("t"), F.col("a")).alias("f")).collect()]
     assert got == ['t:{"a":{"c":"x  y","d":2},"b":1}'] * 2 + ["t:bad {"]
 
 
