@@ -52,10 +52,10 @@ def fit_dictionaries(
         return {}
     dict_bytes = min(dict_bytes, max(1, all_dict_bytes // n_langs))
     docs_per_lang = min(docs_per_lang, max(1, dict_bytes // 64))
-    # the least of 32 parts of each language first, so that a task gets a bounded number of rows however many tasks send some
-    parts = kinds.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(32)))
-    parts = parts.withColumn("r", F.row_number().over(Window.partitionBy("l", "part").orderBy("h"))).where(F.col("r") <= docs_per_lang).drop("part", "r")
-    chosen = parts.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
+    # hashes are uniform: those low enough that about four times as many stay as are taken go to the window, however large the language
+    sizes = cut_lineage(kinds.groupBy("l").agg(F.count("*").alias("n")))
+    low = kinds.join(near(sizes), "l").where(F.col("h").cast("double") / float(1 << 64) + 0.5 <= 4.0 * docs_per_lang / F.col("n"))
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang).select("l", "h", "r")
     share = max(1, dict_bytes // docs_per_lang)
     part = max(1, share // STRETCHES)
     spread = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring("t", F.floor(i * (F.length("t") - part) / (STRETCHES - 1)).cast("int") + 1, F.lit(part)))
