@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import decontaminate, langid, lines, mixing, quality, secret_scan, simhash, substrings, tokens, toxicity
+from quarrystone.llm import conversations, decontaminate, langid, lines, mixing, quality, resample, secret_scan, simhash, substrings, tokens, toxicity, warc
 from quarrystone.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after damage, their cheapest repair, and a digest of the repaired turns."""
+    rows = table(spark, sf_dir, "conversations")
+    solved, turns = conversations.repair_conversations(conversations.damage_rows(rows))
+    found = solved.join(conversations.turn_digests(turns).withColumnRenamed("conv_id", "conv"), F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    every = rows.select(F.col("conv_id").alias("conv")).distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their weight and score towards the benchmark's n-grams, and the rank of those drawn."""
+    ranked = resample.resample_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to WARC files and read back."""
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -103,6 +125,9 @@ QUERIES: dict[str, Query] = {
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_conversations": op11_conversations,
+    "op12_resample": op12_resample,
+    "op13_warc": op13_warc,
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -119,6 +144,9 @@ SQL: dict[str, str] = {
         near AS (SELECT line, min(other) AS other FROM (SELECT line, pos, min(pos) OVER (PARTITION BY n, i, rest) AS other FROM v UNION ALL SELECT v.line, v.pos, o.pos AS other FROM v JOIN whole o ON o.n = v.n - 1 AND o.rest = v.rest UNION ALL SELECT o.line, o.pos, v.pos AS other FROM v JOIN whole o ON o.n = v.n - 1 AND o.rest = v.rest) q WHERE other < pos GROUP BY line),
         out AS (SELECT p.doc_id, p.no, CASE WHEN d.pos < p.pos THEN d.pos ELSE near.other END AS kept, CASE WHEN d.pos < p.pos THEN 0 ELSE 1 END AS distance FROM p JOIN d ON p.line = d.line LEFT JOIN near ON p.line = near.line WHERE d.pos < p.pos OR near.other IS NOT NULL)
         SELECT doc_id, no AS line_no, kept // 1000000 AS kept_id, kept % 1000000 AS kept_line_no, distance FROM out""",
+    "op13_warc": r"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT n, h, min(page_id) AS first FROM p GROUP BY n, h)
+        SELECT p.page_id, cast(p.n AS bigint) AS payload_bytes, array_to_string([substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substring(p.h, cast(5 * (i // 4) + 1 AS int), 5) AS int) >> cast(15 - 5 * (i % 4) AS int)) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
+            CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to FROM p JOIN f ON p.n = f.n AND p.h = f.h""",
     "op10_mixing": rf"""WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS last, cast(len({_WORDS}) AS bigint) AS size, doc_id || ':' || md5(coalesce(text, '')) AS tag FROM documents),
         st AS (SELECT s, last, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY s, last), wt AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY last, s) - 1) % 3 + 1] AS weight FROM st),
         lv AS (SELECT *, 2 * source_size AS cap, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, last, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(weight) OVER (ORDER BY 2 * source_size / weight, last, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others, sum(source_size) OVER () AS total FROM wt),

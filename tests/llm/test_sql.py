@@ -15,7 +15,7 @@ def test_against_sql(spark, sf_dir, name):
     got = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     found = con.execute(registry.SQL[name])
     names = [d[0] for d in found.description]
