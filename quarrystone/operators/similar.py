@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.columns import cosine
 from quarrystone.operators.components import connected_components
-from quarrystone.operators.tables import cut_lineage
+from quarrystone.operators.tables import cut_lineage, join_hot
+from quarrystone.operators.tables import near as near_table
 
 HASHES, ROWS = 64, 4
 
@@ -56,38 +58,61 @@ def _band_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), keys.shape[1])), pa.array(keys.view(np.int64).ravel())], ["id", "bucket"])
 
 
-def _ones(hashes: str, bit: int) -> Column:
-    """How many of the hashes have the bit."""
-    return F.aggregate(hashes, F.lit(0), lambda n, h: n + F.shiftright(h, bit).bitwiseAND(F.lit(1)).cast("int"))
+def band_bits(rows: int, per_bucket: int = 8) -> int:
+    """Bits of a band's key, so that about ``per_bucket`` unrelated rows share a bucket whatever the table's size."""
+    return max(6, math.ceil(math.log2(max(rows, 1) / per_bucket)))
 
 
-def bucket_links(members: DataFrame, items: DataFrame, near: Column, most_rounds: int = 1000) -> DataFrame:
+def bands_for(agree: float, bits: int, miss: float) -> int:
+    """How many bands of ``bits`` bits let a pair whose bits agree with probability ``agree`` share one, but for a chance of ``miss``."""
+    return math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
+
+
+def _judged(pairs: DataFrame, items: DataFrame, near: Column) -> DataFrame:
+    """The distinct pairs (a, b) whose payloads ``pa`` and ``pb`` are near; ids in many pairs meet their payload by broadcast."""
+    pairs = cut_lineage(pairs.distinct())
+    total = pairs.count()
+    for side in ("a", "b"):
+        uses = pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("uses"))
+        known = items.join(uses, "id").select(F.col("id").alias(side), "uses", F.col("payload").alias(f"p{side}"))
+        pairs = join_hot(pairs, known, [side], "uses", total)
+    return cut_lineage(pairs.where(near).select("a", "b"))
+
+
+def bucket_pairs(left: DataFrame, right: DataFrame, chunk: int = 2048) -> DataFrame:
+    """``left`` and ``right`` (bucket, and columns of their own) joined by bucket.
+
+    Sides of a bucket over ``chunk`` rows are dealt out in chunks, and each
+    pair of chunks is a key of its own, so no bucket fills a task.
+    """
+    parts = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / chunk).alias(name))
+    size = cut_lineage(parts(left, "n_left").join(parts(right, "n_right"), "bucket").where("n_left > 1 OR n_right > 1"))
+
+    def dealt(df: DataFrame, own: str, other: str, keys: tuple[str, str]) -> DataFrame:
+        known = df.join(near_table(size), "bucket", "left").withColumn(keys[0], F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1).cast("long"))))
+        return known.withColumn(keys[1], F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1).cast("long")) - 1))).drop("n_left", "n_right")
+
+    return dealt(left, "n_left", "n_right", ("i", "j")).join(dealt(right, "n_right", "n_left", ("j", "i")), ["bucket", "i", "j"]).drop("i", "j")
+
+
+def bucket_links(members: DataFrame, items: DataFrame, near: Column) -> DataFrame:
     """(a, b) links between items that share a bucket, enough of them to connect whatever any links would.
 
     ``members`` is (bucket, id) and ``items`` (id, payload); ``near`` judges
-    payloads ``a`` and ``b``.  In each bucket the least item is compared with
-    the others; those it links to are compared with what is left, and so on, so
-    that each pair is compared or already connected.  A bucket of near copies
-    costs one comparison a member, not one a pair.
+    payloads ``pa`` and ``pb``.  In each bucket the least item is compared with
+    the others.  Those it links to are connected already; each of the others is
+    compared with all that are left.  So a bucket of near copies costs one
+    comparison a member, any number of items takes two rounds, and only items
+    unlike their bucket's first cost more, in dealt chunk pairs.
     """
-    out = members.sparkSession.createDataFrame([], "a long, b long")
-    left, edge = cut_lineage(members.distinct()), None
-    for _ in range(most_rounds):
-        first = left.groupBy("bucket").agg(F.min("id").alias("id"))
-        if edge is not None:  # a new tree begins only where no tree has an edge left
-            first = first.join(edge.select("bucket").distinct(), "bucket", "left_anti").unionByName(edge)
-        first = cut_lineage(first)
-        left = cut_lineage(left.join(first, ["bucket", "id"], "left_anti"))
-        pairs = cut_lineage(first.withColumnRenamed("id", "a").join(left.withColumnRenamed("id", "b"), "bucket"))
-        if pairs.isEmpty():
-            return out
-        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        judged = known.join(items.select(F.col("id").alias("a"), F.col("payload").alias("pa")), "a").join(items.select(F.col("id").alias("b"), F.col("payload").alias("pb")), "b")
-        good = cut_lineage(judged.where(near).select("a", "b"))
-        out = out.unionAll(good)
-        both = good.unionAll(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edge = cut_lineage(pairs.join(both, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("id")).distinct())
-    raise RuntimeError(f"buckets did not empty in {most_rounds} rounds")
+    members = cut_lineage(members.distinct())
+    first = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = cut_lineage(join_hot(members, first, ["bucket"], "n", members.count()).where("id != a").withColumnRenamed("id", "b"))
+    star = _judged(met.select("a", "b"), items, near)
+    rest = cut_lineage(met.join(star.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("bucket", F.col("b").alias("id"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    pairs = bucket_pairs(rest.where("NOT linked").select("bucket", F.col("id").alias("x")), rest.select("bucket", F.col("id").alias("y"), "linked"))
+    pairs = pairs.where("x < y OR (linked AND x != y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return star.unionByName(_judged(pairs, items, near)).distinct()
 
 
 def _classes(rows: DataFrame, kind: str, reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -116,6 +141,8 @@ def minhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _hyperplane_keys(bits: int, bands: int, seed: int):
+    """A key for each band, of the sides of ``bits`` random planes that (id, payload)'s vector lies on."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
@@ -131,55 +158,130 @@ def _hyperplane_keys(bits: int, bands: int, seed: int):
     return run
 
 
-def cosine_links(vectors: DataFrame, item: str, vector: str, least: float, bits: int = 10, bands: int = 48, seed: int = 9) -> tuple[DataFrame, DataFrame]:
+def _vectors(vectors: DataFrame, item: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """(id, payload) of the rows with id and vector, and (id, payload, copies) of the distinct vectors, named by their least id."""
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("id"), F.col(vector).alias("payload"))
+    return rows, cut_lineage(rows.groupBy("payload").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+
+
+def _vector_buckets(base: DataFrame, least: float, miss: float, seed: int) -> DataFrame:
+    """(id, bucket) of distinct vectors: as many bands as find a pair of cosine ``least`` but for a chance of ``miss``."""
+    bits = band_bits(base.count())
+    bands = bands_for(1 - math.acos(least) / math.pi, bits, miss)
+    return cut_lineage(base.select("id", "payload").mapInArrow(_hyperplane_keys(bits, bands, seed), "id long, bucket long"))
+
+
+def cosine_links(vectors: DataFrame, item: str, vector: str, least: float, miss: float = 0.001, seed: int = 9) -> tuple[DataFrame, DataFrame]:
     """(a, b, score) of all pairs of distinct vectors above ``least``, and (id, rep) of the rows that share a vector.
 
-    Candidates share the signs of ``bits`` random planes in one of ``bands``
-    sets, which a pair of cosine 0.85 misses with a chance of about 1 in
-    1,000; each is verified.
+    Candidates share the signs of a band of random planes; a pair at the
+    threshold is missed with a chance of ``miss``, and each is verified.  The
+    planes of a band grow with the logarithm of the rows.
     """
-    rows = vectors.where(F.col(vector).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("id"), F.col(vector).alias("payload"))
-    base = cut_lineage(rows.groupBy("payload").agg(F.min("id").alias("id")))
-    keys = cut_lineage(base.select("id", "payload").mapInArrow(_hyperplane_keys(bits, bands, seed), "id long, bucket long"))
-    pairs = keys.select("bucket", F.col("id").alias("a")).join(keys.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
+    rows, base = _vectors(vectors, item, vector)
+    keys = _vector_buckets(base, least, miss, seed)
+    pairs = bucket_pairs(keys.select("bucket", F.col("id").alias("a")), keys.select("bucket", F.col("id").alias("b"))).where("a < b").select("a", "b").distinct()
     side = lambda n: base.select(F.col("id").alias(n), F.col("payload").alias(f"p{n}"))
     judged = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", cosine("pa", "pb").alias("score"))
-    return judged.where(F.col("score") > least), rows.join(base.withColumnRenamed("id", "rep"), "payload").select("id", "rep")
+    return judged.where(F.col("score") > least), rows.join(base.select("payload", F.col("id").alias("rep")), "payload").select("id", "rep")
 
 
-def cosine_classes(vectors: DataFrame, item: str, vector: str, least: float) -> DataFrame:
-    """(id, class_id, links): rows connected by cosines above ``least``, and each one's number of links between different vectors."""
-    links, members = cosine_links(vectors, item, vector, least)
-    links = cut_lineage(links)
+def cosine_classes(vectors: DataFrame, item: str, vector: str, least: float, miss: float = 0.001, seed: int = 9) -> DataFrame:
+    """(id, class_id): rows connected by cosines above ``least``; a group of near copies costs one comparison a member."""
+    rows, base = _vectors(vectors, item, vector)
+    links = bucket_links(_vector_buckets(base, least, miss, seed), base.select("id", "payload"), cosine("pa", "pb") > least)
     stars = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "root")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    out = members.join(stars, "rep", "left").join(degree, "rep", "left")
-    return out.select("id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    members = rows.join(base.select("payload", F.col("id").alias("rep")), "payload").select("id", "rep")
+    return members.join(stars, "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
+
 
+def dbscan(vectors: DataFrame, item: str, vector: str, least: float, min_points: int = 4, miss: float = 0.001, seed: int = 9) -> DataFrame:
+    """(id, class_id, kind) of each row by DBSCAN, neighbours being vectors of cosine ``least`` or more.
+
+    A core row has ``min_points`` rows or more around it, itself and its
+    copies included; classes are the components of core rows and are named by
+    their least id.  A border row takes the least class among its core
+    neighbours; noise has no class.  Rows that share a vector fare alike.
+
+    In a bucket, vectors within half the angle of its first one are neighbours
+    of each other: if they are ``min_points`` rows they are all core and one
+    class without a comparison among them, so dense groups cost one comparison
+    a member.  All other vectors are compared with everything in their bucket.
+    """
+    rows, base = _vectors(vectors, item, vector)
+    keys = _vector_buckets(base, least, miss, seed)
+    weights = base.select("id", "copies")
+    items = base.select("id", "payload")
+    score = cosine("pa", "pb")
+    first = keys.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = cut_lineage(join_hot(keys, first, ["bucket"], "n", keys.count()).where("id != a").withColumnRenamed("id", "b"))
+    close = _judged(met.select("a", "b"), items, score >= math.cos(math.acos(least) / 2))
+    inner = met.join(close, ["a", "b"]).select("bucket", "a", "b")
+    around = inner.join(weights.withColumnRenamed("id", "b"), "b").groupBy("bucket", "a").agg(F.sum("copies").alias("near"))
+    dense = cut_lineage(around.join(weights.select(F.col("id").alias("a"), "copies"), "a").where(F.col("near") + F.col("copies") >= min_points).select("bucket", "a"))
+    stars = cut_lineage(inner.join(dense, ["bucket", "a"]).select("bucket", "a", "b"))
+    packed = stars.select("bucket", F.col("b").alias("id")).unionByName(dense.select("bucket", F.col("a").alias("id"))).distinct()
+    marked = cut_lineage(keys.join(packed.withColumn("packed", F.lit(True)), ["bucket", "id"], "left").withColumn("packed", F.coalesce("packed", F.lit(False))))
+    pairs = bucket_pairs(marked.where("NOT packed").select("bucket", F.col("id").alias("x")), marked.select("bucket", F.col("id").alias("y"), "packed"))
+    pairs = pairs.where("x < y OR (packed AND x != y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = cut_lineage(_judged(pairs, items, score >= least).unionByName(stars.select("a", "b").distinct()).distinct())
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = both.join(weights.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("near"))
+    full = packed.select("id").distinct().withColumn("full", F.lit(True))
+    rated = weights.join(counted, "id", "left").join(full, "id", "left")
+    core = cut_lineage(rated.where(F.coalesce("full", F.lit(False)) | (F.col("copies") + F.coalesce("near", F.lit(0)) >= min_points)).select("id"))
+    cores = lambda side: core.select(F.col("id").alias(side))
+    roots = connected_components(links.join(cores("a"), "a", "left_semi").join(cores("b"), "b", "left_semi"), "a", "b").select(F.col("node").alias("id"), "root")
+    named = cut_lineage(core.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id")))
+    border = both.join(cores("a"), "a", "left_anti").join(named.select(F.col("id").alias("b"), "class_id"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("class_id"))
+    kinds = named.withColumn("kind", F.lit("core")).unionByName(border.withColumn("kind", F.lit("border"))).withColumnRenamed("id", "rep")
+    members = rows.join(base.select("payload", F.col("id").alias("rep")), "payload").select("id", "rep")
+    return members.join(kinds, "rep", "left").select("id", "class_id", F.coalesce("kind", F.lit("noise")).alias("kind"))
+
+
+def _simhash_keys(bits: int, bands: int):
+    """A key for each band, of ``bits`` bits of the SimHash of (id, payload)'s hashes; any number of bits is mixed from a hash."""
 
-def simhash_chunks(chunks: DataFrame, text: str, least: float = 0.85, words: int = 3, bits: int = 32) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sizes = pc.list_value_length(batch.column("payload")).to_numpy(zero_copy_only=False).astype(np.int64)
+                values, starts = pc.list_flatten(batch.column("payload")).to_numpy().view(np.uint64), np.cumsum(sizes) - sizes
+                found = []
+                for word in range(-(-bits * bands // 64)):
+                    mixed = (values + np.uint64((word * 0x9E3779B97F4A7C15) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+                    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                    ones = np.unpackbits((mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1)
+                    found.append(np.add.reduceat(ones, starts, axis=0, dtype=np.int64) * 2 > sizes[:, None])
+                signs = np.concatenate(found, axis=1)[:, : bits * bands].reshape(-1, bands, bits)
+                keys = signs @ (1 << np.arange(bits)) | (np.arange(bands) << bits)[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), bands)), pa.array(keys.ravel())], ["id", "bucket"])
+
+    return run
+
+
+def simhash_chunks(chunks: DataFrame, text: str, least: float = 0.85, words: int = 3, miss: float = 0.001) -> DataFrame:
     """(text_hash, copies, class_id, kept): distinct chunk texts with words, bucketed by SimHash and compared in pairs; of a class the most frequent stays.
 
-    A chunk is in the bucket of each quarter of its fingerprint; texts of a
-    bucket are linked at a shingle Jaccard above ``least``.  ``class_id`` is
-    the least hash of the class; ties of frequency go to the least hash.
+    Texts whose SimHash agrees in one band of bits are compared, and linked at
+    a shingle Jaccard above ``least``.  A pair of Jaccard j has a cosine of 2j /
+    (1 + j) or more, so the number of bands follows from ``miss``; a band's bits
+    grow with the logarithm of the texts.  Names are md5 of the text, a class
+    has its least one, and ties of frequency go to the least.
     """
-    texts = chunks.where(F.col(text).isNotNull()).groupBy(F.xxhash64(F.col(text)).alias("id")).agg(F.count("*").alias("copies"), F.any_value(F.col(text)).alias("text"))
-    texts = cut_lineage(texts)
-    base = shingles(texts, words).where(F.size("s") > 0).join(texts.select("id", "copies"), "id").select("id", "copies", F.col("s").alias("payload"))
-    base = cut_lineage(base)
-    ones = [_ones("payload", b) for b in range(bits)]
-    prints = base.select("id", F.array(*[F.when(c * 2 > F.size("payload"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in enumerate(ones)]).alias("p"))
-    quarter = bits // 4
-    keys = F.array(*[F.xxhash64(F.lit(q), F.slice("p", q * quarter + 1, quarter)) for q in range(4)])
-    buckets = prints.select("id", F.explode(keys).alias("bucket"))
-    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+    texts = chunks.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("copies"))
+    texts = cut_lineage(texts.select(F.xxhash64("text").alias("id"), F.md5("text").alias("text_hash"), "copies", "text"))
+    base = cut_lineage(shingles(texts, words).where(F.size("s") > 0).select("id", F.col("s").alias("payload")))
+    bits = band_bits(base.count())
+    bands = bands_for(1 - math.acos(2 * least / (1 + least)) / math.pi, bits, miss)
+    buckets = cut_lineage(base.mapInArrow(_simhash_keys(bits, bands), "id long, bucket long"))
     jaccard = F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb"))
-    links = bucket_links(cut_lineage(buckets.join(shared, "bucket").select("bucket", "id")), base.select("id", "payload"), jaccard > least)
+    links = bucket_links(buckets, base, jaccard > least)
     stars = connected_components(links, "a", "b").select(F.col("node").alias("id"), "root")
-    named = base.select("id", "copies").join(stars, "id", "left").select("id", "copies", F.coalesce("root", "id").alias("class_id"))
-    best = named.groupBy("class_id").agg(F.min(F.struct((-F.col("copies")).alias("minus"), F.col("id").alias("best"))).alias("b"))
-    return named.join(best, "class_id").select(F.col("id").alias("text_hash"), "copies", "class_id", (F.col("id") == F.col("b.best")).alias("kept"))
+    named = cut_lineage(texts.drop("text").join(base.select("id"), "id", "left_semi").join(stars, "id", "left").select("text_hash", "copies", F.coalesce("root", "id").alias("root")))
+    best = named.groupBy("root").agg(F.min(F.struct((-F.col("copies")).alias("minus"), F.col("text_hash").alias("best"))).alias("b"), F.min("text_hash").alias("class_id"))
+    return named.join(best, "root").select("text_hash", "copies", "class_id", (F.col("text_hash") == F.col("b.best")).alias("kept"))
 
 
 def best_of_class(classes: DataFrame, quality: DataFrame) -> DataFrame:

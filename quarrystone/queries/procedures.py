@@ -323,8 +323,11 @@ def memory_semantic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = similar.cosine_classes(_moved(spark, sf_dir), "id", "v", 0.85)
-    return similar.best_of_class(classes, classes.select("id", (F.col("id") % 1000003 % 101).cast("double").alias("quality")))
+    """DBSCAN classes, of each the row of best quality; rows that are noise stay by themselves."""
+    found = similar.dbscan(_moved(spark, sf_dir), "id", "v", 0.85, 3)
+    classes = found.select("id", F.coalesce("class_id", "id").alias("class_id"))
+    best = similar.best_of_class(classes, classes.select("id", (F.col("id") % 1000003 % 101).cast("double").alias("quality")))
+    return best.join(found.select("id", "kind"), "id").select("class_id", "id", "size", "kind")
 
 
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,7 +455,14 @@ SQL = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a) SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a""",
     "dedup_cosine": f"WITH {_MOVED} SELECT x.id AS a, y.id AS b, round({_COSINE}, 4) AS score FROM b x JOIN b y ON x.id < y.id WHERE {_COSINE} > 0.95",
     "memory_semantic_merge": f"WITH RECURSIVE {_CLASSES} SELECT class_id, count(*) AS confidence, max(id) AS newest FROM cl GROUP BY class_id",
-    "dedup_semantic": f"WITH RECURSIVE {_CLASSES} SELECT class_id, id, size FROM (SELECT class_id, id, count(*) OVER (PARTITION BY class_id) AS size, row_number() OVER (PARTITION BY class_id ORDER BY id % 1000003 % 101 DESC, id) AS r FROM cl) q WHERE r = 1",
+    "dedup_semantic": f"""WITH RECURSIVE {_MOVED}, n AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON {_COSINE} >= 0.85), core AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 3),
+        l AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a), c AS (SELECT a AS id, min(b) AS class_id, 'core' AS kind FROM reach GROUP BY a),
+        k AS (SELECT * FROM c UNION ALL SELECT n.a, min(c.class_id), 'border' FROM n JOIN c ON c.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a), cl AS (SELECT v.id, coalesce(k.class_id, v.id) AS class_id, coalesce(k.kind, 'noise') AS kind FROM v LEFT JOIN k ON k.id = v.id)
+        SELECT class_id, id, size, kind FROM (SELECT class_id, id, kind, count(*) OVER (PARTITION BY class_id) AS size, row_number() OVER (PARTITION BY class_id ORDER BY id % 1000003 % 101 DESC, id) AS r FROM cl) q WHERE r = 1""",
+    "dedup_simhash_chunk": r"""WITH RECURSIVE t AS (SELECT text, md5(text) AS h, count(*) AS copies FROM (SELECT unnest(string_split(text, E'\n')) AS text FROM documents) q GROUP BY text), w AS (SELECT h, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM t),
+        s AS (SELECT DISTINCT h, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT h, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0) a), n AS (SELECT h, count(*) AS n FROM s GROUP BY h),
+        p AS (SELECT x.h AS a, y.h AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.h <> y.h GROUP BY x.h, y.h), l AS (SELECT a, b FROM p JOIN n x ON x.h = a JOIN n y ON y.h = b WHERE c / (x.n + y.n - c) > 0.85), reach AS (SELECT h AS a, h AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a), c AS (SELECT a AS h, min(b) AS class_id FROM reach GROUP BY a)
+        SELECT h AS text_hash, copies, class_id, r = 1 AS kept FROM (SELECT c.h, t.copies, c.class_id, row_number() OVER (PARTITION BY c.class_id ORDER BY t.copies DESC, c.h) AS r FROM c JOIN t ON t.h = c.h) q""",
     "topo_waves": "WITH RECURSIVE e AS (SELECT cast(floor(event_id / 3) AS bigint) AS u, event_id AS v FROM events WHERE event_id > 0 UNION SELECT cast(floor(event_id / 4) AS bigint) AS u, event_id AS v FROM events WHERE event_id > 0), walk AS (SELECT 0 :: bigint AS node, 0 AS wave UNION SELECT e.v, w.wave + 1 FROM walk w JOIN e ON e.u = w.node) SELECT node, max(wave) AS wave FROM walk GROUP BY node",
     "causal_chain": "WITH RECURSIVE w AS (SELECT event_id, event_id AS pos, 0 AS chain FROM events UNION ALL SELECT event_id, cast(floor(pos / 3) AS bigint), chain + 1 FROM w WHERE pos > 0) SELECT event_id, cast(max(chain) AS bigint) AS chain FROM w GROUP BY event_id",
     "call_cycle": "WITH RECURSIVE w AS (SELECT event_id, user_id % 40 AS agent, event_id AS pos, 0 AS distance FROM events UNION ALL SELECT event_id, agent, cast(floor(pos / 3) AS bigint), distance + 1 FROM w WHERE pos > 0) SELECT w.event_id, min(w.distance) AS distance FROM w JOIN events p ON p.event_id = w.pos WHERE w.distance > 0 AND p.user_id % 40 = w.agent GROUP BY w.event_id",
