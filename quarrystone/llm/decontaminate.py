@@ -17,6 +17,11 @@ representative, as a document that holds one holds all.  A chain needs r of an
 item's m windows, so one of the m - r + 1 windows that fewest classes have
 must be hit: only these look for candidates, and a phrase that many items
 share does not pair each of them with each document that has it.
+
+Items with few such windows are sought by their whole template: all of its
+windows in one chain, and, if it is very short, from a sentence's start to a
+sentence's end.  Items whose template says too little (few plain words) are
+sought by all of their words from a sentence's start to a sentence's end.
 """
 
 from __future__ import annotations
@@ -38,10 +43,10 @@ from quarrystone.operators.tables import by_keys, cut_lineage, near
 
 #: Template tokens in a window, and the least of them that are plain words.
 WINDOW, LEAST_PLAIN = 5, 3
-#: Least share of an item's windows in a chain, and least number of them; items with fewer such windows are sought word for word.
+#: Least share of an item's windows in a chain, and least number of them; items with fewer such windows are sought whole.
 LEAST_SHARE, LEAST_WINDOWS = 0.5, 4
-#: Items of fewer words tell nothing: they are not sought (``unsearched_items`` lists them).
-LEAST_WORDS = 5
+#: Least template tokens of an item that is sought by its whole template, and of one that need not be a sentence of its own.
+LEAST_WORDS, LEAST_FREE = 5, 8
 #: Least share of a chain's slots that agree, of names and of numbers and units.
 LEAST_NAMES, LEAST_NUMBERS = 0.8, 0.5
 #: Most distinct benchmark windows that are broadcast (8 bytes each); with more, all document windows are joined by a shuffle.
@@ -52,6 +57,8 @@ NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven tw
 _TOKEN = re.compile(r"\d[\d.,:/]*|[^\W\d_]+(?:['’][^\W\d_]+)?|[%$€£]|[.!?:;]")
 _PLAIN, _CAPITAL, _NUMBER, _UNIT, _END, _WORDED, _SIGN = range(7)
 _NUM, _MEASURE, _NAME, _FIRST, _RAW = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D))
+#: Marks of a window's key: at a sentence's start, and at a sentence's end.
+_OPEN, _CLOSE = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _CACHE = 200_000
 
 
@@ -118,6 +125,8 @@ class Templates:
         self.marks = np.select([capital[kept], counts(kind)[kept], unit[kept]], [ord("n"), ord("d"), ord("u")], 0)
         words = np.flatnonzero(kind != _END)
         self.raw, self.raw_text = raw[words], text[words]
+        # whether a sentence begins with the token, of template tokens and of words; past the last one, one begins
+        self.opens, self.raw_opens = np.r_[before[kept] == _END, True], np.r_[before[words] == _END, True]
         self.starts = np.searchsorted(self.text, np.arange(len(parts) + 1))
         self.raw_starts = np.searchsorted(self.raw_text, np.arange(len(parts) + 1))
         self.begins = np.cumsum(sizes) - sizes
@@ -132,6 +141,14 @@ class Templates:
         at, keys = self._runs(self.raw, self.raw_text, length)
         return at, keys ^ _RAW
 
+    def edged(self, raw: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, key) of the windows, and again, under keys of their own, of those at a sentence's start, at its end, and at both."""
+        at, keys = self.raw_windows(length) if raw else self.windows(length)
+        opens = (self.raw_opens if raw else self.opens)[at]
+        closes = (self.raw_opens if raw else self.opens)[at + length]
+        for some, mark in ((opens, _OPEN), (closes, _CLOSE), (opens & closes, _OPEN ^ _CLOSE)):
+            yield at[some], keys[some] ^ mark
+
     @staticmethod
     def _runs(hashes: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         keys = run_hashes(hashes, length)
@@ -156,7 +173,7 @@ def _value_hash(slots: list[tuple[int, str]]) -> int:
     return xxhash.xxh64_intdigest("\n".join(v for _, v in slots).encode(), 5) - (1 << 63)
 
 
-_ITEM = "k long, raw int, form long, item long, ipos int, windows int, need int, slots array<struct<p: int, v: string>>, vhash long"
+_ITEM = "k long, raw int, size int, edged boolean, form long, item long, ipos int, windows int, need int, slots array<struct<p: int, v: string>>, vhash long"
 _SLOT = pa.list_(pa.struct([("p", pa.int32()), ("v", pa.string())]))
 
 
@@ -169,7 +186,15 @@ def _signed(key: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def _item_rows(window: int, least_plain: int, least_share: float, least_windows: int, least_words: int):
+def _sentence(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a whole item, the first at a sentence's start and the last at its end."""
+    keys = keys.copy()
+    keys[0] ^= _OPEN
+    keys[-1] ^= _CLOSE
+    return at, keys
+
+
+def _item_rows(window: int, least_plain: int, least_share: float, least_windows: int, least_words: int, least_free: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for piece in pieces(batches, "text"):
@@ -178,28 +203,36 @@ def _item_rows(window: int, least_plain: int, least_share: float, least_windows:
                 own = Templates([_body(raw)], codes)
                 at, keys = own.windows(window)
                 able = [i for i in at if (own.marks[i : i + window] == 0).sum() >= least_plain]
-                if len(able) < least_windows:  # too little to tell by its template: all of its words
-                    if len(own.raw) >= least_words:
-                        form = int(run_hashes(own.raw, len(own.raw)).view(np.int64)[0])
-                        at, keys = own.raw_windows(least_words)
-                        out += [(k, least_words, form, item, int(i), len(at), len(at), [], 0) for i, k in zip(at, _signed(keys))]
+                if not len(own.raw):
+                    continue
+                size, edged, need = window, False, max(math.ceil(least_share * len(able)), least_windows)
+                if len(able) < least_windows and len(own.hashes) >= least_words and (own.marks == 0).sum() >= least_plain:  # its whole template
+                    size, edged = min(window, len(own.hashes)), len(own.hashes) < least_free
+                    at, keys = own.windows(size)
+                    able, need = list(at), len(at)
+                elif len(able) < least_windows:  # too little to tell by its template: all of its words
+                    form = int(run_hashes(own.raw, len(own.raw)).view(np.int64)[0])
+                    size = min(window, len(own.raw))
+                    at, keys = _sentence(*own.raw_windows(size))
+                    out += [(k, 1, size, True, form, item, int(i), len(at), len(at), [], 0) for i, k in zip(at, _signed(keys))]
                     continue
+                if edged:
+                    at, keys = _sentence(at, keys)
                 slots = own.slots(0, len(own.hashes))
                 seen: dict[str, int] = {}
                 pattern = [(p, seen.setdefault(v, len(seen))) for p, v in slots]
                 form = xxhash.xxh64_intdigest(own.hashes.tobytes() + repr(pattern).encode(), 3) - (1 << 63)
-                need = max(math.ceil(least_share * len(able)), least_windows)
                 for i in able:
-                    these = own.slots(i, i + window)
+                    these = own.slots(i, i + size)
                     row = (form, item, int(i), len(able), need, these, _value_hash(these))
-                    out.append((_signed(keys[i : i + 1])[0], 0, *row))
-                    if i == 0 and own.hashes[0] == _FIRST:  # inside a sentence the item's first word is a name or a plain word
+                    out.append((_signed(keys[i : i + 1])[0], 0, size, edged, *row))
+                    if i == 0 and not edged and own.hashes[0] == _FIRST:  # inside a sentence the item's first word is a name or a plain word
                         for reading in (_NAME, own.raw[0]):
-                            other = own.hashes[:window].copy()
+                            other = own.hashes[:size].copy()
                             other[0] = reading
                             here = these if reading == _NAME else [x for x in these if x[0]]
-                            out.append((_signed(run_hashes(other, window) * np.uint64(window))[0], 0, *row[:5], here, _value_hash(here)))
-            yield _batch(out, _ITEM_NAMES, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), _SLOT, pa.int64()])
+                            out.append((_signed(run_hashes(other, size) * np.uint64(size))[0], 0, size, edged, *row[:5], here, _value_hash(here)))
+            yield _batch(out, _ITEM_NAMES, [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), _SLOT, pa.int64()])
 
     return run
 
@@ -208,8 +241,10 @@ _ITEM_NAMES = [part.split()[0] for part in _ITEM.replace("p: int, ", "").split("
 _HIT = "k long, doc long, row long, dpos int, slots array<struct<p: int, v: string>>, vhash long"
 
 
-def _doc_rows(window: int, raw_length: int, shared):
-    """Windows of the texts; only those of a known hash if ``shared`` is given."""
+def _doc_rows(shapes: list[tuple[int, int, bool]], shared):
+    """Windows of the texts, of each shape (of words, length, at sentence ends); only those of a known hash if ``shared`` is given."""
+    plain = sorted({(raw, size) for raw, size, _ in shapes})
+    at_ends = sorted({(raw, size) for raw, size, edged in shapes if edged})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -226,16 +261,15 @@ def _doc_rows(window: int, raw_length: int, shared):
         for piece in pieces(batches, "text"):
             own = Templates([_body(x) for x in raw_texts(piece.column("text"))], codes)
             docs, rows, out = piece.column("doc").to_pylist(), piece.column("row").to_pylist(), []
-            at, keys = own.windows(window)
-            for x in met(keys):
-                i, t = int(at[x]), int(own.text[at[x]])
-                slots = own.slots(i, i + window)
-                out.append((_signed(keys[x : x + 1])[0], docs[t], rows[t], i - int(own.starts[t]), slots, _value_hash(slots)))
-            if raw_length:
-                at, keys = own.raw_windows(raw_length)
+            found = [(raw, size, own.raw_windows(size) if raw else own.windows(size)) for raw, size in plain]
+            found += [(raw, size, more) for raw, size in at_ends for more in own.edged(raw, size)]
+            for raw, size, (at, keys) in found:
+                text, starts = (own.raw_text, own.raw_starts) if raw else (own.text, own.starts)
                 for x in met(keys):
-                    i, t = int(at[x]), int(own.raw_text[at[x]])
-                    out.append((_signed(keys[x : x + 1])[0], docs[t], rows[t], i - int(own.raw_starts[t]), [], 0))
+                    i = int(at[x])
+                    t = int(text[i])
+                    slots = [] if raw else own.slots(i, i + size)
+                    out.append((_signed(keys[x : x + 1])[0], docs[t], rows[t], i - int(starts[t]), slots, 0 if raw else _value_hash(slots)))
             yield _batch(out, ["k", "doc", "row", "dpos", "slots", "vhash"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), _SLOT, pa.int64()])
 
     return run
@@ -273,12 +307,12 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
 
 
-def unsearched_items(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(item_id) of the items of so few words that they are not sought."""
+def unsearched_items(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id) of the items without a word, which alone are not sought."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            few = [len(Templates([_body(x)], _Codes()).raw) < least_words for x in raw_texts(piece.column("text"))]
+            few = [not len(Templates([_body(x)], _Codes()).raw) for x in raw_texts(piece.column("text"))]
             yield pa.RecordBatch.from_arrays([piece.column("item").filter(pa.array(few, pa.bool_()))], ["item_id"])
 
     return _items(benchmark, item_id, item_text).mapInArrow(run, "item_id long")
@@ -287,7 +321,7 @@ def unsearched_items(benchmark: DataFrame, item_id: str = "item_id", item_text:
 def benchmark_leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = WINDOW, least_plain: int = LEAST_PLAIN, least_share: float = LEAST_SHARE, least_windows: int = LEAST_WINDOWS,
-    least_words: int = LEAST_WORDS, broadcast_windows: int = BROADCAST_WINDOWS,
+    least_words: int = LEAST_WORDS, least_free: int = LEAST_FREE, broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """(id, item_id, n_items, share, n_windows, verbatim, row) for each document and class of items that it holds.
 
@@ -296,26 +330,27 @@ def benchmark_leaks(
     slots agree.  ``verbatim`` says that all slot values there are those of an
     item of the class.  ``row`` is xxhash64(id, text), which tells rows of
     null or equal id apart; equal rows give one result.  Items with fewer than
-    ``least_windows`` windows of ``least_plain`` plain words are found by all
-    their words in order, and those of fewer than ``least_words`` words are
-    not sought.  Null and empty texts hold nothing; an empty table on either
+    ``least_windows`` windows of ``least_plain`` plain words are found by their
+    whole template, those of under ``least_free`` tokens as sentences of their
+    own; of under ``least_words`` tokens or ``least_plain`` plain words, by all
+    their words as sentences of their own.  Null and empty texts hold nothing; an empty table on either
     side gives an empty result.  Very long texts are read whole.  Other
     columns are not read.
     """
     spark = docs.sparkSession
-    items = _items(benchmark, item_id, item_text).mapInArrow(_item_rows(window, least_plain, least_share, least_windows, least_words), _ITEM)
+    items = _items(benchmark, item_id, item_text).mapInArrow(_item_rows(window, least_plain, least_share, least_windows, least_words, least_free), _ITEM)
     items = cut_lineage(items)
     classes = items.groupBy("form").agg(F.min("item").alias("rep"), F.countDistinct("item").alias("n_items"))
     members = items.where("raw = 0").select("form", "ipos", "vhash").distinct().withColumn("same", F.lit(True))
     own = items.join(near(cut_lineage(classes)), "form").where(F.col("item").eqNullSafe(F.col("rep"))).dropDuplicates(["form", "k", "ipos"])
     own = cut_lineage(own.drop("item", "vhash"))
-    raw_length = own.agg(F.coalesce(F.max("raw"), F.lit(0))).first()[0]
+    shapes = [(r.raw, r["size"], r.edged) for r in own.select("raw", "size", "edged").distinct().collect()]  # at most four of each length up to ``window``
     shared = None
     distinct = own.select("k").distinct()
     if distinct.limit(broadcast_windows + 1).count() <= broadcast_windows:
         shared = spark.sparkContext.broadcast(np.unique(np.array([r.k for r in distinct.collect()], np.int64).view(np.uint64)))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-    hits = rows.mapInArrow(_doc_rows(window, raw_length, shared), _HIT)
+    hits = rows.mapInArrow(_doc_rows(shapes, shared), _HIT)
     if shared is None:
         hits = hits.join(distinct, "k", "left_semi")
     hits = cut_lineage(hits)

@@ -8,7 +8,6 @@ least is chosen; case is folded first.  Where runner-up and winner are close the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,7 +27,6 @@ PIECE = 2048
 LEVEL = 6
 #: Least share by which the runner-up has to be larger.
 MIN_MARGIN = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit_dictionaries(
@@ -86,7 +84,7 @@ def _classify(model: dict[str, bytes], min_margin: float):
             out = []
             for raw in raw_texts(piece.column("text")):
                 text = raw.decode("utf-8", "replace")
-                if not names or not _LETTER.search(text):
+                if not names or not any(map(str.isalpha, text)):
                     out.append(("und", 0.0, True))
                     continue
                 raw = text.lower().encode()
@@ -108,7 +106,9 @@ def identify_languages(docs: DataFrame, model: dict[str, bytes], held_out: str,
     Null texts, texts without a letter, and all texts under an empty model are
     ``und`` with score 0 and rejected.  A model of one language always answers
     it.  Equal sizes go to the first name.  Rows of null or repeated id are
-    classified like any other; other columns are not read.
+    classified like any other; a letter is what str.isalpha takes for one;
+    texts of any length are read whole, and an empty table gives an empty
+    result; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.expr(held_out).alias("held_out"), F.col(text).alias("text"))
     out = rows.mapInArrow(_classify(model, min_margin), "id long, held_out boolean, lang_pred string, score double, rejected boolean")

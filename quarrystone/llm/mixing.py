@@ -128,11 +128,12 @@ def inclusion(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def source_cuts(rows: DataFrame, seed: int, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """(key, source_size, target, whole, bins, chances, cut_bin, cut) of each source of rows (tag, key, size).
+    """(key, source_size, target, whole, bins, chances, cut_bin, cut, cut_rows) of each source of rows (tag, key, size).
 
     ``chances`` maps size classes to inclusion probabilities.  A document of
     rank z gets ``whole`` copies, and one more if its probability is 1, or if
     its bin is before ``cut_bin``, or is it and (z, tag) is at most ``cut``.
+    Where only some of the equal rows at ``cut`` fit, ``cut_rows`` says how many.
     """
     stats = source_targets(rows, weights, share, most)
     stats = stats.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(F.lit(0)).cast("long"))
@@ -148,11 +149,13 @@ def source_cuts(rows: DataFrame, seed: int, weights: tuple[int, ...] = WEIGHTS,
     sums = sums.withColumn("before", upto - F.col("words")).join(near(stats.select("key", "left")), "key")
     edge = cut_lineage(sums.where("before <= left AND before + words > left").select("key", F.col("bin").alias("cut_bin"), "before", "left"))
     inside = ranked.select("key", "bin", "z", "tag", "size").join(near(edge).withColumnRenamed("cut_bin", "bin"), ["key", "bin"])
-    # equal rows share a tag and go together, so a document that is repeated any number of times is one row here
-    inside = inside.groupBy("key", "z", "tag", "before", "left").agg(F.sum("size").alias("size"))
+    # equal rows share a tag, so a document that is repeated any number of times is one row here, and some of its rows may be taken
+    inside = inside.groupBy("key", "z", "tag", "before", "left").agg(F.sum("size").alias("size"), F.count("*").alias("times"))
     run = F.sum("size").over(Window.partitionBy("key").orderBy("z", "tag").rowsBetween(Window.unboundedPreceding, 0))
-    taken = inside.withColumn("end", F.col("before") + run).where(F.col("end") - F.col("size") / 2 <= F.col("left"))
-    last = taken.groupBy("key").agg(F.max(F.struct("z", "tag")).alias("cut"))
+    room = (F.col("left") - F.col("before") - run + F.col("size")) / (F.col("size") / F.col("times"))
+    taken = inside.withColumn("cut_rows", F.least(F.floor(room + 0.5), F.col("times"))).where("cut_rows > 0")
+    last = taken.groupBy("key").agg(F.max(F.struct("z", "tag", "cut_rows", "times")).alias("cut"))
+    last = last.select("key", F.struct("cut.z", "cut.tag").alias("cut"), F.when(F.col("cut.cut_rows") < F.col("cut.times"), F.col("cut.cut_rows")).alias("cut_rows"))
     return cut_lineage(stats.join(edge.select("key", "cut_bin"), "key", "left").join(last, "key", "left").drop("left", "n"))
 
 
@@ -167,7 +170,18 @@ def _copies(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
     out = _ranked(rows, cuts, seed)
     within = F.coalesce(F.struct("z", "tag") <= F.col("cut"), F.lit(False))
     extra = F.coalesce((F.col("p") >= 1) | (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & within), F.lit(False))
-    return out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0)).cast("long"))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0)).cast("long"))
+    if cuts.where("cut_rows IS NOT NULL").isEmpty():
+        return out.drop("cut_rows")
+    # rows repeated at the cut are written, so that they have places: each partition takes what those before it left
+    split = F.coalesce((F.struct("z", "tag") == F.col("cut")) & F.col("cut_rows").isNotNull(), F.lit(False))
+    some = cut_lineage(out.where(split)).withColumn("part", F.spark_partition_id())
+    counts = some.groupBy("key", "part").agg(F.count("*").alias("rows"))
+    earlier = F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = some.join(near(cut_lineage(counts.select("key", "part", earlier.alias("earlier")))), ["key", "part"])
+    number = F.col("earlier") + F.row_number().over(Window.partitionBy("key", "part").orderBy(F.lit(0)))
+    fewer = placed.withColumn("number", number).withColumn("copies", F.col("copies") - (F.col("number") > F.col("cut_rows")).cast("long"))
+    return out.where(~split).unionByName(fewer.select(*out.columns)).drop("cut_rows")
 
 
 def mix_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -175,8 +189,8 @@ def mix_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 
     Null and wordless texts have size 0 and take nothing.  Rows of null
     source are one source, the last; one without words has target 0.  Rows of
-    equal id, text and source share one decision, so where such a row is
-    repeated very often the words taken may miss the target by half of them.
+    equal id, text and source share one rank; where the target falls among
+    them, as many as fit are taken, whichever they are.
     Ties of rank go by id and text.  An empty table gives an empty result; no
     other column is read.
     """

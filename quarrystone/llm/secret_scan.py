@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,15 @@ FORMS = {
     "google_key": (("AIza",), r"\b(AIza[A-Za-z0-9_-]{35})"),
     "stripe_key": (("sk_live_", "rk_live_"), r"\b([sr]k_live_[A-Za-z0-9]{16,})"),
     "gitlab_token": (("glpat-",), r"\b(glpat-[A-Za-z0-9_-]{20,})"),
-    "url_password": (("://",), r"://[^\s:/@\"']{1,64}:([^\s@/\"']{6,})@"),
+    "url_password": (("://",), r"://[^\s:/@\"']++:([^\s@/\"']{6,}+)@"),
     "jwt": (("eyJ",), r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    "private_key": (("PRIVATE KEY",), r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)"),
+    "private_key": (("PRIVATE KEY",), r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----)?)"),
     "bearer": (("earer",), r"\b[Bb]earer\s+([A-Za-z0-9._~+/-]{12,}=*)"),
-    "assignment": (("=", ":"), r"[:=]\s{0,8}[\"']?([^\s\"',;]{6,})"),
+    "assignment": (("=", ":"), r"[:=]\s*+[\"']?+([^\s\"',;]{6,})"),
     "blob": ((), r"([A-Za-z0-9+/_=-]{24,})"),
 }
 # Names of what is assigned.
-_NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[a-z_]{0,24}[\"']?\s{0,8}$")
+_NAMED = re.compile(r"(?i)password|passwd|pwd|secret|token|api_?key|access_?key|auth")
 # Words beside a candidate that speak for and against a secret.
 FOR = frozenset("key keys secret secrets token tokens password passwd pwd passphrase auth authorization bearer credential credentials aws api private access login".split())
 AGAINST = frozenset("example examples sample dummy test placeholder fake your changeme redacted commit sha sha1 sha256 sha512 md5 checksum digest hash uuid guid revision integrity version path file http https import package class function".split())
@@ -58,6 +59,17 @@ _WORD = re.compile(r"[A-Za-z][a-z]+|[A-Za-z]+[0-9]*|[0-9]+")
 _PATTERNS = {form: re.compile(pattern) for form, (_, pattern) in FORMS.items()}
 
 
+def assigned_name(text: str, at: int) -> str:
+    """The letters and underscores before the sign at ``at``, past a quote and white space."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    at -= at > 0 and text[at - 1] in "\"'"
+    start = at
+    while start and (text[start - 1] == "_" or (text[start - 1].isascii() and text[start - 1].isalpha())):
+        start -= 1
+    return text[start:at]
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """(form, start, stop) of each candidate, left to right; of two that overlap the earlier form stays."""
     found: list[tuple[int, int, str]] = []
@@ -66,7 +78,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             continue
         for m in _PATTERNS[form].finditer(text):
             start, stop = m.span(1)
-            if form == "assignment" and not _NAMED.search(text, max(0, m.start() - 64), m.start()):
+            if form == "assignment" and not _NAMED.search(assigned_name(text, m.start())):
                 continue
             if form == "blob" and not (any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1])):
                 continue
@@ -76,11 +88,16 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return [(form, a, b) for a, b, form in found]
 
 
+@cache
+def _longest(dictionary: frozenset[str]) -> int:
+    return max(map(len, dictionary), default=0)
+
+
 def coverage(value: str, dictionary: frozenset[str]) -> float:
     """Share of the characters that the longest dictionary words from the left take."""
-    low, at, taken = value.lower(), 0, 0
+    low, at, taken, longest = value.lower(), 0, 0, _longest(dictionary)
     while at < len(low):
-        size = next((n for n in range(min(14, len(low) - at), 3, -1) if low[at : at + n] in dictionary), 0)
+        size = next((n for n in range(min(longest, len(low) - at), 3, -1) if low[at : at + n] in dictionary), 0)
         taken += size
         at += size or 1
     return taken / max(1, len(low))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import pieces, raw_texts
 from quarrystone.operators.components import connected_components
-from quarrystone.operators.tables import by_keys, cut_lineage, free_names, join_hot, reduce_rows
+from quarrystone.operators.tables import by_keys, cut_lineage, free_names, join_hot, near, reduce_rows
 
 #: Rows at one anchor that one task compares at once.
 GROUP_ROWS = 4096
@@ -194,6 +194,8 @@ def near_links(prints: DataFrame, max_bits: int = 3, group_rows: int = GROUP_ROW
     rows = prints.mapInArrow(_anchors, "anchor long, fp long, home boolean")
     large = rows.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.ceil(F.col("count") * 2 / group_rows).cast("int").alias("chunks"))
     large = cut_lineage(large)
+    # fewer than rows / group_rows anchors are large: their list is short, and rows need not meet it by a shuffle
+    large = near(large)
     whole = rows.join(large, "anchor", "left_anti").withColumn("part", F.lit(0).cast("long"))
     if not large.isEmpty():
         own = F.pmod(F.xxhash64("fp"), F.col("chunks"))

@@ -17,14 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import pieces, raw_texts
+from quarrystone.operators.tables import cut_lineage
 
 BITS = 20
 #: Bounds of the labelled sample: documents of either label that the driver ever holds (as term slots, all of each).
 MOST_TOXIC, MOST_CLEAN = 5000, 10000
+#: Bounds of their term slots (4 bytes each): of one document, and of all of either label.  Documents beyond are not learned from.
+MOST_DOC_SLOTS, MOST_SLOTS = 200_000, 16_000_000
 THRESHOLD = 0.3
 #: Of a pair's terms; above that of single terms, as there are many more pairs than terms to meet it by chance.
 LEAST_PAIR_CHI2 = 32.0
@@ -68,7 +71,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: str, doc_id:
 
     A label holds for an id; an id labelled both ways counts as 1.  Of several
     texts of an id the one of least hash is learned from, so reruns learn the
-    same.  Null ids and labels other than 0 and 1 teach nothing.
+    same.  Documents are learned from whole or not at all: not if they have
+    over MOST_DOC_SLOTS different terms, nor past MOST_SLOTS of a label.  Null ids and labels other than 0 and 1 teach nothing.
     """
     able = labels.where(F.expr(learn_from) & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
     able = able.groupBy(F.col(doc_id).alias("i")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -76,8 +80,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: str, doc_id:
     chosen = able.where("label = 1").orderBy("h", "i").limit(MOST_TOXIC).unionAll(able.where("label = 0").orderBy("h", "i").limit(MOST_CLEAN))
     # at most MOST_TOXIC + MOST_CLEAN ids, so the broadcast is bounded
     picked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(chosen.select("i", "label")), "i")
-    rows = picked.groupBy("i", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text").mapInArrow(_slot_rows(bits), "label int, slots binary")
-    found = sorted((r.label, bytes(r.slots)) for r in rows.collect())
+    one = picked.groupBy("i", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).withColumn("h", F.xxhash64("i", F.lit(seed)))
+    made = one.select(F.struct("h", "i", "label").alias("label"), "text").mapInArrow(_slot_rows(bits), f"label struct<h: bigint, i: {dict(one.dtypes)['i']}, label: int>, slots binary")
+    rows = cut_lineage(made.select("label.*", "slots"))
+    # whole documents of least hash until either label's share of slots is full; the window runs over one number a sampled document
+    sizes = rows.select("h", "i", "label", (F.octet_length("slots") / 4).cast("long").alias("n")).where(F.col("n") <= MOST_DOC_SLOTS)
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("h", "i").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sizes.withColumn("upto", upto).where(F.col("upto") <= MOST_SLOTS).select("i")
+    found = sorted((r.label, bytes(r.slots)) for r in rows.join(F.broadcast(fits), "i", "left_semi").select("label", "slots").collect())
     return [(label, np.frombuffer(slots, "<i4")) for label, slots in found]
 
 
