@@ -31,6 +31,12 @@ _ARGUMENTS = "CASE event_id % 8 WHEN 0 THEN '{\"city\": ' WHEN 1 THEN '[1]' WHEN
 _ERROR = "CASE event_id % 8 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'arguments_must_be_object' WHEN 2 THEN 'missing_required' WHEN 3 THEN 'invalid_type' WHEN 4 THEN 'empty_required' WHEN 5 THEN 'invalid_type' END"
 
 
+#: A call for each event, by turns of a tool's name and of its arguments.
+_TOOL = "CASE event_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'nation' WHEN 2 THEN NULL ELSE 'segment' END"
+_SEGMENT = "CASE user_id % 6 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' WHEN 4 THEN 'MACHINERY' ELSE 'NO SUCH' END"
+_CALL = f"CASE event_id % 7 WHEN 0 THEN '{{\"segment\": ' WHEN 1 THEN '[1]' WHEN 2 THEN '{{}}' WHEN 3 THEN '{{\"segment\": 5, \"nation\": \"1\"}}' WHEN 4 THEN '{{\"segment\": \" \", \"nation\": \"1\"}}' ELSE concat('{{\"nation\": \"', user_id % 30, '\", \"segment\": \"', {_SEGMENT}, '\"}}') END"
+
+
 def redact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.struct(F.lit("Bearer abc.def").alias("authorization"), F.lit("p").alias("Passwd"), F.lit("t").alias("x_auth_token"), F.col("event_id").alias("n"))
     payload = F.to_json(F.struct("event_type", inner.alias("headers"), F.concat(F.lit("api key: "), F.col("user_id"), F.lit(" ok")).alias("note")))
@@ -56,16 +62,14 @@ def action_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", columns.action_fingerprint(F.col("event_type"), raw).alias("fp"))
 
 
-def _weather(arguments: dict) -> dict:
-    if arguments["city"] == "error":
-        raise RuntimeError("no such city")
-    return {"city": arguments["city"], "degrees": len(arguments["city"])}
-
-
 def tool_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _table(spark, sf_dir, "events").select("event_id", F.expr("CASE WHEN event_id % 16 = 15 THEN 'none' ELSE 'weather' END").alias("tool"), F.expr(_ARGUMENTS).alias("arguments"))
-    spec = tools.ToolSpec("weather", "Weather of a city", ("city",), _weather)
-    return tools.call_tools(calls, [spec]).select("event_id", "result.ok", "result.data", "result.error")
+    """Calls of two tools over the customers, of one that does not exist, and with wrong arguments."""
+    people = _table(spark, sf_dir, "customer")
+    segments = people.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"), F.round(F.max("c_acctbal"), 2).alias("richest"))
+    nations = people.groupBy(F.col("c_nationkey").cast("string").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"))
+    known = [tools.TableTool("segment", "Customers of a market segment", ("segment",), segments), tools.TableTool("nation", "Customers of a nation in a segment", ("nation", "segment"), nations)]
+    calls = _table(spark, sf_dir, "events").select("event_id", F.expr(_TOOL).alias("tool"), F.expr(_CALL).alias("arguments"))
+    return tools.call_tools(calls, known).select("event_id", "result.ok", "result.data", "result.error")
 
 
 def provider(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,8 +419,10 @@ SQL = {
     "json_compress": "SELECT conv_id, to_json(list_transform(list_slice(list(text ORDER BY turn), 1, 3), lambda x: CASE WHEN length(x) > 100 THEN substring(x, 1, 100) || '...' ELSE x END)) :: varchar AS log FROM conversations GROUP BY conv_id",
     "validate_args": f"SELECT event_id, {_ERROR} AS error FROM events",
     "action_fingerprint": """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN event_type || ':not { json' ELSE event_type || ':{"a":{"k":' || json_extract_string(props, '$.k') || '},"b":[1,2],"c":"x  y"}' END AS fp FROM events""",
-    "tool_spec": f"""SELECT event_id, event_id % 8 > 5 AND event_id % 16 <> 15 AND event_type <> 'error' AS ok, CASE WHEN event_id % 8 > 5 AND event_id % 16 <> 15 AND event_type <> 'error' THEN '{{"city": "' || event_type || '", "degrees": ' || length(event_type) || '}}' END AS data,
-        CASE WHEN event_id % 16 = 15 THEN 'unknown_tool' ELSE coalesce({_ERROR}, CASE WHEN event_type = 'error' THEN 'tool_failed' END) END AS error FROM events""",
+    "tool_spec": f"""WITH c AS (SELECT event_id, event_id % 5 AS t, event_id % 7 AS a, cast(user_id % 30 AS varchar) AS nation, {_SEGMENT} AS segment FROM events), s AS (SELECT c_mktsegment AS segment, count(*) AS n, round(max(c_acctbal), 2) AS best FROM customer GROUP BY 1), g AS (SELECT cast(c_nationkey AS varchar) AS nation, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1, 2),
+        e AS (SELECT c.*, CASE WHEN t = 0 OR t = 2 THEN 'unknown_tool' WHEN a = 0 THEN 'invalid_json' WHEN a = 1 THEN 'arguments_must_be_object' WHEN a = 2 THEN 'missing_required' WHEN a = 3 THEN 'invalid_type' WHEN a = 4 THEN 'empty_required' END AS wrong FROM c),
+        d AS (SELECT e.*, CASE WHEN wrong IS NULL AND t = 1 THEN '{{"customers":' || g.n || '}}' WHEN wrong IS NULL THEN '{{"customers":' || s.n || ',"richest":' || s.best || '}}' END AS data FROM e LEFT JOIN s ON s.segment = e.segment LEFT JOIN g ON g.segment = e.segment AND g.nation = e.nation)
+        SELECT event_id, data IS NOT NULL AS ok, data, coalesce(wrong, CASE WHEN data IS NULL THEN 'tool_failed' END) AS error FROM d""",
     "provider": "SELECT event_id, CASE WHEN event_type <> 'error' THEN reverse(event_type || '-' || event_id) END AS value, CASE WHEN event_type = 'error' THEN 'no answer' END AS error, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS attempts FROM events",
     "embed_batch": "SELECT doc_id, cast(length(t) AS double) AS chars, cast(length(t) - length(replace(t, 'a', '')) AS double) AS a FROM (SELECT doc_id, 'Question: ' || source || E'\\nAnswer: ' || substring(text, 1, 500) AS t FROM documents) q",
     "hook_pipeline": """SELECT event_id, event_type, round(CASE WHEN event_type IN ('error', 'view') THEN value ELSE value + 1 END, 3) AS value, CASE WHEN event_type = 'error' OR (event_type <> 'view' AND value + 1 > 100) THEN NULL ELSE round(2 * (CASE WHEN event_type = 'view' THEN value ELSE value + 1 END), 3) END AS double,

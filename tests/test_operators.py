@@ -23,14 +23,14 @@ def test_redaction():
     assert once["inner"] == '{"api_key":"[REDACTED]","n":1}' and messages.redact_value(once) == once
     hidden = messages.redact_value(dict.fromkeys(["passwd", "id_token", "auth_token", "x_auth_token", "My-Refresh-Token"], "v"))
     assert set(hidden.values()) == {"[REDACTED]"} and messages.redact_value({"token": "v", "secretary": "s"}) == {"token": "v", "secretary": "s"}
-    assert messages.redact_string("api key: zzz, then") == "api key=[REDACTED], then"
-    assert messages.redact_string("{ no json, bearer  a/b=c;x") == "{ no json, Bearer [REDACTED];x"
+    assert messages.redact_value("api key: zzz, then") == "api key=[REDACTED], then"
+    assert messages.redact_value("{ no json, bearer  a/b=c;x") == "{ no json, Bearer [REDACTED];x"
 
 
 def test_redact_plain_equals_the_python_form(spark):
     lines = ["Bearer abc, x", "PASSWORD = 'q w", "client secret:abc;d", "sk-12345678 sk-1234567", "refresh-token= x y", "", None]
     df = spark.createDataFrame([(x,) for x in lines], "a string")
-    assert [r.a for r in df.select(messages.redact_plain(F.col("a")).alias("a")).collect()] == [x and messages.redact_string(x) for x in lines]
+    assert [r.a for r in df.select(messages.redact_plain(F.col("a")).alias("a")).collect()] == [x and messages.redact_value(x) for x in lines]
 
 
 @pytest.mark.parametrize(
@@ -43,20 +43,22 @@ def test_redact_plain_equals_the_python_form(spark):
 def test_argument_error(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "a string")
     assert df.select(columns.argument_error(F.col("a"), ["city"]).alias("e")).first().e == want
-    spec = tools.ToolSpec("t", "", ("city",), lambda a: {"city": a["city"]})
-    assert raw is None or spec.execute(raw).get("error") == want
 
 
 def test_tools(spark):
-    def fails(_):
-        raise RuntimeError("outage")
-
-    specs = [tools.ToolSpec("echo", "says it again", ("x",), lambda a: {"y": a["x"]}), tools.ToolSpec("bad", "", (), fails)]
-    assert specs[0].definition()["input_schema"] == {"type": "object", "properties": {"x": {"type": "string"}}, "required": ["x"]}
-    assert specs[1].execute("{}") == {"ok": False, "error": "tool_failed", "detail": "outage"}
-    calls = spark.createDataFrame([(1, "echo", '{"x": "1"}'), (2, "bad", "{}"), (3, "none", "{}"), (4, "echo", None), (5, None, "{}")], "id int, tool string, arguments string")
-    got = {r.id: (r.result.ok, r.result.data, r.result.error) for r in tools.call_tools(calls, specs).collect()}
-    assert got == {1: (True, '{"y": "1"}', None), 2: (False, None, "tool_failed"), 3: (False, None, "unknown_tool"), 4: (False, None, "invalid_json"), 5: (False, None, "unknown_tool")}
+    rows = spark.createDataFrame([("1", "a", 5), ("1", "b", 6)], "x string, y string, n int")
+    known = [tools.TableTool("one", "by x and y", ("x", "y"), rows), tools.TableTool("all", "no arguments", (), rows.limit(1).select("n"))]
+    listed = {r.name: json.loads(r.definition) for r in tools.tool_listing(spark, known).collect()}
+    assert listed["one"]["input_schema"] == {"type": "object", "properties": {"x": {"type": "string"}, "y": {"type": "string"}}, "required": ["x", "y"]} and listed["all"]["input_schema"]["required"] == []
+    given = [(1, "one", '{"x": "1", "y": "b", "z": 3}'), (2, "one", '{"x": "2", "y": "b"}'), (3, "none", '{"x": "1"}'), (4, "one", None), (5, None, "{}"), (6, "one", '{"x": "1"}'), (7, "all", "{}"), (7, "all", "{}"), (8, "one", '{"x": 1, "y": "b"}'), (9, "all", "[]")]
+    calls = spark.createDataFrame(given, "id int, tool string, arguments string").withColumn("data_", F.lit(0))
+    out = tools.call_tools(calls, known)
+    assert out.columns == [*calls.columns, "result"]
+    got = sorted(((r.id, r.result.ok, r.result.data, r.result.error) for r in out.collect()), key=repr)
+    assert got == [
+        (1, True, '{"n":6}', None), (2, False, None, "tool_failed"), (3, False, None, "unknown_tool"), (4, False, None, "invalid_json"), (5, False, None, "unknown_tool"), (6, False, None, "missing_required"),
+        (7, True, '{"n":5}', None), (7, True, '{"n":5}', None), (8, False, None, "invalid_type"), (9, False, None, "arguments_must_be_object"),
+    ]
 
 
 def test_fingerprints(spark):
