@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import columns
-from quarrystone.operators import chunks, components, folds, messages, rates, similar, tables
+from quarrystone.operators import chunks, components, folds, messages, rates, search, similar, tables, vectors
 from quarrystone.plans import tools, walks
 from quarrystone.plans.graph import Registry, StateGraph, loop_until
 from quarrystone.queries import procedures
@@ -222,3 +222,127 @@ def test_plans(spark):
     with pytest.raises(ValueError):
         Registry().register("x", lambda d: d).register("x", lambda d: d)
     assert loop_until(df, lambda d: d.withColumn("score", F.col("score") + 10), lambda d: d.agg(F.min("score")).first()[0] >= 75).agg(F.min("score")).first()[0] == 80
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [127, 128, 0, 16383, 16384, 1 << 40], list(range(1000))):
+        assert search.unpack(search.pack(numbers)).tolist() == numbers
+
+
+def test_search_awkward_and_skipping(spark, tmp_path):
+    """Null, empty, repeated and sparse ids and texts, several cells; few blocks are read for a rare word, and a frequent word is many rows."""
+    rows = [(i * 1000003, f"common words w{i % 7} " + ("needle needle" if i in (40, 4000) else "hay")) for i in range(6000)] + [(None, "common needle"), (5, None), (6, ""), (7, "twice"), (7, "twice"), (8, "ÉTÉ été\tcommon " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = search.build_index(docs, f"file://{tmp_path}/i", cell=64)
+    asked = spark.createDataFrame([(1, "needle"), (2, "common needle common"), (3, "unknown"), (4, None), (5, "été w3"), (6, "twice")], "q long, text string")
+    got = {}
+    for r in sorted(search.search(index, asked, "q", "text", 3).collect(), key=lambda r: (r.q, r["rank"])):
+        got.setdefault(r.q, []).append(r.id)
+    assert got[1][:2] == [40 * 1000003, 4000 * 1000003] and None in got[1] and got[2] == got[1] and got[5][0] == 8 and got[6] == [7, 7] and set(got) == {1, 2, 5, 6}
+    report = {r.q: (r.blocks, r.read) for r in search.search_report(index, asked, "q", "text", 3).collect()}
+    assert report[1][0] <= 3 and report[2][0] > 90 and report[2][1] < report[2][0] / 3
+    words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))
+    assert {(r.q, r.id) for r in search.match_all(index, asked, "q", words).collect()} == {(1, 40 * 1000003), (1, 4000 * 1000003), (1, None), (2, 40 * 1000003), (2, 4000 * 1000003), (2, None), (6, 7)}
+    empty = search.build_index(docs.limit(0), f"file://{tmp_path}/e")
+    assert search.search(empty, asked, "q", "text").count() == 0 and search.match_all(empty, asked, "q", words).count() == 0
+
+
+def test_vector_search(spark, tmp_path):
+    """Clustered vectors, a third of them alike, nulls, repeated ids and labels: the bounded search is exact, and a tenth of the cells finds 0.9."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 13))
+    rows = [(i, (centres[i % 40] + 0.2 * rng.normal(size=13)).tolist(), i % 3) for i in range(1200)] + [(5000 + i, (centres[7] + 1e-3 * rng.normal(size=13)).tolist(), None) for i in range(600)]
+    table = spark.createDataFrame([*rows, (1, rows[1][1], 2), (None, rows[2][1], 1), (9999, None, 1)], "id long, v array<double>, label int").repartition(5)
+    index = vectors.build_vectors(table, f"file://{tmp_path}/v", "id", "v", "label", list_rows=100)
+    sizes = [r["size"] for r in spark.read.parquet(f"{tmp_path}/v/lists").collect()]
+    assert sum(sizes) == 1801 and max(sizes) <= 100
+    asked = spark.createDataFrame([(i, rows[i][1], [None, 2][i % 2]) for i in range(0, 1200, 50)] + [(7777, None, None), (8888, rows[3][1], 77)], "q long, v array<double>, wanted int")
+    ids, v, labels = np.array([r[0] for r in [*rows, (1,)]]), np.array([r[1] for r in [*rows, rows[1]]]), np.array([-1 if r[2] is None else r[2] for r in rows] + [2])
+
+    def plain(q, wanted, skip):
+        scores = np.round(v @ np.array(rows[q][1]), 5)
+        able = [(-s, i) for s, i, x in zip(scores, ids, labels) if (wanted is None or x == wanted) and not (skip and i == q)]
+        return [int(i) for _, i in sorted(able)[:10]]
+
+    def found(**more):
+        out = {}
+        for r in sorted(vectors.search_vectors(index, asked, "q", "v", 10, **more).collect(), key=lambda r: (r.q, r["rank"])):
+            out.setdefault(r.q, []).append(r.id)
+        return out
+
+    assert found(exact=True) == {q: plain(q, None, False) for q in [*range(0, 1200, 50)]} | {8888: found(exact=True)[8888]}
+    assert found(exact=True, skip_self=True, label="wanted") == {q: plain(q, [None, 2][q % 2], True) for q in range(0, 1200, 50)}
+    near_ = found(probe_share=0.1)
+    assert sum(len(set(near_[q]) & set(plain(q, None, False))) for q in range(0, 1200, 50)) >= 0.9 * 240
+    empty = vectors.build_vectors(table.limit(0), f"file://{tmp_path}/e", "id", "v")
+    assert vectors.search_vectors(empty, asked, "q", "v").count() == 0
+
+
+def test_vector_recall(spark, tmp_path):
+    """Vectors without clusters: 0.9 of the ten nearest, against all of them by hand."""
+    import numpy as np
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    v = np.array([r.embedding for r in rows], np.float64)
+    want = {(r.vec_id, rows[j].vec_id) for i, r in enumerate(rows) if r.vec_id % 50 == 0 for j in np.argsort(-(v @ v[i]))[:10]}
+    index = vectors.build_vectors(table, f"file://{tmp_path}/v", "vec_id", "embedding")
+    got = {(r.vec_id, r.id) for r in vectors.search_vectors(index, table.where("vec_id % 50 = 0"), "vec_id", "embedding").collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_dbscan_marks_border_and_noise(spark):
+    """Dense, thin, bordering and lone vectors, copies and nulls, against a plain DBSCAN."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.eye(16)[i % 3] + 0.12 * rng.normal(size=16)).tolist()) for i in range(90)] + [(100 + i, (np.eye(16)[5] + 0.004 * rng.normal(size=16)).tolist()) for i in range(60)] + [(200 + i, rng.normal(size=16).tolist()) for i in range(40)]
+    rows += [(300 + i, rows[-1][1]) for i in range(3)] + [(400, (np.eye(16)[5] + 0.55 * np.eye(16)[9]).tolist())]
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids, close = [i for i, _ in rows], v @ v.T >= 0.86
+    core = close.sum(1) >= 4
+    label = {i: i for i in range(len(rows)) if core[i]}
+    while True:
+        new = {i: min(label[j] for j in label if close[i, j]) for i in label}
+        if new == label:
+            break
+        label = new
+    want = {}
+    for i, name in enumerate(ids):
+        near_ = [label[j] for j in label if close[i, j]]
+        want[name] = (ids[label[i]], "core") if core[i] else (ids[min(near_)], "border") if near_ else (None, "noise")
+    table = spark.createDataFrame([*rows, (None, rows[0][1]), (999, None)], "id long, v array<double>")
+    got = {r.id: (r.class_id, r.kind) for r in similar.dbscan(table, "id", "v", 0.86, 4).collect()}
+    assert got == want and {k for _, k in want.values()} == {"core", "border", "noise"}
+
+
+def test_buckets_of_any_size(spark):
+    """One bucket of many unlike items and a group of copies takes two rounds, in chunk pairs; all links are found."""
+    values = {i: i * 10 for i in range(1500)} | {10000 + i: 3 for i in range(1500)} | {20000: 7504, 20001: 7505}
+    members, items = spark.createDataFrame([(1, i) for i in values], "bucket long, id long"), spark.createDataFrame(list(values.items()), "id long, payload long")
+    links = similar.bucket_links(members, items, F.abs(F.col("pa") - F.col("pb")) <= 3)
+    got = {r.node: r.root for r in components.connected_components(links, "a", "b").collect()}
+    assert got == {10000 + i: 0 for i in range(1500)} | {20001: 20000}
+    pairs = similar.bucket_pairs(members.where("id < 300").withColumnRenamed("id", "x"), members.where("id < 200").withColumnRenamed("id", "y"), chunk=16)
+    assert pairs.count() == 300 * 200 == pairs.distinct().count()
+
+
+def test_simhash_chunk_recall(spark):
+    """Pairs of chunks by brute force: 0.9 or more of those above 0.85 share a class, and no others do."""
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts = sorted({line for t in rows for line in (t or "").split("\n") if len(line.split()) > 8})[:1500]
+    texts += [t.replace(t.split()[4], "changed", 1) for t in texts[::5] if len(t.split()) > 30]
+    sets = [{tuple(t.lower().split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    by = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            by.setdefault(g, []).append(i)
+    want = {(i, j) for own in by.values() for i in own for j in own if i < j and len(own) < 400 and len(sets[i] & sets[j]) > 0.85 * len(sets[i] | sets[j])}
+    import hashlib
+
+    got = {r.text_hash: r.class_id for r in similar.simhash_chunks(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
+    names = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    assert len(want) > 20 and sum(got[names[i]] == got[names[j]] for i, j in want) >= 0.99 * len(want)
