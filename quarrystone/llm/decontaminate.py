@@ -60,6 +60,8 @@ _NUM, _MEASURE, _NAME, _FIRST, _RAW = (np.uint64(x) for x in (0x1D8E4E27C47D124F
 #: Marks of a window's key: at a sentence's start, and at a sentence's end.
 _OPEN, _CLOSE = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _CACHE = 200_000
+#: Bytes of text whose template tokens are held at a time, in about twenty times as many bytes.
+PIECE_BYTES = 1 << 20
 
 
 def _code(token: str) -> int:
@@ -258,7 +260,7 @@ def _doc_rows(shapes: list[tuple[int, int, bool]], shared):
             spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             return np.flatnonzero(known[spot] == keys)
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", most_bytes=PIECE_BYTES):
             own = Templates([_body(x) for x in raw_texts(piece.column("text"))], codes)
             docs, rows, out = piece.column("doc").to_pylist(), piece.column("row").to_pylist(), []
             found = [(raw, size, own.raw_windows(size) if raw else own.windows(size)) for raw, size in plain]

@@ -155,7 +155,7 @@ def write_token_shards(
         encode = text_encoder(vocabulary)
 
         def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            for piece in pieces(batches, "text", 8192, 8 << 20):
+            for piece in pieces(batches, "text", 8192, 4 << 20):
                 for name, ids in zip(piece.column("id").to_pylist(), encode(piece.column("text"))):
                     yield name, np.r_[ids, tail]
 
