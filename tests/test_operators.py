@@ -1,7 +1,6 @@
 """Operators that are folds, recursions or streams, on small golden inputs."""
 
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,25 +121,6 @@ def test_stream_assembly(spark, sf_dir):
     assert errors == {"s1": None, "s2": "no_completion", "s3": "after_terminal", "s4": "unknown_type", "s5": "missing_call_id", "s6": "response_error"}
 
 
-def test_streaming_replay(spark, tmp_path):
-    """One file a micro-batch: what comes after a stream's end gives one more row, as in batch."""
-    schema = "stream_id string, seq int, kind string, call_id string, delta string"
-    parts = [
-        [("a", 1, "text.delta", None, "hi "), ("a", 2, "text.delta", None, "there"), ("a", 3, "response.completed", None, None), ("b", 1, "text.delta", None, "x")],
-        [("a", 4, "text.delta", None, "late"), ("c", 1, "response.completed", None, None)], [("a", 5, "text.delta", None, "later"), ("b", 2, "response.completed", None, None)],
-    ]
-    seen, rows_by = [], (1, 3, 4)
-    for rows, most in zip(parts, rows_by):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = assemble.assemble_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
-        query = stream.writeStream.foreachBatch(lambda df, _: seen.extend(tuple(r)[:3] + (r.error,) for r in df.collect())).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-        began = time.monotonic()
-        while len(seen) < most and time.monotonic() - began < 40:  # a query with timeouts never ends by itself
-            time.sleep(0.2)
-        query.stop()
-    assert sorted(seen, key=repr) == sorted([("a", "completed", "hi there", None), ("a", "error", "hi there", "after_terminal"), ("c", "completed", "", None), ("b", "completed", "x", None)], key=repr)
-
-
 def test_minhash_classes(spark):
     """Every link counts: near texts of which the least id's bucket mate is not one, chains, copies, and short texts."""
     w = [f"w{i}" for i in range(100)]
