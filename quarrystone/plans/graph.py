@@ -77,9 +77,11 @@ class StateGraph:
 
 
 def loop_until(df: DataFrame, step: Step, done: Callable[[DataFrame], bool], most: int = 10) -> DataFrame:
-    """Repeat a step until ``done`` holds, ``most`` times at most; each round's rows are written, so that plans do not grow."""
+    """Repeat a step until ``done`` holds; rows that are not done after ``most`` rounds are an error.  Each round's rows are written, so that plans do not grow."""
     for _ in range(most):
         if done(df):
-            break
+            return df
         df = cut_lineage(step(df))
-    return df
+    if done(df):
+        return df
+    raise RuntimeError(f"not done after {most} rounds")

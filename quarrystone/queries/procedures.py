@@ -17,6 +17,7 @@ from quarrystone.operators.tables import fresh_dir
 from quarrystone.plans import graph, tools, walks
 from quarrystone.queries import dialect, graphs
 from quarrystone.sources import files
+from quarrystone.sources.merge_table import MergeTable
 from quarrystone.streaming import assemble
 
 
@@ -216,11 +217,38 @@ def cdc_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of changes, the second with old and repeated records, through a stream into a table."""
     folder = fresh_dir(spark, "cdc")
     changes = _table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), "user_id", F.col("event_id").alias("position"), "event_type")
+    table = MergeTable(spark, f"{folder}/table", "user_id", "position")
     for part in ("position % 3 > 0", "position % 2 = 0"):
         changes.where(part).coalesce(2).write.mode("append").parquet(f"{folder}/log")
-        stream = spark.readStream.schema(changes.schema).parquet(f"{folder}/log")
-        files.sync_changes(stream, "user_id", "position", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return files.read_synced(spark, f"{folder}/table")
+        table.follow(spark.readStream.schema(changes.schema).parquet(f"{folder}/log"), f"{folder}/checkpoint").awaitTermination()
+    return table.read()
+
+
+def _knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, MergeTable]:
+    """Documents, and a table that holds them after two batches: all of them, and changes, deletes and new ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n_chars")
+    first = docs.select(F.lit("upsert").alias("op"), "doc_id", F.lit(0).cast("long").alias("position"), "lang", "n_chars")
+    turn = F.col("doc_id") % 10
+    second = first.where(turn.isin(3, 7, 4)).withColumn("position", F.lit(1).cast("long")).withColumn("op", F.when(turn == 7, "delete").otherwise("upsert"))
+    second = second.withColumn("lang", F.when(turn == 3, "xx").otherwise(F.col("lang"))).withColumn("doc_id", F.col("doc_id") + F.when(turn == 4, 1000000000).otherwise(0))
+    table = MergeTable(spark, fresh_dir(spark, "knowledge"), "doc_id", "position")
+    table.apply(first, 0)
+    table.apply(second, 1)
+    table.apply(second.withColumn("lang", F.lit("never")), 1)  # told twice
+    return docs, table
+
+
+def sink_kb_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by key after changed, deleted and new ones, read from base and delta files."""
+    _, table = _knowledge(spark, sf_dir)
+    table.compact()
+    return table.read().select("doc_id", "lang")
+
+
+def ext_missed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would make the table equal to the documents again."""
+    docs, table = _knowledge(spark, sf_dir)
+    return files.missed_changes(docs, table.read().drop("position"), "doc_id")
 
 
 def synthetic_sql_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +419,7 @@ def stream_parse_gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{f.__name__: f for f in (
         redact_keys, redact_text, json_compress, validate_args, action_fingerprint, tool_spec, provider, embed_batch, hook_pipeline, subagent, skill, state_graph, loop_until, reducer_udaf, splitter_udtf,
-        parse_md_sections, parse_md_fields, scan_md_qa, scan_frontmatter, scan_json_dir, write_file, list_dir, sink_trace_jsonl, sink_report_file, sse_sink, cdc_sync, synthetic_sql_filter,
+        parse_md_sections, parse_md_fields, scan_md_qa, scan_frontmatter, scan_json_dir, write_file, list_dir, sink_trace_jsonl, sink_report_file, sse_sink, cdc_sync, sink_kb_upsert, ext_missed_changes, synthetic_sql_filter,
         chunk_recursive, chunk_structure_aware, chunk_ast, chunk_semantic, split_labeled, title_path, listing_budget, dedup_minhash, dedup_simhash_chunk, dedup_cosine, memory_semantic_merge, dedup_semantic, mmr,
         topo_waves, causal_chain, call_cycle, knowledge_graph, stream_assemble, stream_parse_gateway,
     )},
@@ -443,6 +471,8 @@ SQL = {
     "sink_report_file": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "sse_sink": """SELECT row_number() OVER (ORDER BY event_id) AS id, 'id: ' || row_number() OVER (ORDER BY event_id) || E'\\nevent: progress\\ndata: {"event_id":' || event_id || ',"event_type":"' || event_type || E'"}\\n\\n' AS message FROM events""",
     "cdc_sync": "SELECT user_id, position, event_type FROM (SELECT user_id, event_id AS position, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 3 > 0 OR event_id % 2 = 0) q WHERE r = 1 AND event_type <> 'error'",
+    "sink_kb_upsert": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'xx' ELSE coalesce(lang, '') END AS lang FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT doc_id + 1000000000 AS doc_id, coalesce(lang, '') AS lang FROM documents WHERE doc_id % 10 = 4",
+    "ext_missed_changes": "SELECT CASE WHEN doc_id % 10 = 4 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE doc_id % 10 WHEN 3 THEN 'update' WHEN 7 THEN 'insert' ELSE 'delete' END AS action FROM documents WHERE doc_id % 10 = 7 OR doc_id % 10 = 4 OR (doc_id % 10 = 3 AND coalesce(lang, '') <> 'xx')",
     "synthetic_sql_filter": "SELECT * FROM (VALUES ('one', 'kept'), ('all', 'whole_table'), ('none', 'empty'), ('bad', 'failed'), ('syntax', 'failed'), ('count', 'kept')) AS t(query, status)",
     "split_labeled": """WITH s AS (SELECT conv_id, turn, role, trim(translate(text, ':：', '  '), E' \\t\\r\\n') AS said FROM conversations), t AS (SELECT *, lag(CASE WHEN role = 'user' THEN said END) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM s WHERE role <> 'user' OR said <> '')
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pair, md5(asked) AS question, md5(said) AS answer FROM t WHERE role <> 'user' AND asked IS NOT NULL""",

@@ -116,38 +116,6 @@ def stream_server_events(stream: DataFrame, event: str, order: list[str], send:
     return stream.writeStream.foreachBatch(lambda batch, _: send(server_events(batch, event, order))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_changes(changes: DataFrame, key: str, position: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Change records (op: upsert or delete, key, position, fields) applied to a Parquet table, micro-batch by micro-batch.
-
-    The last change of a key by ``position`` wins, and a record older than the
-    row it meets is left out, so records that come twice or late change
-    nothing.  A delete stays as a mark.  Versions are written beside the old
-    ones: ``read_synced`` reads the newest.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        root = spark._jvm.org.apache.hadoop.fs.Path(table)
-        store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        known = [int(x.getPath().getName().removeprefix("v")) for x in store.listStatus(root)] if store.exists(root) else []
-        before = max((v for v in known if v < number), default=None)
-        rows = batch if before is None else spark.read.parquet(f"{table}/v{before}").unionByName(batch)
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), position).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{table}/v{number}")
-        for old in known:
-            if before is not None and old < before:
-                store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v{old}"), True)
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_synced(spark: SparkSession, table: str) -> DataFrame:
-    """The rows of the newest version that are not deleted."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table)
-    newest = max(int(x.getPath().getName().removeprefix("v")) for x in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
-    return spark.read.parquet(f"{table}/v{newest}").where("op <> 'delete'").drop("op")
-
-
 def missed_changes(source: DataFrame, synced: DataFrame, key: str) -> DataFrame:
     """(key, action) that would make ``synced`` equal to ``source`` again: insert, update or delete."""
     hashed = lambda df, n: df.select(F.col(key).alias(f"k{n}"), F.xxhash64(*sorted(c for c in source.columns if c != key)).alias(f"h{n}"))

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import columns
-from quarrystone.operators import chunks, components, folds, messages, rates, search, similar, tables, vectors
+from quarrystone.operators import chunks, components, folds, intervals, leaks, messages, pages, rates, search, similar, tables, vectors
 from quarrystone.plans import tools, walks
 from quarrystone.plans.graph import Registry, StateGraph, loop_until
 from quarrystone.queries import procedures
-from quarrystone.sources import files
+from quarrystone.sources import files, merge_table
 from quarrystone.streaming import assemble
 
 
@@ -326,3 +326,79 @@ def test_simhash_chunk_recall(spark):
     got = {r.text_hash: r.class_id for r in similar.simhash_chunks(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
     names = [hashlib.md5(t.encode()).hexdigest() for t in texts]
     assert len(want) > 20 and sum(got[names[i]] == got[names[j]] for i, j in want) >= 0.99 * len(want)
+
+
+def test_merge_table(spark, tmp_path, monkeypatch):
+    """A batch writes its own rows, replays and late records change nothing, only touched buckets are rewritten, and a lost race is an error."""
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / "t" / name).rglob("*.parquet"))
+    table = merge_table.MergeTable(spark, f"file://{tmp_path}/t", "k", "at", 8)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    schema = "op string, k long, at long, v string"
+    table.apply(spark.range(20000).select(F.lit("upsert").alias("op"), F.col("id").alias("k"), F.lit(0).cast("long").alias("at"), F.md5(F.col("id").cast("string")).alias("v")), 0)
+    table.compact()
+    base = table.manifest()["base"]
+    table.apply(spark.createDataFrame([("upsert", 5, 2, "new"), ("upsert", 5, 1, "old"), ("delete", 7, 3, None), ("upsert", None, 1, "no key"), ("upsert", 50000, 1, "more")], schema), 1)
+    table.apply(spark.createDataFrame([("upsert", 5, 9, "told twice")], schema), 1)
+    table.apply(spark.createDataFrame([("upsert", 7, 2, "late"), ("upsert", 6, 4, "six")], schema), 2)
+    first, small = table.manifest()["deltas"][0]["name"], size(table.manifest()["deltas"][0]["name"])
+    assert first.startswith("delta-1") and small * 20 < size(base["0"])
+
+    def check():
+        rows = {r.k: r.v for r in table.read().where("k < 10 OR k > 19999").collect()}
+        assert rows[5] == "new" and rows[6] == "six" and rows[50000] == "more" and 7 not in rows and len(rows) == 10 and table.read().count() == 20000
+
+    check()
+    table.compact()
+    check()
+    now = table.manifest()
+    assert now["deltas"] == [] and 0 < sum(now["base"][b] != base[b] for b in base) < 8
+    table.apply(spark.createDataFrame([("upsert", 7, 1, "older than its delete")], schema), 3)
+    table.apply(spark.createDataFrame([], schema), 4)
+    table.clean()
+    check()
+    with pytest.raises(RuntimeError):
+        table._swap(table.manifest())
+    monkeypatch.setattr(merge_table, "MOST_DELTAS", 1)
+    table.apply(spark.createDataFrame([("upsert", 5, 10, "newest")], schema), 5)
+    assert len(table.manifest()["deltas"]) == 1 and table.read().where("k = 5").first().v == "newest"
+
+
+def test_interval_join(spark):
+    """Spans of every length, points at their bounds, a hot second, nulls and empty sides, against all pairs by hand."""
+    import random
+
+    rnd = random.Random(1)
+    assert all(sum(1 << level for level, _ in intervals.dyadic_cells(a, b)) == b - a + 1 and len(intervals.dyadic_cells(a, b)) <= 2 * (b - a + 1).bit_length() for a in range(0, 40) for b in range(a, 80))
+    spans = [(i, a, a + rnd.choice([0, 3, 50, 100000, 1 << 40])) for i, a in enumerate(rnd.choices(range(1000), k=80))] + [(900, 5, 4), (901, None, 4), (902, 1, None)]
+    segments = [(i, a, a + rnd.choice([0, 1, 60])) for i, a in enumerate(rnd.choices(range(1200), k=300))] + [(1000 + i, 500, 500) for i in range(300)] + [(5000, None, 3), (5001, 3, None)]
+    left, right = spark.createDataFrame(spans, "id long, low long, high long"), spark.createDataFrame(segments, "segment long, start long, stop long")
+    want = {(i, s) for i, a, b in spans if a is not None and b is not None for s, x, y in segments if x is not None and y is not None and a <= x <= b and y <= b}
+    got = [(r.id, r.segment) for r in intervals.contained(left, right, chunk=32).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert intervals.contained(left.limit(0), right).count() == 0 and intervals.contained(left, right.limit(0)).count() == 0
+
+
+def test_run_share(spark):
+    """Items shorter than a run are sought whole; repeated runs count once; nulls and wordless items are in nothing."""
+    long = "a b c d e f g h i j k l"
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, "a b c d e f g h i j zz"), (3, "only three words here"), (4, None), (5, "a b c d e f g h")], "d long, t string")
+    items = spark.createDataFrame([(1, long.upper()), (2, "Three  words"), (3, None), (4, ""), (5, "a b c d e f g h a b c d e f g h")], "i long, t string")
+    got = {(r.d, r.i): round(r.share, 3) for r in leaks.run_share(docs, items, "d", "t", "i", "t").collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 0.6, (3, 2): 1.0}
+    assert leaks.run_share(docs, items.where("i = 3"), "d", "t", "i", "t").count() == 0
+
+
+def test_clean_pages(spark):
+    """Navigation, adverts on many pages, scripts and comments go; a page's own text stays, in order and without signs of HTML."""
+    page = lambda n: f"<!DOCTYPE html><head><title>t</title></head><body><nav><ul><li><a href='/'>Home of all our pages</a></li></ul></nav><!-- ad --><div class=ad>Buy our very best things now</div><p>Own text number {n} is here &amp; <b>there</b>.<script>var x = '</p>'</script><p>Second <a href='/x'>link</a> of four{n} words</p><footer>ok</footer></body>"
+    rows = [(n, f"http://A.example/{n}", page(n)) for n in range(4)] + [(10, "http://b.example/", page(10)), (11, None, None), (12, "x", "plain text without a tag"), (12, "x", "and another row of it")]
+    got = {r.page_id: (r.kept, r.dropped, r.text) for r in pages.clean_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == (2, 3, "Own text number 1 is here & there .\nSecond link of four1 words") and got[10][2].startswith("Buy our very best things now\nOwn text") and got[11] == (0, 0, "")
+    assert got[12][0] == 2 and set(got) == {0, 1, 2, 3, 10, 11, 12}
+
+
+def test_loop_until_says_when_it_is_not_done(spark):
+    df = spark.createDataFrame([(1,)], "n int")
+    with pytest.raises(RuntimeError):
+        loop_until(df, lambda d: d.withColumn("n", F.col("n") + 1), lambda d: d.where("n < 100").isEmpty(), 3)
