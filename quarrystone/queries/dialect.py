@@ -40,6 +40,7 @@ _FORMS = {
     "sha256": ("sha2({0}, 256)", "sha256({0})"),
     "is_json": ("(try_parse_json({0}) is not null)", "json_valid({0})"),
     "count_in": ("cast(size(filter({0}, x -> x = {1})) as bigint)", "len(list_filter({0}, lambda x: x = {1}))"),
+    "count_any": ("cast(size(filter({0}, x -> x in ({1}))) as bigint)", "len(list_filter({0}, lambda x: x in ({1})))"),
     "run": ("array_join(slice({0}, cast({1} as int), {2}), ' ')", "array_to_string({0}[cast({1} as int) : cast({1} as int) + {2} - 1], ' ')"),
     "split": ("split({0}, r'{1}')", "regexp_split_to_array({0}, '{1}')"),
 }

@@ -3,7 +3,7 @@
 SCORED = "(SELECT q.vec_id AS qid, q.label AS qlabel, a.vec_id, a.label, round(@dot(q.embedding|a.embedding), 5) AS score FROM (SELECT * FROM {embeddings} WHERE vec_id % 50 = 0) q JOIN {embeddings} a ON q.vec_id <> a.vec_id)"
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM {SCORED} s)"
 TOKENS = "(SELECT doc_id, @each(@words(lower(text))) AS term FROM {documents})"
-FTS = "(SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM (SELECT doc_id, @count_in(w|'that') + @count_in(w|'the') + @count_in(w|'tion') AS n FROM (SELECT doc_id, @words(lower(text)) AS w FROM {documents}) t) c WHERE n > 0)"
+FTS = "(SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM (SELECT doc_id, @count_any(@words(lower(text))|'that', 'the', 'tion') AS n FROM {documents}) c WHERE n > 0)"
 VEC = "(SELECT vec_id AS doc_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM (SELECT a.vec_id, round(@dot(a.embedding|b.embedding), 5) AS score FROM {embeddings} a CROSS JOIN (SELECT embedding FROM {embeddings} WHERE vec_id = 0) b) s)"
 BM25 = """base AS (SELECT doc_id, @words(lower(text)) AS w FROM {documents}), stats AS (SELECT cast(count(*) AS double) AS n, avg(cast(@size(w) AS double)) AS avgdl FROM base WHERE @size(w) > 0),
     tf AS (SELECT doc_id, term, cast(@size(w) AS double) AS len, cast(@count_in(w|term) AS double) AS tf FROM base CROSS JOIN (SELECT * FROM (VALUES ('that'), ('the'), ('tion')) AS t(term)) t WHERE @count_in(w|term) > 0), df AS (SELECT term, cast(count(*) AS double) AS df FROM tf GROUP BY term),
