@@ -59,7 +59,7 @@ _PLAIN, _CAPITAL, _NUMBER, _UNIT, _END, _WORDED, _SIGN = range(7)
 _NUM, _MEASURE, _NAME, _FIRST, _RAW = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D))
 #: Marks of a window's key: at a sentence's start, and at a sentence's end.
 _OPEN, _CLOSE = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
-_CACHE = 200_000
+_CACHE = 50_000
 #: Bytes of text whose template tokens are held at a time, in about twenty times as many bytes.
 PIECE_BYTES = 1 << 20
 
