@@ -39,7 +39,7 @@ QUERIES = {
     "efficiency_score": f"SELECT source, round(avg(cast(quality AS double)) * (20.0 / nullif(count(*), 0)), 6) AS efficiency FROM {OUTCOMES} q GROUP BY source",  # P
     "stratified_pass_rate": f"SELECT CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars <= 4000 THEN 'medium' ELSE 'long' END AS bucket, round(avg(cast(quality AS double)), 6) AS rate, count(*) AS n FROM {OUTCOMES} q GROUP BY 1 UNION ALL SELECT 'all', round(avg(cast(quality AS double)), 6), count(*) FROM {OUTCOMES} q",  # P
     "tool_precision_recall": f"SELECT round(count(CASE WHEN quality = 1 AND n_chars > 500 THEN 1 END) / cast(nullif(count(CASE WHEN n_chars > 500 THEN 1 END), 0) AS double), 6) AS tool_precision, round(count(CASE WHEN quality = 1 AND n_chars > 500 THEN 1 END) / cast(nullif(count(CASE WHEN quality = 1 THEN 1 END), 0) AS double), 6) AS tool_recall FROM {OUTCOMES} q",  # P
-    "group_advantage": f"SELECT doc_id, source, round((quality - m) / s, 6) AS advantage FROM (SELECT doc_id, source, quality, avg(quality) OVER (PARTITION BY source) AS m, stddev_pop(quality) OVER (PARTITION BY source) AS s FROM {OUTCOMES} q) t WHERE s > 0.000001",  # P
+    "group_advantage": f"SELECT t.doc_id, t.source, round((t.quality - g.m) / g.s, 6) AS advantage FROM {OUTCOMES} t JOIN (SELECT source, avg(quality) AS m, stddev_pop(quality) AS s FROM {OUTCOMES} q GROUP BY source) g ON t.source IS NOT DISTINCT FROM g.source WHERE g.s > 0.000001",  # P
     "batch_advantage": f"SELECT doc_id, round((quality - m) / s, 6) AS advantage FROM {OUTCOMES} o CROSS JOIN (SELECT avg(quality) AS m, stddev_pop(quality) AS s FROM {OUTCOMES} q) t WHERE s > 0",  # P
     "composite_reward": f"SELECT doc_id, round(0.6 * quality + 0.2 * (1 - toxic) - 0.1 * least(1, n_chars / 20000.0) - 0.1 * (CASE WHEN n_chars < 100 THEN 1 ELSE 0 END), 6) AS reward FROM {OUTCOMES} q",  # P
     "credit_assign": "SELECT c.conv_id, c.turn, o.outcome FROM {conversations} c JOIN (SELECT conv_id, max_by(role, turn) AS outcome FROM {conversations} GROUP BY conv_id) o ON c.conv_id = o.conv_id",  # P
@@ -53,7 +53,7 @@ QUERIES = {
     "self_consistency": """SELECT query, round(avg(cosine), 4) AS similarity, count(*) AS pairs FROM (SELECT cast(floor(a.vec_id / 5) AS bigint) AS query, @dot(a.embedding|b.embedding) / nullif(sqrt(@dot(a.embedding|a.embedding)) * sqrt(@dot(b.embedding|b.embedding)), 0) AS cosine
         FROM {embeddings} a JOIN {embeddings} b ON floor(a.vec_id / 5) = floor(b.vec_id / 5) AND a.vec_id < b.vec_id) q GROUP BY query""",  # P, five outputs a query
     "psi_kl": "WITH h AS (SELECT cast(least(9, floor(value / 10)) AS int) AS b, count(CASE WHEN event_id % 2 = 0 THEN 1 END) + 0.5 AS p, count(CASE WHEN event_id % 2 = 1 THEN 1 END) + 0.5 AS q FROM {events} GROUP BY 1), t AS (SELECT cast(p AS double) / all_p AS p, cast(q AS double) / all_q AS q FROM h CROSS JOIN (SELECT sum(cast(p AS double)) AS all_p, sum(cast(q AS double)) AS all_q FROM h) z) SELECT round(sum((p - q) * ln(p / q)), 6) AS psi, round(sum(p * ln(p / q)), 6) AS kl, sum((p - q) * ln(p / q)) > 0.25 AS drifted FROM t",  # P
-    "cache_hit_rate": "SELECT round(avg(CASE WHEN seen > 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM (SELECT row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS seen FROM {documents}) q",  # P
+    "cache_hit_rate": "SELECT round(cast(count(*) - count(DISTINCT coalesce(md5(text), '')) AS double) / count(*), 6) AS hit_rate FROM {documents}",  # P, all but the first of equal texts are hits
     "mapreduce_sum": "SELECT shard, round(sum(value), 4) AS local_sum, count(*) AS n FROM (SELECT event_id % 8 AS shard, value FROM {events}) q GROUP BY shard",  # P
     "latency_percentiles": "SELECT event_type, round(@quantile(value|0.5), 6) AS p50, round(@quantile(value|0.95), 6) AS p95, round(@quantile(value|0.99), 6) AS p99, count(*) AS n FROM {events} GROUP BY event_type",  # P
     "wall_vs_compute": "SELECT user_id, max(@micros(ts)) - min(@micros(ts)) AS wall_us, round(sum(value), 4) AS compute_ms FROM {events} GROUP BY user_id",  # P

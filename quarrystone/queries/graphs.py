@@ -29,7 +29,8 @@ QUERIES = {
           UNION ALL SELECT b.turn, b.idx, CASE WHEN trim(b.call_id) = '' THEN 'empty_id' WHEN b.before > 0 THEN 'repeated_id' WHEN h.call_id IS NOT NULL THEN 'id_in_history' END AS problem FROM (SELECT turn, idx, call_id, count(*) OVER (PARTITION BY turn, call_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS before FROM batch) b LEFT JOIN history h ON b.turn = h.turn AND b.call_id = h.call_id
           UNION ALL SELECT turn, idx, 'empty_name' AS problem FROM batch WHERE trim(name) = '' UNION ALL SELECT turn, idx, 'arguments' AS problem FROM batch WHERE NOT text_arguments)
         SELECT turn, idx, problem FROM one WHERE problem IS NOT NULL""",  # E
-    "storm_backpressure": "SELECT hour, event_id, CASE WHEN r <= 12 THEN 'admitted' ELSE 'sampled' END AS taken FROM (SELECT cast(floor(@micros(ts) / 3600000000) AS bigint) AS hour, event_id, row_number() OVER (PARTITION BY floor(@micros(ts) / 3600000000) ORDER BY ts, event_id) AS r, @hash_unit(concat('storm:', @text(event_id))) AS u FROM {events}) q WHERE r <= 12 OR u < 0.1",  # P, a limit an hour and a sample of the rest
+    "storm_backpressure": """WITH e AS (SELECT cast(floor(@micros(ts) / 3600000000) AS bigint) AS hour, event_id, ts, @hash_unit(concat('storm:', @text(event_id))) AS u FROM {events}), f AS (SELECT hour, event_id FROM (SELECT hour, event_id, row_number() OVER (PARTITION BY hour ORDER BY ts, event_id) AS r FROM e) q WHERE r <= 12)
+        SELECT hour, event_id, 'admitted' AS taken FROM f UNION ALL SELECT e.hour, e.event_id, 'sampled' AS taken FROM e LEFT JOIN f ON e.event_id = f.event_id WHERE f.event_id IS NULL AND e.u < 0.1""",  # P, a limit an hour, cut before the shuffle, and a sample of the rest
     "notify_drain": "SELECT user_id, call_no, @inorder(event_id|concat(event_type, ':', @text(event_id))|',') AS notes FROM (SELECT user_id, event_id, event_type, coalesce(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS call_no FROM {events}) q WHERE event_type <> 'view' GROUP BY user_id, call_no",  # L, a view is a model call that takes what waits
     "ext_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus",
     "ext_star_join": "SELECT r.r_name, n.n_name, count(*) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name",

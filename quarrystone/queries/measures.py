@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.operators import intervals, leaks, pages
@@ -44,7 +44,80 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.clean_pages(_table(spark, sf_dir, "pages")).select("page_id", "kept", "dropped", F.md5("text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (leakage_match, segment_containment, latency_percentiles, html_clean)}
+# Terms that count as technical, in upper or lower case, and punctuation that separates words of a query.
+TECH_TERMS = r"\b(?:ReAct|LangGraph|RAG|CoT|ToT|Agent|Tool|MCP|embedding|vector|prompt|token|LLM|fine-?tune|RLHF|hallucination|context|memory|planning|reflection)\b"
+CJK_SIGNS = "，。？！、；：\"\"''（）《》【】"
+
+
+def technical_terms(text: str) -> Column:
+    """The different technical terms of a text in lower case, in the order in which they come first."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?i){TECH_TERMS}"), F.lit(0)), lambda t: F.lower(t)))
+
+
+def query_words(text: str) -> Column:
+    """The different words of two characters or more, in the order in which they come first."""
+    flat = F.translate(F.coalesce(text, F.lit("")), CJK_SIGNS, " " * len(CJK_SIGNS))
+    return F.array_distinct(F.filter(F.split(flat, r"\s+"), lambda t: F.length(t) >= 2))
+
+
+def tech_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = technical_terms("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(terms).cast("long").alias("terms"))
+
+
+def dedup_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(technical_terms("text"), ",").alias("terms"))
+
+
+def tokenize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(query_words("text"), " ").alias("tokens"))
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_no, chunk) of 400 characters every 300."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 101, F.lit(0)) / 300).cast("int"))
+    return docs.where("text IS NOT NULL").select("doc_id", "text", F.explode(starts).alias("chunk_no")).select("doc_id", "chunk_no", F.substring("text", F.col("chunk_no") * 300 + 1, F.lit(400)).alias("chunk"))
+
+
+def doc_cdc_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk table after its documents have changed: chunks of changed and deleted ones go, and only changed and new ones are cut again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.where("doc_id % 5 <> 0")
+    new = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("New: "), "text")).otherwise(F.col("text")))
+    known = _chunks(old).withColumn("cut", F.lit("before"))
+    state = lambda df, name: df.select("doc_id", F.md5("text").alias(name))
+    same = state(old, "a").join(state(new, "b"), "doc_id").where("a = b").select("doc_id")
+    again = new.join(same, "doc_id", "left_anti")
+    applied = known.join(same, "doc_id", "left_semi").unionByName(_chunks(again).withColumn("cut", F.lit("now")))
+    return applied.select("doc_id", "chunk_no", F.md5("chunk").alias("chunk"), "cut")
+
+
+def conflict_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's events say: an official one counts before others, then the newest; how it was settled is told."""
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", (F.get_json_object("props", "$.k").cast("long") % 25 == 0).alias("official"))
+    official = F.coalesce("official", F.lit(False))
+    found = events.groupBy("user_id").agg(
+        F.max_by("event_type", F.struct(official, "us", "event_id")).alias("winner"), F.count_distinct("event_type").alias("values"),
+        F.count_distinct(F.when(official, F.col("event_type"))).alias("official_values"),
+    )
+    how = F.when(F.col("values") == 1, "agreed").when(F.col("official_values") == 1, "official").when(F.col("official_values") > 1, "newest official").otherwise("newest")
+    return found.select("user_id", "winner", how.alias("settled_by"))
+
+
+def speaker_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a user's events between pauses of six hours; those that ask (a view) or last under half of the user's mean are the interviewer's."""
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.round("value", 2).alias("seconds"))
+    rows = rows.withColumn("stop", F.col("start") + F.floor(F.col("seconds") * 1000000).cast("long"))
+    own = Window.partitionBy("user_id").orderBy("start", "event_id")
+    cut = (F.col("start") - F.lag("stop").over(own) > 21600000000).cast("int")
+    grouped = rows.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("turn", F.sum("cut").over(own))
+    turns = grouped.groupBy("user_id", "turn").agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.round(F.sum("seconds"), 2).alias("seconds"), F.max((F.col("event_type") == "view").cast("int")).alias("asks"))
+    mean = turns.groupBy("user_id").agg(F.avg("seconds").alias("mean"))
+    told = turns.join(mean, "user_id").withColumn("speaker", F.when((F.col("asks") == 1) | (F.col("seconds") < 0.5 * F.col("mean")), "interviewer").otherwise("candidate"))
+    return told.select("user_id", F.col("turn").cast("long").alias("turn"), "first", "last", "seconds", "speaker")
+
+
+QUERIES = {f.__name__: f for f in (leakage_match, segment_containment, latency_percentiles, html_clean, tech_keywords, dedup_keywords, tokenize_query, doc_cdc_apply, conflict_resolve, speaker_heuristic)}
 
 
 def _plain(raw: str) -> str:
@@ -59,7 +132,20 @@ _BARE = "html"
 for _part in ("script", "style", "head", "noscript"):
     _BARE = rf"regexp_replace({_BARE}, '(?is)<{_part}\b.*?</{_part}\s*>', ' ', 'g')"
 _RUN = "array_to_string(w[i : i + l - 1], ' ')"
+_FIRST_SEEN = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_TERMS = f"list_transform(regexp_extract_all(coalesce(text, ''), '(?i){TECH_TERMS}'), lambda t: lower(t))"
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[，。？！、；：\"''（）《》【】]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2)"
+_CUT = "SELECT doc_id, i AS chunk_no, md5(substring(text, i * 300 + 1, 400)) AS chunk, cut FROM (SELECT *, unnest(range(0, greatest(length(text) - 101, 0) // 300 + 1)) AS i FROM n) q"
 SQL = {
+    "tech_keywords": f"SELECT doc_id, len(list_distinct({_TERMS})) AS terms FROM documents",
+    "dedup_keywords": f"SELECT doc_id, array_to_string({_FIRST_SEEN.replace('{0}', 'l')}, ',') AS terms FROM (SELECT doc_id, {_TERMS} AS l FROM documents) q",
+    "tokenize_query": f"SELECT conv_id, turn, array_to_string({_FIRST_SEEN.replace('{0}', 'l')}, ' ') AS tokens FROM (SELECT conv_id, turn, {_TOKENS} AS l FROM conversations) q",
+    "doc_cdc_apply": f"WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'New: ' || text ELSE text END AS text, CASE WHEN doc_id % 5 <> 0 AND doc_id % 4 <> 0 THEN 'before' ELSE 'now' END AS cut FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL) {_CUT}",
+    "conflict_resolve": """WITH e AS (SELECT user_id, event_type, ts, event_id, coalesce(cast(json_extract_string(props, '$.k') AS bigint) % 25 = 0, false) AS o FROM events), w AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY o DESC, ts DESC, event_id DESC) AS r FROM e),
+        c AS (SELECT user_id, count(DISTINCT event_type) AS v, count(DISTINCT CASE WHEN o THEN event_type END) AS ov FROM e GROUP BY user_id) SELECT c.user_id, w.event_type AS winner, CASE WHEN v = 1 THEN 'agreed' WHEN ov = 1 THEN 'official' WHEN ov > 1 THEN 'newest official' ELSE 'newest' END AS settled_by FROM c JOIN w ON w.user_id = c.user_id AND w.r = 1""",
+    "speaker_heuristic": """WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS a, round(value, 2) AS s, epoch_us(ts) + cast(floor(round(value, 2) * 1000000) AS bigint) AS b FROM events), g AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY user_id ORDER BY a, event_id) > 21600000000 THEN 1 ELSE 0 END AS c FROM e),
+        t AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM g), u AS (SELECT user_id, turn, min(a) AS first, max(b) AS last, round(sum(s), 2) AS seconds, bool_or(event_type = 'view') AS asks FROM t GROUP BY user_id, turn)
+        SELECT user_id, cast(turn AS bigint) AS turn, first, last, seconds, CASE WHEN asks OR seconds < 0.5 * avg(seconds) OVER (PARTITION BY user_id) THEN 'interviewer' ELSE 'candidate' END AS speaker FROM u""",
     "leakage_match": rf"""WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark), il AS (SELECT *, least(8, len(w)) AS l FROM iw WHERE len(w) > 0), ir AS (SELECT DISTINCT item_id, l, {_RUN} AS run FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM il) a),
         n AS (SELECT item_id, count(*) AS n FROM ir GROUP BY item_id), dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), dr AS (SELECT DISTINCT doc_id, l, {_RUN} AS run FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM dw CROSS JOIN (SELECT DISTINCT l FROM il) l WHERE len(w) >= l) b)
         SELECT dr.doc_id, ir.item_id, round(count(*) / max(n.n), 6) AS share FROM dr JOIN ir ON dr.run = ir.run AND dr.l = ir.l JOIN n ON n.item_id = ir.item_id GROUP BY dr.doc_id, ir.item_id HAVING count(*) / max(n.n) >= 0.5""",
