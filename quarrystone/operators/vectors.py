@@ -231,13 +231,13 @@ def _exact(kind: str, k: int):
     return run
 
 
-def _pass(index: VectorIndex, queries: DataFrame, k: int, probes: int, skip_self: bool) -> tuple[DataFrame, DataFrame]:
-    """(query, id, score) that one pass over the chosen cells finds, and the places (query, cell, part, places) that it scored."""
+def _pass(index: VectorIndex, queries: DataFrame, k: int, probes: int, skip_self: bool) -> DataFrame:
+    """(query, id, score) that one pass over the chosen cells finds."""
     asked = queries.mapInArrow(_probes(index.quantiser, index.radius, probes), "query long, vector array<double>, label long, least double, cell int, centre_dot double")
     met = index.blocks("ids", "labels", "codes", "errors").join(near(cut_lineage(asked)), "cell")
     places = cut_lineage(met.mapInArrow(_scan(index.quantiser, RERANK * k, skip_self), "query long, vector array<double>, cell int, part long, places array<int>"))
     whole = index.blocks("ids", "vectors").join(near(places), ["cell", "part"])
-    return cut_lineage(whole.select("query", "vector", "places", "ids", "vectors").mapInArrow(_exact(index.kind, k), "query long, id long, score double")), places
+    return cut_lineage(whole.select("query", "vector", "places", "ids", "vectors").mapInArrow(_exact(index.kind, k), "query long, id long, score double"))
 
 
 def search_vectors(index: VectorIndex, queries: DataFrame, query: str, vector: str, k: int = 10, label: str | None = None, exact: bool = False, skip_self: bool = False, probe_share: float = PROBE_SHARE) -> DataFrame:
@@ -255,13 +255,13 @@ def search_vectors(index: VectorIndex, queries: DataFrame, query: str, vector: s
     tag = F.lit(None) if label is None else F.col(label)
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vector"), tag.cast("long").alias("label"))
     probes = max(1, round(probe_share * (index.radius >= 0).sum()))
-    found, places = _pass(index, asked.withColumn("least", F.lit(None).cast("double")), k, probes, skip_self)
+    found = _pass(index, asked.withColumn("least", F.lit(None).cast("double")), k, probes, skip_self)
     if exact:
         order = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc()))
         least = cut_lineage(found.withColumn("r", order).where(F.col("r") == k).select("query", F.col("score").alias("least")))
         known = cut_lineage(asked.join(near(least), "query", "left").withColumn("least", F.coalesce("least", F.lit(-1e300))))
-        # all cells again, now by bounds: what the first pass scored is scored once more and counts once
-        found, _ = _pass(index, known, k, 0, skip_self)
+        # all cells, now by bounds; its rows stand in the place of the first pass's
+        found = _pass(index, known, k, 0, skip_self)
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     best = found.withColumn("score", F.round("score", 5)).withColumn("rank", order).where(F.col("rank") <= k)
     return best.select(F.col("query").alias(query), "id", "score", "rank")

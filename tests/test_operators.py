@@ -11,7 +11,6 @@ from quarrystone.plans import tools, walks
 from quarrystone.plans.graph import Registry, StateGraph, loop_until
 from quarrystone.queries import procedures
 from quarrystone.sources import files, merge_table
-from quarrystone.streaming import assemble
 
 
 def test_redaction():

@@ -4,7 +4,6 @@ import json
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarrystone.sources import inbox
 from quarrystone.streaming import assemble, stateful
