@@ -39,6 +39,13 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("event_type", "n", *[(F.abs(F.col(f"r{i}") - p) < 0.01).alias(f"p{round(100 * p)}_within") for i, p in enumerate(marks)])
 
 
+def ext_supplier_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers of each nation with suppliers; each side is counted before they meet, so no pairs of the two are made."""
+    suppliers = _table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.countDistinct("s_suppkey").alias("suppliers"))
+    customers = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("customers"))
+    return suppliers.join(customers, F.col("s_nationkey") == F.col("c_nationkey"), "left").select("s_nationkey", "suppliers", F.coalesce("customers", F.lit(0).cast("long")).alias("customers"))
+
+
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each page without navigation, links, scraps and what its site repeats."""
     return pages.clean_pages(_table(spark, sf_dir, "pages")).select("page_id", "kept", "dropped", F.md5("text").alias("text"))
@@ -117,7 +124,7 @@ def speaker_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("user_id", F.col("turn").cast("long").alias("turn"), "first", "last", "seconds", "speaker")
 
 
-QUERIES = {f.__name__: f for f in (leakage_match, segment_containment, latency_percentiles, html_clean, tech_keywords, dedup_keywords, tokenize_query, doc_cdc_apply, conflict_resolve, speaker_heuristic)}
+QUERIES = {f.__name__: f for f in (leakage_match, segment_containment, latency_percentiles, ext_supplier_customer, html_clean, tech_keywords, dedup_keywords, tokenize_query, doc_cdc_apply, conflict_resolve, speaker_heuristic)}
 
 
 def _plain(raw: str) -> str:
