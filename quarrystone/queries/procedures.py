@@ -118,7 +118,7 @@ def skill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     short, english = F.col("n_chars") < 200, F.col("lang") == "en"
-    plan = graph.StateGraph().node("read", steps=F.lit("read")).node("upper", state=F.upper("state"), steps=F.concat("steps", F.lit(">upper"))).node("lower", state=F.lower("state"), steps=F.concat("steps", F.lit(">lower")))
+    plan = graph.StateGraph().node("read", steps=F.lit("read")).node("upper", state=columns.upper_letters("state"), steps=F.concat("steps", F.lit(">upper"))).node("lower", state=columns.lower_letters("state"), steps=F.concat("steps", F.lit(">lower")))
     plan.node("end", steps=F.concat("steps", F.lit(">end"))).edge("read", "upper", short).edge("read", "lower", ~short & english).edge("read", "end", ~short & ~english).edge("upper", "end").edge("lower", "end")
     rows = _table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.col("text").alias("state"))
     return plan.compile("read")(rows).select("doc_id", "steps", F.md5("state").alias("state"))
