@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.operators import intervals, leaks, pages
+from quarrystone.operators import intervals, leaks, pages, quantiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +28,10 @@ def segment_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantiles of the values of each type from sketches of each hour, merged upward; exact ranks beside them show the error."""
-    events = _table(spark, sf_dir, "events").select("event_type", "value", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"))
-    hourly = events.groupBy("event_type", "hour").agg(F.kll_sketch_agg_double("value", 400).alias("sketch"))
-    merged = hourly.groupBy("event_type").agg(F.kll_merge_agg_double("sketch", 400).alias("sketch"))
-    marks = (0.5, 0.95, 0.99)
-    told = merged.select("event_type", F.kll_sketch_get_n_double("sketch").alias("n"), *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"q{i}") for i, p in enumerate(marks)])
-    both = events.join(F.broadcast(told), "event_type")  # one row a type of event
-    ranks = both.groupBy("event_type").agg(F.max("n").alias("n"), *[F.avg((F.col("value") <= F.col(f"q{i}")).cast("double")).alias(f"r{i}") for i in range(3)])
-    return ranks.select("event_type", "n", *[(F.abs(F.col(f"r{i}") - p) < 0.01).alias(f"p{round(100 * p)}_within") for i, p in enumerate(marks)])
+    """Median, 95th and 99th percentile of the values of each type of event, exact and without a task that holds a type."""
+    events = _table(spark, sf_dir, "events").select("event_type", "value")
+    found = quantiles.exact_quantiles(events, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "n")
 
 
 def ext_supplier_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +152,6 @@ SQL = {
         n AS (SELECT item_id, count(*) AS n FROM ir GROUP BY item_id), dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), dr AS (SELECT DISTINCT doc_id, l, {_RUN} AS run FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM dw CROSS JOIN (SELECT DISTINCT l FROM il) l WHERE len(w) >= l) b)
         SELECT dr.doc_id, ir.item_id, round(count(*) / max(n.n), 6) AS share FROM dr JOIN ir ON dr.run = ir.run AND dr.l = ir.l JOIN n ON n.item_id = ir.item_id GROUP BY dr.doc_id, ir.item_id HAVING count(*) / max(n.n) >= 0.5""",
     "segment_containment": "WITH s AS (SELECT event_id, event_type, value, epoch_us(ts) // 1000000 AS s FROM events) SELECT p.event_id AS pair, count(*) AS events, min(e.event_id) AS first_event, max(e.event_id) AS last_event FROM s p JOIN s e ON e.s >= p.s AND e.s + 5 <= p.s + cast(floor(p.value * 60) AS bigint) WHERE p.event_type = 'signup' GROUP BY p.event_id",
-    "latency_percentiles": "SELECT event_type, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM events GROUP BY event_type",
     "html_clean": rf"""WITH b AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_split_to_array(regexp_replace({_BARE}, '(?is)<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '(?i)</?(?:p|div|article|section|nav|header|footer|aside|main|ul|ol|li|table|tr|td|th|h[1-6]|body|html|form|blockquote|pre|br)\b[^>]*>') AS raws FROM pages),
         r AS (SELECT page_id, host, i, raws[i] AS raw FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM b) x), t AS (SELECT page_id, host, i, {_plain('raw')} AS text, {_plain("array_to_string(regexp_extract_all(raw, '(?is)<a[^>]*>(.*?)</a>', 1), ' ')")} AS linked FROM r),
         c AS (SELECT host, text, count(DISTINCT page_id) AS pages FROM t WHERE text <> '' GROUP BY host, text), k AS (SELECT t.*, length(linked) / length(t.text) <= 0.5 AND len(string_split(t.text, ' ')) >= 3 AND c.pages < 3 AS keep FROM t JOIN c ON c.host = t.host AND c.text = t.text)
