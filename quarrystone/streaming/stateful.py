@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -89,11 +91,32 @@ def idle_sessions(events: DataFrame, idle: str, event_time: bool = True, keep: s
     return rows.groupBy("user_id").transformWithStateInPandas(IdleSessions(ms, True), _SESSION, "Append", "EventTime")
 
 
+#: Keys that a stream keeps state for are dealt into so many groups; each group's state is read and written at once.
+GROUPS = 1024
+
+
+def _group(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(GROUPS)).alias("group")
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    batch, sink = pa.RecordBatch.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_pandas()
+
+
 class Reorder(StatefulProcessor):
     """Rows leave in order of (us, event_id) once none can come before them; a row later than ``late_us`` leaves at once, marked.
 
-    The map holds the waiting rows of a key.  A row is late by its own times,
-    not by what came before it, so any cut into micro-batches gives the same.
+    A group of users has a list of the frames that wait, what number each user
+    has come to, and one timer, for the first row that is due.  A row is late by
+    its own times, not by what came before it, so any cut into micro-batches
+    gives the same.
     """
 
     def __init__(self, late_us: int):
@@ -101,35 +124,54 @@ class Reorder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, event_id long", "payload string")
-        self.place = handle.getValueState("place", "n long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.place = handle.getValueState("place", "users binary, counts binary, due long")
+
+    def due(self, us: Any) -> Any:
+        """The millisecond of the watermark that is surely past the last row that may come before one of ``us``."""
+        return (us + self.late_us) // 1000 + 1
+
+    def places(self) -> tuple[bytes, bytes, int]:
+        return tuple(self.place.get()) if self.place.exists() else (b"", b"", -1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        users, counts, due = self.places()
+        first = due
         for part in rows:
-            late = []
-            for r in part.itertuples():
-                if r.arrived_us - r.us > self.late_us:
-                    late.append((*key, int(r.event_id), None, True, r.payload))
-                else:
-                    self.waiting.updateValue((int(r.us), int(r.event_id)), (r.payload,))
-                    # as a millisecond of the watermark that is surely past the last row that may come before this one
-                    self.handle.registerTimer((int(r.us) + self.late_us) // 1000 + 1)
-            yield self.rows(late)
+            late = part["arrived_us"] - part["us"] > self.late_us
+            held = part.loc[~late, ["user_id", "us", "event_id", "payload"]]
+            if len(held):
+                self.waiting.appendValue((_packed(held),))
+                low = int(self.due(held["us"].min()))
+                first = low if first < 0 else min(first, low)
+            yield self.rows(part[late], None)
+        if first != due:
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+            self.place.update((users, counts, first))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.late_us
-        ready = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= upto)
-        place, out = self.place.get()[0] if self.place.exists() else 0, []
-        for k in ready:
-            place += 1
-            out.append((*key, k[1], place, False, self.waiting.getValue(k)[0]))
-            self.waiting.removeKey(k)
-        if ready:
-            self.place.update((place,))
-        yield self.rows(out)
-
-    def rows(self, out: list[tuple]) -> pd.DataFrame:
-        return _frame(out, ["user_id", "event_id", "pos", "late", "payload"], {"user_id": "int64", "event_id": "int64", "pos": "Int64", "late": "bool"})
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = pd.concat([_unpacked(r[0]) for r in self.waiting.get()], ignore_index=True)
+        is_ready = self.due(held["us"]) <= now
+        ready, rest = held[is_ready].sort_values(["user_id", "us", "event_id"]), held[~is_ready]
+        users, counts, _ = self.places()
+        known = pd.Series(np.frombuffer(counts, np.int64), np.frombuffer(users, np.int64))
+        pos = ready.groupby("user_id").cumcount() + 1 + ready["user_id"].map(known).fillna(0).astype("int64")
+        known = known.add(ready.groupby("user_id").size(), fill_value=0).astype("int64")
+        following = int(self.due(rest["us"].min())) if len(rest) else -1
+        if len(rest):
+            self.waiting.put([(_packed(rest),)])
+            self.handle.registerTimer(following)
+        else:
+            self.waiting.clear()
+        self.place.update((known.index.to_numpy(np.int64).tobytes(), known.to_numpy(np.int64).tobytes(), following))
+        yield self.rows(ready, pos)
+
+    def rows(self, found: pd.DataFrame, pos: pd.Series | None) -> pd.DataFrame:
+        numbers = pd.array([pd.NA] * len(found), "Int64") if pos is None else pos.astype("Int64")
+        return pd.DataFrame({"user_id": found["user_id"], "event_id": found["event_id"], "pos": numbers, "late": pos is None, "payload": found["payload"]})
 
     def close(self) -> None:
         pass
@@ -143,33 +185,38 @@ def reorder(events: DataFrame, late: str) -> DataFrame:
     time leave unnumbered, for a side table.
     """
     us = int(pd.Timedelta(late).total_seconds() * 1e6)
-    rows = events.withWatermark("arrived", "0 seconds").select("user_id", "event_id", F.unix_micros("ts").alias("us"), F.unix_micros("arrived").alias("arrived_us"), "arrived", "payload")
-    return rows.groupBy("user_id").transformWithStateInPandas(Reorder(us), "user_id long, event_id long, pos long, late boolean, payload string", "Append", "EventTime")
+    rows = events.withWatermark("arrived", "0 seconds").select(_group("user_id"), "user_id", "event_id", F.unix_micros("ts").alias("us"), F.unix_micros("arrived").alias("arrived_us"), "arrived", "payload")
+    return rows.groupBy("group").transformWithStateInPandas(Reorder(us), "user_id long, event_id long, pos long, late boolean, payload string", "Append", "EventTime")
 
 
 class Attempts(StatefulProcessor):
-    """Counts a message's failed attempts: the first ``most`` - 1 go to be tried again, the next to the dead letters; a success ends it."""
+    """Counts a message's failed attempts: the first ``most`` - 1 go to be tried again, the next to the dead letters; a success ends it.
+
+    The state is one table for a group of messages, in order of message.
+    """
 
     def __init__(self, most: int):
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "failures long, last_seq long, ended boolean")
+        self.seen = handle.getValueState("seen", "messages binary, failures binary, last_seqs binary, ended binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        parts = sorted((int(r.seq), bool(r.failed)) for part in rows for r in part.itertuples())
-        failures, last, ended = tuple(self.seen.get()) if self.seen.exists() else (0, -1, False)
-        out = []
-        for seq, failed in parts:
-            if seq <= last or ended:  # told before, or settled: at-least-once input changes nothing
-                continue
-            last = seq
-            failures += failed
-            route = "done" if not failed else "dead" if failures >= self.most else "retry"
-            ended = route != "retry"
-            out.append((*key, seq, failures, route))
-        self.seen.update((failures, last, ended))
-        yield _frame(out, ["message", "seq", "failures", "route"], dict.fromkeys(("message", "seq", "failures"), "int64"))
+        parts = pd.concat([part[["message", "seq", "failed"]] for part in rows], ignore_index=True)
+        parts["failed"] = parts["failed"].eq(True)
+        raws = self.seen.get() if self.seen.exists() else [b""] * 4
+        held = pd.DataFrame({c: np.frombuffer(raw, kind) for c, raw, kind in zip(("failures", "last", "ended"), raws[1:], (np.int64, np.int64, np.bool_))}, index=pd.Index(np.frombuffer(raws[0], np.int64), name="message"))
+        parts = parts.sort_values(["message", "seq", "failed"]).drop_duplicates(["message", "seq"]).join(held, on="message")
+        # told before, or settled: at-least-once input changes nothing
+        parts = parts[~parts["ended"].eq(True) & ~(parts["seq"] <= parts["last"].fillna(-1))]
+        parts["failures"] = parts["failures"].fillna(0).astype("int64") + parts.groupby("message")["failed"].cumsum().astype("int64")
+        parts["ended"] = ~parts["failed"] | (parts["failures"] >= self.most)
+        parts = parts[parts.groupby("message")["ended"].cumsum() - parts["ended"] == 0]
+        parts["route"] = np.where(~parts["failed"], "done", np.where(parts["ended"], "dead", "retry"))
+        newest = parts.groupby("message").tail(1).set_index("message")[["failures", "seq", "ended"]].rename(columns={"seq": "last"})
+        held = pd.concat([held[~held.index.isin(newest.index)], newest]).sort_index()
+        self.seen.update((held.index.to_numpy(np.int64).tobytes(), *[held[c].to_numpy(kind).tobytes() for c, kind in (("failures", np.int64), ("last", np.int64), ("ended", np.bool_))]))
+        yield parts[["message", "seq", "failures", "route"]]
 
     def close(self) -> None:
         pass
@@ -177,7 +224,7 @@ class Attempts(StatefulProcessor):
 
 def route_attempts(attempts: DataFrame, most: int) -> DataFrame:
     """(message, seq, failures, route) of a stream (message, seq, failed) of attempts: done, retry, or dead at the ``most``-th failure; what follows an end is left out."""
-    return attempts.groupBy("message").transformWithStateInPandas(Attempts(most), "message long, seq long, failures long, route string", "Append", "None")
+    return attempts.select(_group("message"), "message", "seq", "failed").groupBy("group").transformWithStateInPandas(Attempts(most), "message long, seq long, failures long, route string", "Append", "None")
 
 
 def two_sinks(routed: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
