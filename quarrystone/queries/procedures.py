@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from quarrystone.functions import columns
-from quarrystone.operators import chunks, messages, rates, similar
+from quarrystone.operators import chunks, messages, nearest, rates, similar
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.tables import fresh_dir
 from quarrystone.plans import graph, tools, walks
@@ -363,10 +363,9 @@ def dedup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    q = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    near = q.join(vectors, F.col("qid") != F.col("vec_id")).select("qid", "vec_id", dot.alias("score"))
+    vectors = _table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL")
+    q = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    near = nearest.top_scores(q, vectors.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), 20, rounded=False).withColumnRenamed("id", "vec_id")
     top = similar.top_scored(near, "qid", "vec_id", "score", 20).join(vectors.select("vec_id", "embedding"), "vec_id")
     return similar.mmr(top, "qid", "vec_id", "score", "embedding")
 
