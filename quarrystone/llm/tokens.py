@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,14 +33,56 @@ def _splits_at_spaces(spec: dict) -> bool:
     return bool(plain and bpe and not odd and spec["normalizer"] is None and not spec["truncation"] and not spec["padding"])
 
 
+class KeptWords:
+    """Ids of the words that a worker meets, kept from one batch of texts to the next.
+
+    ``encode`` gives all ids of a list of words and how many each has.  Beyond
+    ``most`` words, the half met in most batches stays; words over 64 bytes
+    are not kept.  What is kept changes the time only.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 18):
+        self.encode, self.most = encode, most
+        self.words = pa.array([], pa.string())
+        self.ids, self.counts, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, count): the ids of words[i] are ids[begin[i] : begin[i] + count[i]]."""
+        at = pc.index_in(words, value_set=self.words.cast(words.type))
+        unknown = pc.is_null(at)
+        new = words.filter(unknown).dictionary_encode()
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = len(self.words) + new.indices.to_numpy()
+        new_ids, new_counts = self.encode(new.dictionary.to_pylist())
+        ids, counts = np.concatenate([self.ids, new_ids]), np.concatenate([self.counts, new_counts])
+        begins = np.cumsum(counts) - counts
+        self.met += np.bincount(place, minlength=len(self.met))[: len(self.met)] > 0
+        self._keep(new.dictionary, new_ids, new_counts)
+        return ids, begins[place], counts[place]
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        short = pc.less_equal(pc.binary_length(words), 64).to_numpy(zero_copy_only=False)
+        short = short & (np.cumsum(short) <= self.most)
+        self.words = pa.concat_arrays([self.words, words.filter(pa.array(short)).cast(pa.string())])
+        self.ids = np.concatenate([self.ids, ids[np.repeat(short, counts)]])
+        self.counts = np.concatenate([self.counts, counts[short]])
+        self.met = np.concatenate([self.met, np.ones(short.sum(), np.int32)])
+        if len(self.words) > self.most:
+            stay = np.zeros(len(self.words), bool)
+            stay[np.argpartition(-self.met, self.most // 2)[: self.most // 2]] = True
+            self.words, self.ids = self.words.filter(pa.array(stay)), self.ids[np.repeat(stay, self.counts)]
+            self.counts, self.met = self.counts[stay], (self.met[stay] + 1) // 2  # what was frequent long ago gives way
+
+
 def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
     """A function that gives each text's ids (u32), equal to encode(text, add_special_tokens=False).
 
     A byte-level BPE without normaliser starts a new pre-token at every space
     that stands before a letter or mark, so what lies between spaces can be
     encoded on its own.  The distinct words of many texts are found by Arrow's
-    dictionary encoding and go to the tokenizers library once, joined by
-    spaces, and told apart by the ids whose token begins with a space.  Where
+    dictionary encoding; those not met before go to the tokenizers library,
+    joined by spaces, and told apart by the ids whose token begins with a
+    space.  Where
     a space meets more white space or the end, or a special token occurs,
     words may depend on their neighbours: the library gets the whole text.
     Any other kind of tokenizer gets all texts whole.  Nulls are empty.
@@ -63,8 +106,8 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
     def spaced(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words with a space before each, and how many each has."""
         found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
             ids = batch([" " + " ".join(part)])[0]
             starts = np.flatnonzero(spaces[ids])
             if len(starts) == len(part):
@@ -80,38 +123,36 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
         held[vocabulary] = lambda texts: batch(pc.fill_null(texts, "").to_pylist())
         return held[vocabulary]
 
-    marks = ".,"
-    mark_ids = np.array([0, *(batch([m])[0][0] for m in marks)], np.uint32)
-
-    def distinct(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of distinct words with a space before each, and how many each has; a word and the word with a mark share theirs."""
-        stem = pc.utf8_rtrim(words, marks)
-        one = pc.and_(pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(stem)), 1), pc.utf8_is_alpha(stem)).to_numpy(zero_copy_only=False)
-        mark = np.zeros(len(words), np.int64)
-        for i, m in enumerate(marks):
-            mark[one & pc.ends_with(words, m).to_numpy(zero_copy_only=False)] = i + 1
-        coded = pc.if_else(pa.array(one), stem, words).dictionary_encode()
-        ids, counts = spaced(coded.dictionary.to_pylist())
-        place = coded.indices.to_numpy()
-        plain = counts[place]
-        length = plain + (mark > 0)
-        stop = np.cumsum(length)
-        out = np.zeros(stop[-1] if len(stop) else 0, np.uint32)
-        begins = (np.cumsum(counts) - counts)[place]
-        within = np.arange(plain.sum()) - np.repeat(np.cumsum(plain) - plain, plain)
-        out[np.repeat(stop - length, plain) + within] = ids[np.repeat(begins, plain) + within]
-        out[stop[mark > 0] - 1] = mark_ids[mark[mark > 0]]
-        return out, length
+    kept = KeptWords(spaced)
+    none = np.uint32(0xFFFFFFFF)
+
+    def distinct(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, count, end, ends) of distinct words with a space before each.
+
+        A word of letters shares its ids with the same word before punctuation,
+        which is a pre-token of its own: row end[i] of ``ends`` (the first has
+        none) holds the ids that follow, in reverse order.
+        """
+        stem = pc.utf8_rtrim(words, string.punctuation)
+        more = pc.subtract(pc.binary_length(words), pc.binary_length(stem))
+        one = pc.and_(pc.and_(pc.greater(more, 0), pc.less_equal(more, 8)), pc.utf8_is_alpha(stem))
+        chosen = one.to_numpy(zero_copy_only=False)
+        cut = pa.array([w[-n:] for w, n in zip(words.filter(one).to_pylist(), more.filter(one).to_pylist())], pa.string()).dictionary_encode()
+        found = [[], *(x.tolist() for x in batch(cut.dictionary.to_pylist()))]
+        end = np.zeros(len(words), np.int32)
+        end[chosen] = cut.indices.to_numpy() + 1
+        ends = np.array([x[::-1] + [none] * (8 - len(x)) for x in found], np.uint32)
+        return *kept.look_up(pc.if_else(one, stem, words)), end, ends
 
     def encode(texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
         split = pc.split_pattern(texts, " ")
-        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
-        starts = np.r_[0, ends[:-1]]
+        stops = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        starts = np.r_[0, stops[:-1]]
         coded = split.flatten().dictionary_encode()
         words, place = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         firsts = batch(words.take(pa.array(place[starts])).to_pylist())
-        ids, counts = distinct(words)
+        ids, begins, counts, end, ends = distinct(words)
         held = np.zeros(len(words), bool)
         for x in special:
             held |= pc.match_substring(words, x).to_numpy(zero_copy_only=False)
@@ -120,13 +161,20 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
         whole |= held[place[starts]]
         # a text's first word has no space before it, so it has an entry of its own
         place[starts] = len(words) + np.arange(len(firsts))
-        ids = np.concatenate([ids, *firsts])
-        counts = np.r_[counts, [len(x) for x in firsts]].astype(np.int64)
-        begins = np.cumsum(counts) - counts
-        length = counts[place]
+        own = np.array([len(x) for x in firsts], np.int64)
+        begins = np.concatenate([begins, len(ids) + np.cumsum(own) - own])
+        counts = np.concatenate([counts, own])
+        end = np.concatenate([end, np.zeros(len(firsts), np.int32)])[place]
+        after = (ends != none).sum(axis=1)[end]
+        length = counts[place] + after
         stop = np.cumsum(length)
+        # of a word with an end, too many ids are taken, and the end's put in their place
+        ids = np.concatenate([ids, *firsts, np.zeros(ends.shape[1], np.uint32)])
         flat = ids[np.repeat(begins[place] - (stop - length), length) + np.arange(stop[-1])]
-        edges = np.r_[0, stop[ends - 1]]
+        for back in range(after.max()):
+            at = np.flatnonzero(after > back)
+            flat[stop[at] - 1 - back] = ends[end[at], back]
+        edges = np.r_[0, stop[stops - 1]]
         out = [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         for i in np.flatnonzero(whole):
             out[i] = batch([texts[int(i)].as_py()])[0]
@@ -157,7 +205,7 @@ def write_token_shards(
         def rows() -> Iterator[tuple[int | None, np.ndarray]]:
             for piece in pieces(batches, "text", 8192, 4 << 20):
                 for name, ids in zip(piece.column("id").to_pylist(), encode(piece.column("text"))):
-                    yield name, np.r_[ids, tail]
+                    yield name, np.concatenate([ids, tail])
 
         own = rows()
         first = next(own, None)

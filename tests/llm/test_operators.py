@@ -434,6 +434,72 @@ def test_encoder_equals_library():
         assert ids.tolist() == encode.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_sends_words_once(monkeypatch, tmp_path):
+    """Words met in an earlier batch, also before other punctuation, do not go to the library again."""
+    import shutil
+
+    import pyarrow as pa
+    import tokenizers
+
+    sent = []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+        @staticmethod
+        def from_file(path):
+            return Watched(plain)
+
+    plain, path = library(), shutil.copy(registry.vocabulary(), tmp_path / "own.json")
+    monkeypatch.setattr(tokenizers, "Tokenizer", Watched)
+    encode = tokens.text_encoder(path)
+    made = ["a " + " ".join(f"{chr(97 + i)}{chr(97 + j)}xyzzy{end}" for i in range(26) for j in range(26)) for end in ("", ".", "!!", "$$$", "'", "_")]
+    for text in made:
+        before = len(sent)
+        assert encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert text is made[0] or sum(map(len, sent[before:])) < 20
+
+
+def test_encoder_ends_equal_library():
+    """Letters before ASCII punctuation of any kind and length."""
+    import random
+    import string
+
+    import pyarrow as pa
+
+    rnd, encode = random.Random(5), library()
+    stems = ["word", "Été", "ß", "don", "x", "文字", "й", "a1", "²", "", "e\u0301", "ªº"]
+    made = [" ".join(rnd.choice(stems) + "".join(rnd.choice(string.punctuation) for _ in range(rnd.choice((0, 1, 1, 2, 3, 8, 9)))) for _ in range(6)) for _ in range(3000)]
+    made += ["x " + "word" + c * n + " y" for c in string.punctuation for n in range(1, 11)]
+    for text, ids in zip(made, tokens.text_encoder(registry.vocabulary())(pa.array(made))):
+        assert ids.tolist() == encode.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("most", [2, 7, 1000])
+def test_kept_words_change_no_ids(most):
+    import random
+
+    import pyarrow as pa
+
+    def plain(words):
+        return np.array([ord(c) for w in words for c in w], np.uint32), np.array([len(w) for w in words], np.int64)
+
+    rnd, kept = random.Random(6), tokens.KeptWords(plain, most)
+    for kind in (pa.string(), pa.large_string()) * 20:
+        words = ["x" * 70 if rnd.random() < 0.1 else "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 4))) for _ in range(rnd.randint(0, 30))]
+        ids, begins, counts = kept.look_up(pa.array(words, kind))
+        assert ["".join(map(chr, ids[b : b + n])) for b, n in zip(begins, counts)] == words
+        assert len(kept.words) <= most and "x" * 70 not in kept.words.to_pylist()
+
+
 def test_encoder_of_another_kind_equals_library():
     """A tokenizer with a normaliser is not cut at spaces."""
     import public_tokenizers
