@@ -36,12 +36,12 @@ def _splits_at_spaces(spec: dict) -> bool:
 class KeptWords:
     """Ids of the words that a worker meets, kept from one batch of texts to the next.
 
-    ``encode`` gives all ids of a list of words and how many each has.  Beyond
+    ``encode`` gives all ids of distinct words and how many each has.  Beyond
     ``most`` words, the half met in most batches stays; words over 64 bytes
     are not kept.  What is kept changes the time only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 18):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = 1 << 18):
         self.encode, self.most = encode, most
         self.words = pa.array([], pa.string())
         self.ids, self.counts, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -53,7 +53,7 @@ class KeptWords:
         new = words.filter(unknown).dictionary_encode()
         place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         place[unknown.to_numpy(zero_copy_only=False)] = len(self.words) + new.indices.to_numpy()
-        new_ids, new_counts = self.encode(new.dictionary.to_pylist())
+        new_ids, new_counts = self.encode(new.dictionary)
         ids, counts = np.concatenate([self.ids, new_ids]), np.concatenate([self.counts, new_counts])
         begins = np.cumsum(counts) - counts
         self.met += np.bincount(place, minlength=len(self.met))[: len(self.met)] > 0
@@ -103,11 +103,11 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
     def batch(texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spaced(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def spaced(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words with a space before each, and how many each has."""
         found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 2048):
-            part = words[at : at + 2048]
+            part = words.slice(at, 2048).to_pylist()
             ids = batch([" " + " ".join(part)])[0]
             starts = np.flatnonzero(spaces[ids])
             if len(starts) == len(part):
@@ -170,7 +170,13 @@ def text_encoder(vocabulary: str) -> Callable[[pa.Array], list[np.ndarray]]:
         stop = np.cumsum(length)
         # of a word with an end, too many ids are taken, and the end's put in their place
         ids = np.concatenate([ids, *firsts, np.zeros(ends.shape[1], np.uint32)])
-        flat = ids[np.repeat(begins[place] - (stop - length), length) + np.arange(stop[-1])]
+        flat = np.empty(stop[-1], np.uint32)
+        for at in range(0, len(place), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            low, high = stop[at] - length[at], stop[part][-1]
+            spot = np.repeat(begins[place[part]] - (stop[part] - length[part]), length[part])
+            spot += np.arange(low, high)
+            np.take(ids, spot, out=flat[low:high], mode="clip")
         for back in range(after.max()):
             at = np.flatnonzero(after > back)
             flat[stop[at] - 1 - back] = ends[end[at], back]

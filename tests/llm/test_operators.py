@@ -490,6 +490,7 @@ def test_kept_words_change_no_ids(most):
     import pyarrow as pa
 
     def plain(words):
+        words = words.to_pylist()
         return np.array([ord(c) for w in words for c in w], np.uint32), np.array([len(w) for w in words], np.int64)
 
     rnd, kept = random.Random(6), tokens.KeptWords(plain, most)
