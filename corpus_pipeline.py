@@ -4,6 +4,8 @@
 Parquet to the shared folder and read again before the next.  Null and empty
 texts pass the filters as the operators say, and the mix takes no copy of a
 text without words.  Rows of null or repeated id are told apart by their text.
+A stage that reads texts in Python has them in small batches, a setting that
+the session keeps, as Spark reads it when a stage's rows are written.
 """
 
 from __future__ import annotations
@@ -11,23 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm import decontaminate, mixing, simhash, tokens, toxicity
-from quarrystone.llm.common import table
+from quarrystone.llm.common import small_batches, table
 from quarrystone.llm.registry import LEARN, vocabulary
 from quarrystone.operators.tables import delete_dir, fresh_dir
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores 0.3 or more go; it learns from rows that no test holds out."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), LEARN))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of fingerprints within 3 bits the document of least id stays."""
+    small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, decontaminate.benchmark_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -38,6 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of what is left, read back: (doc_id, start, n_tokens, ids_crc32) of each row."""
+    small_batches(spark)
     return tokens.token_round_trip(docs, vocabulary(), end_id=2)
 
 

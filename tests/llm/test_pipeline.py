@@ -1,10 +1,13 @@
 """The pipeline, stage by stage, against plain versions."""
 
+import re
+
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tests.llm.test_operators import AWKWARD, SCHEMA, order, plain_groups, plain_tokens, words
 
-from quarrystone.llm import decontaminate, mixing, registry, toxicity
+from quarrystone.llm import common, decontaminate, mixing, registry, toxicity
 from quarrystone.operators.tables import fresh_dir
 
 
@@ -54,3 +57,39 @@ def test_stages_on_awkward_rows(spark):
     assert counts["toxicity"] == sorted((r[0] for r in AWKWARD), key=repr)
     assert counts["simhash near-dedup"] == counts["decontamination"] == sorted(set(copies), key=repr)
     assert set(counts["mixing"]) <= {r[0] for r in AWKWARD if words(r[1])} and counts["token output"] == counts["mixing"]
+
+
+def test_stages_hand_over_small_batches(spark):
+    """After a stage was made, tasks give Python a few MB of text at a time, not 10,000 rows."""
+    session, sf_dir = spark, "/root/testdata/sf0.001"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.token_output):
+        session = session.newSession()
+        stage(session, session.read.parquet(f"{sf_dir}/documents.parquet").limit(20), sf_dir)
+        found = session.range(0, 10_000, 1, 1).select(F.repeat(F.lit("word "), 600).alias("text")).mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in found) == 10_000
+        assert max(r.bytes for r in found) < 5 << 20
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    common.small_batches(session)
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+
+
+def test_workers_give_memory_back():
+    """What a task has freed is not held by its worker when the last piece was read."""
+
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    own = common.pieces([batch], "text")
+    next(own)
+    texts = [bytes([1]) * 3000 for _ in range(40_000)]
+    last = texts[-1]  # else the allocator gives back the end of its heap by itself
+    texts = None
+    before = held()
+    assert next(own, None) is None
+    assert held() < before - 80 and last
